@@ -40,6 +40,11 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """df's columns as one struct _row, beside others: no name of df's can clash with theirs."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *more)
+
+
 def fold(doc_id: Column | str, of: int) -> Column:
     """crc32(doc_id as text) mod of; a null id falls in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -243,4 +243,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
     found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
     bad = common.stored(found.where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    kept = common.packed(docs, key.alias("_key")).join(bad, F.col("_key") == F.col("_bad"), "left_anti")
+    return kept.select("_row.*")

@@ -29,7 +29,7 @@ def grams(text: str | None) -> np.ndarray:
     """Sorted slots of the n-grams of a whole text, lower-cased, runs of non-letters as one blank."""
     if not text:
         return np.zeros(0, np.int64)
-    held = np.zeros(SLOTS, bool)
+    text, held = f" {text} ", np.zeros(SLOTS, bool)
     for at in range(0, len(text), CHUNK):
         part = text[max(0, at - 2) : at + CHUNK].lower()
         c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")

@@ -153,11 +153,12 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
     plan = mixed(docs, weights, most).groupBy("source", "h").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     plan = common.stored(plan.select(F.col("source").alias("_s"), F.col("h").alias("_k"), "_copies", "_rows"))
-    found = docs.withColumn("_h", key).join(plan, F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_k")))
+    rows = common.packed(docs, F.col("source").cast("string").alias("_source"), key.alias("_h"))
+    found = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_k")))
     take = F.col("_copies")
     if plan.where("_rows > 1").take(1):
         turn = Window.partitionBy("_s", "_k").orderBy(F.lit(0))
         take = F.floor(take / F.col("_rows")) + (F.row_number().over(turn) <= take % F.col("_rows")).cast("long")
     out = found.withColumn("_take", take.cast("int")).where("_take > 0")
     times = F.explode(F.array_repeat(F.lit(1), F.col("_take")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), times.alias("_t")).drop("_t")
+    return out.select("_row", times.alias("_t")).select("_row.*")

@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.llm import common
+
 SHARDS, SLOTS = 32, 2039
 #: Hexadecimal digits of an MD5 that make a number.
 DIGITS = 15
@@ -67,8 +69,8 @@ def sharded(docs: DataFrame, key: str = "doc_id", shards: int | list[str] = SHAR
     table is broadcast, so rows are placed where they are read and nothing is shuffled.
     """
     table = lookup(docs.sparkSession, names(shards) if isinstance(shards, int) else shards, slots)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]
-    marked = docs.select(*kept, slot_of(F.col(f"`{key}`"), slots).alias("_slot"))
-    table = table.select(F.col("slot").alias("_at"), "shard")
+    table = table.select(F.col("slot").alias("_at"), F.col("shard").alias("_shard"))
+    marked = common.packed(docs, slot_of(F.col(f"`{key}`"), slots).alias("_slot"))
     out = marked.join(F.broadcast(table), F.col("_slot") == F.col("_at"))
-    return out.drop("_slot", "_at")
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() != "shard"]
+    return out.select(*kept, F.col("_shard").alias("shard"))

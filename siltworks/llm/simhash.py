@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltworks.llm import common
 
@@ -140,6 +141,11 @@ def keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(whose)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; of signed numbers, numpy would count those of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what links of up to `bits` bits connect, fewer than the members."""
     left = np.unique(fps)
@@ -148,7 +154,7 @@ def spanning(fps: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndar
         waiting, left = [left[0]], left[1:]
         while waiting and len(left):
             x = waiting.pop()
-            near = np.bitwise_count(left ^ x) <= bits
+            near = apart(left, x) <= bits
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -175,7 +181,7 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
         same = np.flatnonzero(key[shift:] == key[:-shift])
         if not len(same):
             break
-        near = same[np.bitwise_count(fp[same + shift] ^ fp[same]) <= bits]
+        near = same[apart(fp[same + shift], fp[same]) <= bits]
         some_a.append(fp[near])
         some_b.append(fp[near + shift])
     if not some_a:
@@ -314,12 +320,8 @@ def one_of_each(
                 names=[*batch.schema.names[:-1], "_fp"],
             )
 
-    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
-    wide = docs.select(row, docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
-    schema = wide.schema.fields
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    wide = wide.mapInArrow(marked, StructType([*schema[:2], StructField("_fp", LongType())]))
+    wide = common.packed(docs, F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    wide = wide.mapInArrow(marked, StructType([*wide.schema.fields[:2], StructField("_fp", LongType())]))
     near = _grouped(common.stored(fingerprints(docs, id_col, text_col)), bits, tile)
     last = (1 << 63) - 1
     kept = near.groupBy("root").agg(

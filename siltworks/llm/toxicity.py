@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ from siltworks.llm import common, quality
 
 #: The most labelled documents to fit on, hash slots of the word counts, words kept for the fit.
 FIT_DOCS, SLOTS, VOCABULARY = 8000, 1 << 18, 1024
-STEPS, RATE, PENALTY = 250, 0.08, 2e-4
+STEPS, RATE, PENALTY = 300, 0.05, 3e-4
+#: Bytes of a word's beginnings that are features; words whose features a task remembers.
+STEMS, MEMO = (4, 5, 6), 300_000
 #: Ends of sentences become line feeds, other characters that no word has blanks, capitals small.
 _TABLE = bytes(
     10 if x in b".!?\n" else x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 or x == 39 else 32
@@ -36,22 +38,53 @@ def sentences(text: bytes | None) -> list[list[bytes]]:
     return [x for x in found if x]
 
 
-def slot(word: bytes) -> int:
-    return zlib.crc32(word) & (SLOTS - 1)
+def features(word: bytes) -> list[bytes]:
+    """The word itself and its beginnings, so that unseen endings of a learnt stem count."""
+    return [word + b"$", *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
+
+
+def slot(feature: bytes) -> int:
+    return zlib.crc32(feature) & (SLOTS - 1)
 
 
 @dataclass
 class Model:
-    """Weights of the words that matter, and the score of a sentence without any of them."""
+    """Weights of the features that matter, and the logit of a sentence without any of them."""
 
     weights: dict[bytes, float]
     bias: float
+    known: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> tuple:
+        return self.weights, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        self.weights, self.bias = state
+        self.known = {}
+
+    def telling(self, word: bytes) -> tuple[bytes, ...]:
+        """The features of a word that have a weight; remembered for up to MEMO words."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            found = self.known[word] = tuple(f for f in features(word) if f in self.weights)
+        return found
 
     def sentence_scores(self, parts: list[list[bytes]]) -> np.ndarray:
-        held = self.weights
-        get = held.__getitem__
-        sums = [sum(map(get, {w for w in part if w in held})) for part in parts]
-        return 1 / (1 + np.exp(-np.clip(np.array(sums) + self.bias, -40, 40)))
+        get, telling, weight = self.known.get, self.telling, self.weights.__getitem__
+        sums = np.full(len(parts), self.bias)
+        for i, part in enumerate(parts):
+            held = set()
+            for w in part:
+                found = get(w)
+                if found is None:
+                    found = telling(w)
+                if found:
+                    held.update(found)
+            if held:
+                sums[i] += sum(map(weight, held))
+        return 1 / (1 + np.exp(-np.clip(sums, -40, 40)))
 
     def score(self, text: bytes | None) -> float:
         """Noisy-or over the sentences; a text without words has none, so 0."""
@@ -60,13 +93,16 @@ class Model:
 
     def offending(self, text: bytes | None, cut: float = 0.5) -> list[tuple[int, int, float]]:
         """Start, end (code points) and score of each sentence that scores cut or more."""
-        out = []
-        for m in _SENTENCE.finditer(text or b""):
-            if words := m[0].translate(_TABLE).split():
-                p = float(self.sentence_scores([words])[0])
-                if p >= cut:
-                    start = len(text[: m.start()].decode())
-                    out.append((start, start + len(m[0].decode()), p))
+        places = [m.span() for m in _SENTENCE.finditer(text or b"")]
+        words = [text[s:e].translate(_TABLE).split() for s, e in places]
+        scores = self.sentence_scores(words).tolist()
+        out, seen, chars = [], 0, 0
+        for (s, e), w, p in zip(places, words, scores, strict=True):
+            if w and p >= cut:
+                chars += len(text[seen:s].decode())
+                length = len(text[s:e].decode())
+                out.append((chars, chars + length, p))
+                seen, chars = e, chars + length
         return out
 
 
@@ -76,7 +112,7 @@ def _word_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def make(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((2, SLOTS))
         for text, y in zip(common.texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            at = np.unique([slot(w) for s in sentences(text) for w in set(s)]).astype(int)
+            at = np.unique([slot(f) for w in {w for s in sentences(text) for w in s} for f in features(w)]).astype(int)
             out[0, at] += 1
             out[1, at] += y
         return out.ravel()
@@ -111,12 +147,12 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
         kind = pa.list_(pa.list_(pa.binary()))
         for batch in batches:
             texts = common.texts_of(batch.column(0))
-            found = [[sorted({w for w in s if near[slot(w)]}) for s in sentences(t)] for t in texts]
+            found = [[sorted({f for w in s for f in features(w) if near[slot(f)]}) for s in sentences(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(1)], names=["bags", "y"])
 
     bagged = common.stored(rows.mapInArrow(bags, "bags array<array<binary>>, y double"))
     held = bagged.select(F.explode(F.array_distinct(F.flatten("bags"))).alias("w"), "y")
-    found = held.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("y")).where("n > 1").collect()
+    found = held.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("y")).where("n >= 3").collect()
     if not found:
         return Model({}, float(np.log(share / (1 - share))))
     gains = _gain(np.array([r.n for r in found], float), np.array([r.y for r in found]), share)
