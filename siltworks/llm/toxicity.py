@@ -121,9 +121,13 @@ def _word_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gain(have: np.ndarray, ones: np.ndarray, share: float) -> np.ndarray:
-    """How much knowing that a word is there tells about the label, over the documents that have it."""
+    """How much a feature speaks for toxicity over the documents that have it; 0 if it speaks against it.
+
+    Without toxic words a sentence is clean, so nothing has to be learnt about words of clean documents.
+    """
     rate = (ones + 5 * share) / (have + 5)
-    return have * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    told = have * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    return np.where(ones > share * have, told, 0.0)
 
 
 def fit(rows: DataFrame, steps: int = STEPS) -> Model:
@@ -141,7 +145,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
     have, ones = _word_sums(rows)
     best = np.argsort(-_gain(have, ones, share), kind="stable")[:VOCABULARY]
     near = np.zeros(SLOTS, bool)
-    near[best[have[best] > 0]] = True
+    near[best[_gain(have, ones, share)[best] > 0]] = True
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.list_(pa.binary()))
@@ -151,8 +155,19 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(1)], names=["bags", "y"])
 
     bagged = common.stored(rows.mapInArrow(bags, "bags array<array<binary>>, y double"))
-    held = bagged.select(F.explode(F.array_distinct(F.flatten("bags"))).alias("w"), "y")
-    found = held.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("y")).where("n >= 3").collect()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, list[float]] = {}
+        for batch in batches:
+            for bags_of, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in {w for bag in bags_of for w in bag}:
+                    s = sums.setdefault(w, [0, 0.0])
+                    s[0] += 1
+                    s[1] += y
+        n, y = [s[0] for s in sums.values()], [s[1] for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.binary()), pa.array(n, pa.int64()), pa.array(y, pa.float64())], names=["w", "n", "y"])
+
+    parts = bagged.mapInArrow(counted, "w binary, n long, y double")
+    found = parts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n >= 3").collect()
     if not found:
         return Model({}, float(np.log(share / (1 - share))))
     gains = _gain(np.array([r.n for r in found], float), np.array([r.y for r in found]), share)
