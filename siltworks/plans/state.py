@@ -102,7 +102,7 @@ def _(t):
 
 
 @query("rotation_schedule", "O152", """
-select ws, ord, starts from (select ord % 2 as ws, ord, 1000 + coalesce(sum(priority * 60000) over (partition by ord % 2 order by ord rows between unbounded preceding and 1 preceding), 0) as starts from {keywords} where enabled) x""")
+select ws, ord, 1000 + starts as starts from (select ord % 2 as ws, ord, coalesce(sum(priority * 60000) over (partition by ord % 2 order by ord rows between unbounded preceding and 1 preceding), 0)::double as starts from {keywords} where enabled) x""")
 def _(t):
     slots = t("keywords").selectExpr("ord % 2 as workspace_id", "ord", "keyword", "priority * 60000 as duration_ms", "not enabled as paused")
     return rotation.schedule(slots, F.lit(1000)).select(F.col("workspace_id").alias("ws"), "ord", F.col("starts").cast("double").alias("starts"))
@@ -186,7 +186,7 @@ def _(t):
 
 
 @query("intent_answers", "O91", """
-select k, intent, risk_score, confidence, reasoning from (values (0, 'malicious', 100.0, 0.5, 'why'), (1, 'inconclusive', 0.0, 0.0, 'No reasoning provided by model.'), (2, 'benign', 7.0, 1.0, 'fine'), (3, null, null, null, null))
+select k, intent, risk_score, confidence, reasoning from (values (0, 'malicious', 100e0, 0.5e0, 'why'), (1, 'inconclusive', 0e0, 0e0, 'No reasoning provided by model.'), (2, 'benign', 7e0, 1e0, 'fine'), (3, null, null, null, null))
 t(k, intent, risk_score, confidence, reasoning)""")
 def _(t):
     rows = t.rows([
