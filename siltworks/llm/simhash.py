@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from siltworks.llm import common
 
@@ -62,17 +61,22 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a signed long. Null text counts as empty."""
+    """Rows (doc_id, key, fp): a hash of id and text, and the fingerprint as a signed long. Null text counts as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t) for t in common.texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-            )
+            values = [fingerprint(t) for t in common.texts_of(batch.column(2))]
+            fps = pa.array(np.array(values, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], names=["doc_id", "key", "fp"])
+
+    text = F.col(text_col).cast("string").alias("text")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text)
+    return chosen.mapInArrow(each, "doc_id long, key long, fp long")
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(each, "doc_id long, fp long")
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash that tells rows apart by id and text."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
 
 
 class Golay:
@@ -280,10 +284,10 @@ def _tiled(over: DataFrame, bits: int, tile: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, tile: int = TILE
 ) -> DataFrame:
-    """Rows (doc_id, fp, component_id, root), one for each row of docs.
+    """Rows (doc_id, fp, component_id, root, key), one for each row of docs.
 
     component_id is the smallest id reachable by links of up to `bits` differing bits, root
-    the component's smallest fingerprint. Null and empty texts have fingerprint 0 and link
+    the component's smallest fingerprint, key a hash of id and text. Null and empty texts have fingerprint 0 and link
     like any other. A null id stays null and is no component's id unless the component has
     no other; rows that repeat an id keep a row each. An empty table gives no rows. Other
     columns of docs aren't read.
@@ -300,7 +304,7 @@ def _grouped(marked: DataFrame, bits: int, tile: int) -> DataFrame:
     rooted = common.stored(rooted)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = common.stored(rooted.join(named, "root").select("fp", "component_id", "root"))
-    return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id", "root")
+    return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id", "root", "key")
 
 
 def one_of_each(
@@ -308,25 +312,16 @@ def one_of_each(
 ) -> DataFrame:
     """docs with one row of each component: the smallest id's, all columns as they were.
 
-    Of rows that repeat this id and fingerprint, the one with the smallest text stays; a
-    component without ids keeps one row.
+    Of rows that repeat this id, the one whose id and text hash lowest stays, and of rows alike
+    in both the one with the smallest other columns; a component without ids keeps one row.
     """
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fingerprint(t) for t in common.texts_of(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.array(values, np.uint64).view(np.int64))],
-                names=[*batch.schema.names[:-1], "_fp"],
-            )
-
-    wide = common.packed(docs, F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    wide = wide.mapInArrow(marked, StructType([*wide.schema.fields[:2], StructField("_fp", LongType())]))
-    near = _grouped(common.stored(fingerprints(docs, id_col, text_col)), bits, tile)
-    last = (1 << 63) - 1
-    kept = near.groupBy("root").agg(
-        F.min_by(F.struct("doc_id", "fp"), F.struct(F.coalesce("doc_id", F.lit(last)), "fp")).alias("k")
-    )
-    kept = common.stored(kept.select(F.col("k.doc_id").alias("_k"), F.col("k.fp").alias("_kf")))
-    mine = wide.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_kf")), "left_semi")
-    return mine.groupBy("_id", "_fp").agg(F.min_by("_row", F.coalesce(f"_row.`{text_col}`", F.lit(""))).alias("_row")).select("_row.*")
+    marked = common.stored(fingerprints(docs, id_col, text_col))
+    near = _grouped(marked, bits, tile)
+    last = F.lit((1 << 63) - 1)
+    kept = near.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last), "key")).alias("k"))
+    kept = common.stored(kept.select(F.col("k.key").alias("_kept")))
+    rows = common.packed(docs, row_key(id_col, text_col).alias("_key"))
+    mine = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    if marked.join(kept, F.col("key") == F.col("_kept"), "left_semi").groupBy("key").count().where("count > 1").take(1):
+        mine = mine.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return mine.select("_row.*")
