@@ -59,15 +59,20 @@ def _strength() -> Column:
 
 
 def _fuzzy(units_rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
-    words = units_rows.select("*", F.posexplode(T.tokens(F.col("text"))).alias("word", "token"))
+    """The first word that resembles an alias of each brand that a repository has no other proof of.
+
+    Words travel without the texts they are in; only the texts of first hits are fetched again.
+    """
+    place = ["repo_id", "rank", "entry", "line_number"]
+    words = units_rows.select(*place, F.posexplode(T.tokens(F.col("text"))).alias("word", "token"))
     names = known.select("brand_id", F.posexplode("names").alias("alias_ord", "alias"))
-    alike = T.fuzzy_pairs(words, names)
-    hits = words.join(alike, "token").join(F.broadcast(names), "alias")
-    hits = hits.join(found, ["repo_id", "brand_id"], "left_anti")
+    alike = T.fuzzy_pairs(words, names).select("token", "alias")
+    hits = words.join(alike, "token").join(F.broadcast(names), "alias").join(found, ["repo_id", "brand_id"], "left_anti")
+    first = hits.groupBy("repo_id", "brand_id").agg(F.min(F.struct(*place[1:], "word", "alias_ord", "alias", "token")).alias("f"))
+    first = first.select("repo_id", "brand_id", "f.*").join(units_rows, place)
     at = F.position(F.col("token"), F.lower("text")) - 1
-    proof = F.struct("rank", "entry", "line_number", "word", F.col("alias").alias("alias"), T.snippet(F.col("text"), at, F.length("token")).alias("matched"), "path")
-    first = F.struct("rank", "entry", "line_number", "word", "alias_ord")
-    return hits.groupBy("repo_id", "brand_id").agg(F.min_by(proof, first).alias("proof")).withColumn("type", F.lit("fuzzy"))
+    proof = F.struct("rank", "entry", "line_number", "word", "alias", T.snippet(F.col("text"), at, F.length("token")).alias("matched"), "path")
+    return first.select("repo_id", "brand_id", proof.alias("proof"), F.lit("fuzzy").alias("type"))
 
 
 def best_brand(proofs: DataFrame, brands: DataFrame) -> DataFrame:

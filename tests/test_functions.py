@@ -185,8 +185,8 @@ def test_rules(spark):
     assert fired(spark, description="bypass", file_paths=["x.ps1"])["malware-indicators"].severity == "critical"
     assert fired(spark, files=[("a.sh", "x\npowershell -enc abc")])["obfuscated-commands"].line_number == 2
     assert fired(spark, brand=BRAND, description="big Gift inside")["custom-keyword-match"].severity == "medium"
-    sent = fired(spark, brand=BRAND, files=[("p.html", '<form action="https://acme-pay.example/x"> fetch("https://api.acmepay.com/y")')])
-    assert sent["suspicious-destination"].matched_text == "https://acme-pay.example/x"
+    sent = fired(spark, brand=BRAND, files=[("p.html", '<form action="https://acmepay-login.example/x"> fetch("https://api.acmepay.com/y")')])
+    assert sent["suspicious-destination"].matched_text == "https://acmepay-login.example/x"
     assert fired(spark, brand=BRAND, file_paths=["sub/vercel.json"])["deployment-signal"].evidence == "vercel.json"
     assert fired(spark, brand=BRAND, description="acmepay", followers=0, public_repos=1)["suspicious-owner-account"].severity == "low"
 
@@ -198,7 +198,7 @@ def test_secret_lines(spark):
 
 
 def test_brand_evidence_prefers_owner_then_exact_then_fuzzy(spark):
-    repos = spark.createDataFrame([(1, "x/tool", "Acme-Org"), (2, "x/acmePayTool", "x"), (3, "x/acmepai", "x"), (4, "x/none", "x")], "repo_id long, full_name string, owner string")
+    repos = spark.createDataFrame([(1, "x/tool", "Acme-Org"), (2, "x/other", "x"), (3, "x/acmepai", "x"), (4, "x/none", "x")], "repo_id long, full_name string, owner string")
     rows = repos.withColumns({"description": F.lit(None).cast("string"), "topics": F.array().cast("array<string>"), "file_paths": F.array().cast("array<string>"), "readme_text": F.lit("see AcmePay"),
                               "readme_path": F.lit(None).cast("string"), "files": F.array().cast("array<struct<path:string,content:string>>")})
     rows = rows.withColumn("readme_text", F.when(F.col("repo_id") == 2, F.col("readme_text")).otherwise(""))
