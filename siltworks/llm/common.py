@@ -27,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df written as a table of the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltworks/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path).alias(path.rsplit("/", 1)[1])
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siltworks/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application stored, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table of stored() that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:

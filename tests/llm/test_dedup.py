@@ -103,6 +103,14 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stored_tables_can_be_swept(spark):
+    held = common.stored(spark.range(3).toDF("a"))
+    assert held.count() == 3 and held.inputFiles()
+    common.drop_stored(held)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|NOT_FOUND"):
+        spark.read.parquet(held.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
 def brute_vectors(rows, cosine=0.98):
     good = {}
     for i, x, label in rows:
