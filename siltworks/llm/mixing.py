@@ -19,7 +19,7 @@ from siltworks.llm import common
 WEIGHTS, MOST = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of equal source and size that are ranked together, about.
-RANKED = 4096
+RANKED = 512
 TOLERANCE, MAX_STEPS = 1e-12, 100
 
 
