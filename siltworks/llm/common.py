@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts that a Python worker gets at once.
+BATCH = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
@@ -61,6 +65,17 @@ def fold(doc_id: Column | str, of: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % of, F.lit(0)).cast("int")
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) in batches of BATCH rows, as texts can be long.
+
+    The session's batch size is lowered where it still has Spark's default.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding it."""
     return pc.cast(column, pa.binary()).to_pylist()

@@ -71,7 +71,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _segment(number, ids, found)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.stored(chosen.mapInArrow(each, INDEX))
+    return common.stored(common.mapped(chosen, each, INDEX))
 
 
 class Segment:

@@ -32,6 +32,8 @@ MAX_BITS = 4
 TILE = 16_384
 #: Runs up to this length are compared shifted against themselves.
 SHORT_RUN = 48
+#: Rows of keys that are compared at a time, about.
+GATHERED = 32_768
 #: Lowest bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the Golay code.
@@ -71,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(text_col).cast("string").alias("text")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text)
-    return chosen.mapInArrow(each, "doc_id long, key long, fp long")
+    return common.mapped(chosen, each, "doc_id long, key long, fp long")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -196,6 +198,20 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two columns of batches, about GATHERED rows at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+            held, rows = [], 0
+    if rows:
+        yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+
+
 def links(distinct: DataFrame, bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """Rows (a, b: long) that connect the fingerprints `fp` as all links of up to `bits` bits do.
 
@@ -220,9 +236,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, tile: int = TILE) -> DataFr
 
         none = np.zeros(0, np.int64)
         key, fp, large = none, none, None
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy()])
+        for more_keys, more_fps in _gathered(batches):
+            key, fp = np.concatenate([key, more_keys]), np.concatenate([fp, more_fps])
             if large is not None:  # a run that is dealt out whole
                 mine = key == large
                 if mine.any():
