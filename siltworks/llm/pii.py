@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,19 +94,22 @@ def _characters() -> dict[int, str | None]:
 
 
 CHARACTERS = _characters()
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(CHARACTERS)))) + "]")
+_ODD = frozenset(map(chr, CHARACTERS))
+_ODD_LATIN = re.compile("[" + "".join(c for c in sorted(_ODD) if c <= "\xff") + "]")
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _NAME = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_ADDRESS_END = rf"[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto|point)\s+[A-Za-z0-9-]+)*\s+(?:dot|punkt|punto|point)\s+(?:{_TOP})\b"
+_ADDRESS_END = rf"[A-Za-z0-9-]+(?:[\s_]+(?:dot|punkt|punto|point)[\s_]+[A-Za-z0-9-]+)*[\s_]+(?:dot|punkt|punto|point)[\s_]+(?:{_TOP})\b"
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|arroba|arobase){_CLOSE}|(?<=[A-Za-z0-9])\s+(?:at|arroba|arobase)\s+(?={_ADDRESS_END}))"
-    rf"|(?P<dot>{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|(?<=[A-Za-z0-9])\s+(?:dot|punkt|punto|point)\s+(?=[A-Za-z0-9]))"
+    rf"(?P<at>&#64;|&#x40;|&commat;|{_OPEN}(?:at|arroba|arobase){_CLOSE}|(?<=[A-Za-z0-9])[\s_]+(?:at|arroba|arobase)[\s_]+(?={_ADDRESS_END}))"
+    rf"|(?P<dot>&#46;|&#x2e;|&period;|{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|(?<=[A-Za-z0-9])[\s_]+(?:dot|punkt|punto|point)[\s_]+(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[ -]+(?=[0-9]|(?:{_NAME})\b))"
     rf"|(?P<digits>\b(?:{_NAME})(?:[ ,-]+(?:{_NAME}))*\b)",
     re.IGNORECASE,
 )
-#: What every disguise but an odd character has; a text without any is what the transducer would write.
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|arroba|arobase|dot|punkt|punto|point|\.)\s*[\])}}>]|\b(?:dot|punkt|punto|point|plus|{_NAME})\b", re.IGNORECASE)
+#: What every disguise but an odd character has: one of these words, or a mark and a word in it.
+_HINTS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point", "plus", *_DIGITS))
+_MARKED = re.compile(r"&(?:#64|#x40|commat|#46|#x2e|period);|[\[({<]\s*(?:at|arroba|arobase|dot|punkt|punto|point|\.)\s*[\])}>]", re.IGNORECASE)
+_ASCII_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or 48 <= x <= 57 else 32 for x in range(256))
 _WORD = re.compile("[A-Za-z]+")
 
 
@@ -143,6 +148,23 @@ class Written:
         self.start, self.stop = start + list(self.start[last:]), stop + list(self.stop[last:])
 
 
+def has_odd(text: str) -> bool:
+    """Whether a text has a character that the transducer rewrites."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.isdisjoint(set(text))
+    return bool(_ODD_LATIN.search(text))
+
+
+def has_hint(text: str) -> bool:
+    """Whether a text may have a disguise made of words; without, the transducer would write it as it is."""
+    words = text.encode("utf-8", "replace").translate(_ASCII_WORDS).split()
+    return not _HINTS.isdisjoint(words) or bool(_MARKED.search(text))
+
+
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Plain spans of a whole text, and those added from what the transducer writes.
 
@@ -150,8 +172,8 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """
     text = text or ""
     base = plain(text)
-    odd = not text.isascii() and _ODD.search(text)
-    if not odd and not _HINT.search(text):
+    odd = has_odd(text)
+    if not odd and not has_hint(text):
         return base, []
     w = Written(text)
     if odd:
@@ -190,4 +212,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return chosen.mapInArrow(each, schema)
+    return common.mapped(chosen, each, schema)

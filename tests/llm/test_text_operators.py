@@ -162,6 +162,9 @@ def test_plain_patterns_of_chosen_texts(text):
     [
         ("write to jane.doe [at] mail (dot) example (dot) org now", "email", "jane.doe [at] mail (dot) example (dot) org"),
         ("write jane at example dot com today", "email", "jane at example dot com"),
+        ("write Jane_AT_example_DOT_com today", "email", "Jane_AT_example_DOT_com"),
+        ("write jane&#64;example&period;com today", "email", "jane&#64;example&period;com"),
+        ("write jane@example dot com today", "email", "jane@example dot com"),
         ("é jаne＠example．com.", "email", "jаne＠example．com"),
         ("ja​ne@exam​ple.com", "email", "ja​ne@exam​ple.com"),
         ("call plus one nine eight eight five five five two four eight five ok", "phone", "plus one nine eight eight five five five two four eight five"),
@@ -189,6 +192,16 @@ def test_base_spans_stay_and_added_lie_within(text):
     assert all(0 <= s < e <= len(text) for s, _, e in added)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1@.+[]&;#64 аＡ１​ºé_DOTdotONE", max_size=40))
+def test_texts_without_hints_are_written_as_they_are(text):
+    if not pii.has_odd(text) and not pii.has_hint(text):
+        w = pii.Written(text)
+        w.characters()
+        w.words()
+        assert w.text == text
+
+
 def test_personal_data_of_odd_rows(odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count() and {r.spans for r in got} == {""}
