@@ -19,8 +19,8 @@ from siltworks.llm import common
 SLOTS = 1 << 16
 #: Landmarks of each language, documents of each language to fit on (bounded samples), ridge penalty.
 LANDMARKS, FIT_DOCS, RIDGE = 24, 250, 1e-2
-#: The most languages that are learnt, so that the fitting sample is bounded.
-MAX_LANGUAGES = 64
+#: The most languages that are learnt, and landmarks and documents of all of them, so that the fit is bounded.
+MAX_LANGUAGES, MOST_LANDMARKS, MOST_FIT_DOCS = 64, 256, 4096
 #: Characters of a text that are hashed at a time, which bounds memory; all of them are.
 CHUNK = 1 << 20
 
@@ -86,34 +86,34 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple[list[int], str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def fit(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model of (slots, language) rows, of which the first of each language are the landmarks."""
     rows = [r for r in rows if len(r[0])]
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
-    x = np.zeros((len(rows), SLOTS), np.float32)
-    for i, (g, _) in enumerate(rows):
-        x[i, g] = 1 / np.sqrt(len(g))
+    each = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
     picked, taken = [], dict.fromkeys(languages, 0)
     for i, (_, lang) in enumerate(rows):
-        if taken[lang] < landmarks:
+        if taken[lang] < each:
             taken[lang] += 1
             picked.append(i)
-    mark = x[picked]
-    k_mark = (mark @ mark.T).astype(float)
-    k_rows = (x @ mark.T).astype(float)
-    value, vector = np.linalg.eigh(k_mark)
+    norm = np.sqrt([len(g) for g, _ in rows])
+    mark = np.zeros((SLOTS, len(picked)), np.float32)
+    for k, i in enumerate(picked):
+        mark[rows[i][0], k] = 1 / norm[i]
+    k_rows = np.array([mark[g].sum(0, dtype=float) for g, _ in rows]) / norm[:, None]
+    value, vector = np.linalg.eigh(k_rows[picked])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = np.column_stack([k_rows @ root, np.ones(len(rows))])
-    y = np.array([[1.0 if lang == name else -1.0 for name in languages] for _, lang in rows])
-    share = np.array([1 / max(1, sum(lang == r[1] for r in rows)) for lang in languages])
-    w = np.array([share[languages.index(lang)] for _, lang in rows])
+    place = np.array([languages.index(lang) for _, lang in rows])
+    y = np.where(place[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    w = 1 / np.bincount(place)[place]
     w *= len(rows) / w.sum()
     left = phi.T @ (phi * w[:, None]) + ridge * np.eye(phi.shape[1])
     alpha = np.linalg.solve(left, phi.T @ (y * w[:, None]))
-    weights = (mark.T @ (root @ alpha[:-1])).astype(np.float32)
+    weights = mark @ (root @ alpha[:-1]).astype(np.float32)
     return Model(languages, weights, alpha[-1], 4.0)
 
 
@@ -137,7 +137,7 @@ def predicted(docs: DataFrame, model: Model | None, others: tuple[str, ...] = ()
 
     chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(each, f"{schema}, lang_pred string, score double")
+    return common.mapped(chosen, each, f"{schema}, lang_pred string, score double")
 
 
 def sample(docs: DataFrame, each_language: int = FIT_DOCS) -> list[tuple[np.ndarray, str]]:
@@ -155,11 +155,12 @@ def sample(docs: DataFrame, each_language: int = FIT_DOCS) -> list[tuple[np.ndar
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return []
+    each_language = min(each_language, MOST_FIT_DOCS // len(sizes))
     steps = 1 << 30
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], int(steps * min(1.0, 1.2 * each_language / r[1])))))
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(steps)).alias("h")
     picked = known.select("text", "lang", h).where(F.col("h") < F.element_at(share, F.col("lang")))
-    got = picked.mapInArrow(slots, "g binary, lang string, h long").collect()
+    got = common.mapped(picked, slots, "g binary, lang string, h long").collect()
     rows, taken = [], dict.fromkeys((r[0] for r in sizes), 0)
     for r in sorted(got, key=lambda r: (r.lang, r.h, r.g)):
         taken[r.lang] += 1

@@ -14,6 +14,8 @@ from siltworks.llm import common
 
 #: Random Fourier features; width of the Gaussian kernel in standard deviations; ridge penalty.
 FEATURES, WIDTH, RIDGE, SEED, FOLDS = 192, 4.0, 1.0, 7, 4
+#: Partitions that sums are taken over, so what meets in a task or the driver is bounded.
+PARTS = 128
 #: Score bins of the calibration, which bound what the driver gets.
 BINS = 2000
 STATISTICS = (
@@ -63,7 +65,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(each, "doc_id long, x array<double>")
+    return common.mapped(chosen, each, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -92,7 +94,10 @@ def lifted(x: np.ndarray, waves: np.ndarray, phases: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, make, columns: int) -> np.ndarray:
-    """The sum of make(batch)'s arrays over all rows, by partition and then in a few groups."""
+    """The sum of make(batch)'s arrays over all rows, by partition and then in a few groups.
+
+    At most PARTS partitions send an array each, so a group has a bounded number of them.
+    """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(columns)
@@ -106,7 +111,7 @@ def _summed(rows: DataFrame, make, columns: int) -> np.ndarray:
 
         return pd.DataFrame({"sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
 
-    grouped = rows.mapInArrow(parts, "sums binary").groupBy(F.spark_partition_id() % 8)
+    grouped = rows.coalesce(PARTS).mapInArrow(parts, "sums binary").groupBy(F.spark_partition_id() % 8)
     return sum((np.frombuffer(r.sums) for r in grouped.applyInPandas(added, "sums binary").collect()), np.zeros(columns))
 
 

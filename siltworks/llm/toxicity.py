@@ -23,7 +23,7 @@ from siltworks.llm import common, quality
 FIT_DOCS, SLOTS, VOCABULARY = 8000, 1 << 18, 1024
 STEPS, RATE, PENALTY = 300, 0.05, 3e-4
 #: Bytes of a word's beginnings that are features; words whose features a task remembers.
-STEMS, MEMO = (4, 5, 6), 300_000
+STEMS, MEMO = (4, 5, 6), 100_000
 #: Ends of sentences become line feeds, other characters that no word has blanks, capitals small.
 _TABLE = bytes(
     10 if x in b".!?\n" else x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 or x == 39 else 32
@@ -154,7 +154,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
             found = [[sorted({f for w in s for f in features(w) if near[slot(f)]}) for s in sentences(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(1)], names=["bags", "y"])
 
-    bagged = common.stored(rows.mapInArrow(bags, "bags array<array<binary>>, y double"))
+    bagged = common.stored(common.mapped(rows, bags, "bags array<array<binary>>, y double"))
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[bytes, list[float]] = {}
         for batch in batches:
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, model: Model, others: tuple[str, ...] = (), spans: b
     chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     tail = ", spans array<struct<start:int,stop:int,score:double>>" * spans
-    return chosen.mapInArrow(each, f"{schema}, score double{tail}")
+    return common.mapped(chosen, each, f"{schema}, score double{tail}")
 
 
 def learnt(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, at_most: int = FIT_DOCS) -> Model:
@@ -254,4 +254,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataF
             texts = common.texts_of(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([model.score(t) < cut for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return common.mapped(docs, clean, docs.schema)
