@@ -68,11 +68,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= SHORTEST_TOKEN)
 
 
+#: What JavaScript's trim() takes away.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def snippet(text: Column, at: Column, length: Column) -> Column:
     """What surrounds a hit, with an ellipsis where something is cut off."""
     start = F.greatest(F.lit(0), at - SNIPPET)
     stop = F.least(F.length(text), at + length + SNIPPET)
-    cut = F.trim(F.substr(text, start + 1, stop - start))
+    cut = F.regexp_replace(F.substr(text, start + 1, stop - start), f"^{SPACE}+|{SPACE}+$", "")
     return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(stop < F.length(text), "…").otherwise(""))
 
 

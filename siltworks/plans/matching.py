@@ -113,6 +113,12 @@ def _(t):
     return rows.select("doc_id", T.snippet(F.col("text"), F.col("at"), F.lit(3)).alias("shown"))
 
 
+@query("snippets_all", "O46")
+def _(t):
+    rows = t("documents").withColumn("at", F.position(F.lit("the"), F.lower("text")) - 1).where("at >= 0")
+    return rows.select("doc_id", T.snippet(F.col("text"), F.col("at"), F.lit(3)).alias("shown"))
+
+
 @query("keyword_dedupe", "O48", "select ord, trim(keyword) as keyword from (select *, row_number() over (partition by lower(trim(keyword)) order by ord) rn from {keywords} where trim(keyword) <> '') x where rn = 1")
 def _(t):
     return T.first_spellings(t("keywords"), "keyword", "ord").select("ord", "keyword")

@@ -1,0 +1,29 @@
+"""Queries over whole tables, against plain Python."""
+
+from siltworks.plans import catalog
+
+AT = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return spark.read.parquet(f"{AT}/{name}.parquet")
+
+
+def test_snippets_of_all_documents(spark):
+    want = {}
+    for r in rows(spark, "documents").collect():
+        at = (r.text or "").lower().find("the")
+        if at >= 0:
+            start, stop = max(0, at - 40), min(len(r.text), at + 43)
+            want[r.doc_id] = "…" * (start > 0) + r.text[start:stop].strip() + "…" * (stop < len(r.text))
+    got = {r.doc_id: r.shown for r in catalog.QUERIES["snippets_all"](spark, AT).collect()}
+    assert got == want and any("\n" in s for s in got.values())
+
+
+def test_snippets_are_trimmed_of_line_feeds(spark):
+    from pyspark.sql import functions as F
+
+    from siltworks.functions import text as T
+
+    df = spark.createDataFrame([("a" * 50 + "\n" + " " * 39 + "the\tx\n\n",)], "text string")
+    assert df.select(T.snippet(F.col("text"), F.position(F.lit("the"), "text") - 1, F.lit(3))).first()[0] == "…the\tx"
