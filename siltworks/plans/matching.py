@@ -311,6 +311,11 @@ def _(t):
     return extract.phrases(plain, "doc_id", "text").withColumn("turn", F.col("turn").cast("long"))
 
 
+@query("distinctive_phrases_all", "O78")
+def _(t):
+    return extract.phrases(t("documents"), "doc_id", "text").withColumn("turn", F.col("turn").cast("long"))
+
+
 @query("contacts", "O67", """
 select doc_id, lower(v) as value from (select doc_id, unnest(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) as v from {documents}) x group by doc_id, lower(v)""")
 def _(t):

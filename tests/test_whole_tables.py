@@ -27,3 +27,33 @@ def test_snippets_are_trimmed_of_line_feeds(spark):
 
     df = spark.createDataFrame([("a" * 50 + "\n" + " " * 39 + "the\tx\n\n",)], "text string")
     assert df.select(T.snippet(F.col("text"), F.position(F.lit("the"), "text") - 1, F.lit(3))).first()[0] == "…the\tx"
+
+
+def test_phrases_of_all_documents(spark):
+    import re
+
+    from siltworks.functions import constants as K
+
+    quoted = re.compile(r'''"(?:[^"\\]|\\.){3,300}"|\'(?:[^\'\\]|\\.){3,300}\'''')
+    want = []
+    for r in rows(spark, "documents").collect():
+        found, at = {}, 0
+        for line in re.split(r"\r?\n", r.text or ""):
+            for raw in [h[1:-1] for h in quoted.findall(line)] or [line]:
+                s = re.sub(r"[ \t\n\x0b\f\r]+", " ", raw).strip(" ")
+                n = len([w for w in re.findall("[a-z]{2,}", s.lower()) if len(w) >= 4 and w not in K.STOPWORDS])
+                if 12 <= len(s) <= 200 and s.lower() not in K.BOILERPLATE and n >= 3:
+                    found.setdefault(s.lower(), (-n, at, s))
+                at += 1
+        want += [(r.doc_id, s, -n, k) for k, (n, _, s) in enumerate(sorted(found.values()), 1)]
+    got = catalog.QUERIES["distinctive_phrases_all"](spark, AT).collect()
+    assert sorted((r.doc_id, r.text, r.significant_words, r.turn) for r in got) == sorted(want)
+    assert {r.doc_id for r in got} >= {r.doc_id for r in catalog.QUERIES["distinctive_phrases"](spark, AT).collect()}
+
+
+def test_quoted_phrases(spark):
+    from siltworks.functions import extract
+
+    df = spark.createDataFrame([(1, 'say "quick brown foxes" and \'lazy sleeping hounds\'\nplain words without quotes')], "k int, text string")
+    got = [r.text for r in extract.phrases(df, "k", "text").orderBy("turn").collect()]
+    assert got == ["plain words without quotes", "quick brown foxes", "lazy sleeping hounds"]
