@@ -214,11 +214,21 @@ def _(t):
 @query("patch_files", "O8", """
 select l_orderkey as repo_id, 'history/' || substr(md5(cast(l_partkey as string)), 1, 7) || '/f' || l_linenumber as path, 'new ' || l_partkey || chr(10) || 'x' as content from {lineitem} where l_orderkey < 50""")
 def _(t):
-    rows = t("lineitem").where("l_orderkey < 50").selectExpr(
+    return source.history_files(patches(t("lineitem").where("l_orderkey < 50"))).select("repo_id", "path", "content")
+
+
+@query("patch_files_all", "O8", """
+select l_orderkey as repo_id, 'history/' || substr(md5(cast(l_partkey as string)), 1, 7) || '/f' || l_linenumber as path, 'new ' || l_partkey || chr(10) || 'x' as content from {lineitem}
+qualify dense_rank() over (partition by l_orderkey order by l_linenumber) <= 15 and row_number() over (partition by l_orderkey order by l_linenumber) <= 30""")
+def _(t):
+    return source.history_files(patches(t("lineitem"))).select("repo_id", "path", "content")
+
+
+def patches(lines):
+    return lines.selectExpr(
         "l_orderkey as repo_id", "l_linenumber as commit_ord", "md5(cast(cast(l_partkey as string) as binary)) as sha", "concat('f', l_linenumber) as path",
         "concat('--- a\\n+++ b\\n+new ', l_partkey, '\\n-old\\n same\\n+x') as patch",
     )
-    return source.history_files(rows).select("repo_id", "path", "content")
 
 
 @query("added_lines", "O8", "select o_orderkey, 'new ' || o_orderkey || chr(10) || 'x' as content from {orders}")

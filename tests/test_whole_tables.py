@@ -57,3 +57,8 @@ def test_quoted_phrases(spark):
     df = spark.createDataFrame([(1, 'say "quick brown foxes" and \'lazy sleeping hounds\'\nplain words without quotes')], "k int, text string")
     got = [r.text for r in extract.phrases(df, "k", "text").orderBy("turn").collect()]
     assert got == ["plain words without quotes", "quick brown foxes", "lazy sleeping hounds"]
+
+
+def test_patches_of_all_orders(spark):
+    want = {r.l_orderkey for r in rows(spark, "lineitem").collect()}
+    assert {r.repo_id for r in catalog.QUERIES["patch_files_all"](spark, AT).collect()} == want and max(want) >= 50
