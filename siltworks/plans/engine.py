@@ -375,6 +375,14 @@ def _(t):
     return rows.select("finding_id", "full_name", F.array_join(F.transform("detections", lambda d: d["rule_id"]), ",").alias("rules"))
 
 
+@query("finding_detail_all", "O171", """
+select f.finding_id, r.full_name, d.rules from {findings} f left join {repositories} r on r.repo_id = f.repo_id
+left join (select finding_id, string_agg(rule_id, ',' order by ord, rule_id) as rules from {detections} group by finding_id) d on d.finding_id = f.finding_id""")
+def _(t):
+    rows = views.finding_detail(t("findings"), t("repositories"), t("detections"))
+    return rows.select("finding_id", "full_name", F.array_join(F.transform("detections", lambda d: d["rule_id"]), ",").alias("rules"))
+
+
 @query("dimension_lists", "O173", "select 'brand' as kind, brand_name as name from {brands} union all select 'keyword', keyword from {keywords}")
 def _(t):
     brands = t("brands").select(F.lit("brand").alias("kind"), F.col("brand_name").alias("name")).orderBy("name")

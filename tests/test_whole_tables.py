@@ -62,3 +62,11 @@ def test_quoted_phrases(spark):
 def test_patches_of_all_orders(spark):
     want = {r.l_orderkey for r in rows(spark, "lineitem").collect()}
     assert {r.repo_id for r in catalog.QUERIES["patch_files_all"](spark, AT).collect()} == want and max(want) >= 50
+
+
+def test_detail_of_all_findings(spark):
+    want = sorted(r.finding_id for r in catalog.Tables(spark, AT)("findings").select("finding_id").collect())
+    found = catalog.QUERIES["finding_detail_all"](spark, AT)
+    assert sorted(r.finding_id for r in found.collect()) == want
+    at = "/root/testdata/sf0.01"
+    assert catalog.QUERIES["finding_detail_all"](spark, at).where("finding_id >= 200").count() == catalog.Tables(spark, at)("findings").where("finding_id >= 200").count() > 0
