@@ -164,6 +164,13 @@ def _(t):
     return discovery.splits(rows).select("query", F.col("part").cast("long").alias("part"), (F.col("depth") - 1).alias("depth"))
 
 
+@query("query_splits_all", "O142", """
+select query, part, depth from (select p_name as query, p_size % 3 as depth, p_partkey from {part} where p_size % 3 < 1) x, range(0, 9) r(part) where p_partkey % 2 = 0""")
+def _(t):
+    rows = t("part").selectExpr("p_name as query", "if(p_partkey % 2 = 0, 950, 949) as total", "1 as page", "p_size % 3 as depth")
+    return discovery.splits(rows).select("query", F.col("part").cast("long").alias("part"), (F.col("depth") - 1).alias("depth"))
+
+
 @query("query_preview", "O169", """select 'wallet' as repo_query, '"wallet" fork:true' as code_query""")
 def _(t):
     return discovery.preview(discovery.query_families(brands(t).where("brand_id = 1"), t("keywords"), only_keyword="wallet", secret_files=False))

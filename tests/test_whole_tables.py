@@ -70,3 +70,8 @@ def test_detail_of_all_findings(spark):
     assert sorted(r.finding_id for r in found.collect()) == want
     at = "/root/testdata/sf0.01"
     assert catalog.QUERIES["finding_detail_all"](spark, at).where("finding_id >= 200").count() == catalog.Tables(spark, at)("findings").where("finding_id >= 200").count() > 0
+
+
+def test_splits_of_all_searches(spark):
+    want = sorted(r.p_name for r in rows(spark, "part").collect() if r.p_partkey % 2 == 0 and r.p_size % 3 < 1 for _ in range(9))
+    assert sorted(r["query"] for r in catalog.QUERIES["query_splits_all"](spark, AT).collect()) == want
