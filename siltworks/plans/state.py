@@ -51,7 +51,7 @@ def _(t):
 
 @query("branch_analysis", "O168")
 def _(t):
-    c = context(t).where("repo_id % 50 = 7").withColumns({"stars": F.lit(0), "forks": F.lit(0), "is_fork": F.lit(False), "created_at": F.lit("2024-01-10").cast("timestamp")})
+    c = context(t).withColumns({"stars": F.lit(0), "forks": F.lit(0), "is_fork": F.lit(False), "created_at": F.lit("2024-01-10").cast("timestamp")})
     found = rules.analysed(c, F.lit("2024-01-10").cast("timestamp"))
     keys = found.groupBy("repo_id").agg(F.collect_list("rule_id").alias("r"))
     return keys.select("repo_id", hashing.finding_key(F.col("repo_id"), F.col("r"), F.lit("dev")).alias("key"))

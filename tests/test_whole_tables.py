@@ -75,3 +75,8 @@ def test_detail_of_all_findings(spark):
 def test_splits_of_all_searches(spark):
     want = sorted(r.p_name for r in rows(spark, "part").collect() if r.p_partkey % 2 == 0 and r.p_size % 3 < 1 for _ in range(9))
     assert sorted(r["query"] for r in catalog.QUERIES["query_splits_all"](spark, AT).collect()) == want
+
+
+def test_branch_analysis_of_all_repositories(spark):
+    got = [r.repo_id for r in catalog.QUERIES["branch_analysis"](spark, AT).collect()]
+    assert len(got) == len(set(got)) and {k % 50 for k in got} - {7}
