@@ -1,28 +1,36 @@
-"""What the operators share: tables cut from their lineage, held-out folds, components."""
+"""What the operators share: tables cut from their lineage, held-out folds, row keys, components."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Texts that a Python worker gets at once.
+#: Rows that a function of mapped() gets at once. Spark bounds what it sends by bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch), so long texts come in fewer rows.
 BATCH = 1000
+#: Of each thread, the tables that its open scratches have stored.
+_scopes: dict[int, list[list[str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (tests on one machine), a temporary folder is made and set.
+    Where it is unset on one machine (a local master, as in tests), a temporary folder is made
+    and set. On a cluster that is an error, as executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="siltworks-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -33,25 +41,71 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    for scope in _scopes.get(threading.get_ident(), [])[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path).alias(path.rsplit("/", 1)[1])
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within are deleted at its end, but for those given to the function that it yields.
+
+    Those belong to the scratch around it, if any. What is returned from within must read kept tables only.
+    """
+    scopes = _scopes.setdefault(threading.get_ident(), [])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(folder.rsplit("/", 1)[1] for folder in _folders(df))
+        return df
+
+    scopes.append([])
+    try:
+        yield keep
+    finally:
+        for path in scopes.pop():
+            if path.rsplit("/", 1)[1] not in kept:
+                _delete(spark, path)
+            elif scopes:
+                scopes[-1].append(path)
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siltworks/{spark.sparkContext.applicationId}"
 
 
+def _folders(df: DataFrame) -> set[str]:
+    """The folders of the tables that df reads."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application stored, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete a table of stored() that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        _delete(df.sparkSession, folder)
+
+
+def row_key(*columns: Column | str) -> Column:
+    """16 bytes that tell rows apart by the columns' texts; null differs from every text.
+
+    The MD5 of each column's length (-1 for null) and bytes, so no two rows are written alike.
+    """
+    parts = []
+    for c in columns:
+        value = (F.col(c) if isinstance(c, str) else c).cast("string").cast("binary")
+        size = F.coalesce(F.octet_length(value), F.lit(-1)).cast("string")
+        parts += [F.concat(size, F.lit(":")).cast("binary"), F.coalesce(value, F.lit(b""))]
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def packed(df: DataFrame, *more: Column) -> DataFrame:
@@ -66,14 +120,14 @@ def fold(doc_id: Column | str, of: int) -> Column:
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow(function, schema) in batches of BATCH rows, as texts can be long.
+    """df.mapInArrow(function, schema), where function gets at most BATCH rows at once."""
 
-    The session's batch size is lowered where it still has Spark's default.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) == 10_000:
-        conf.set(key, str(BATCH))
-    return df.mapInArrow(function, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                yield batch.slice(at, BATCH)
+
+    return df.mapInArrow(lambda batches: function(cut(batches)), schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes | None]:
@@ -82,7 +136,7 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges(a, b: long) as rows (node, root).
+    """Connected components of edges(a, b), two numbers or two keys, as rows (node, root).
 
     root is the smallest node of the component. Alternates the large-star and the
     small-star contraction; a node's links are only ever reduced to their minimum and

@@ -6,6 +6,7 @@ the counts that each has. n-grams are told apart by a hash of SLOTS values.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,34 +20,37 @@ from siltworks.llm import common
 SLOTS = 1 << 16
 #: Landmarks of each language, documents of each language to fit on (bounded samples), ridge penalty.
 LANDMARKS, FIT_DOCS, RIDGE = 24, 250, 1e-2
-#: The most languages that are learnt, and landmarks and documents of all of them, so that the fit is bounded.
-MAX_LANGUAGES, MOST_LANDMARKS, MOST_FIT_DOCS = 64, 256, 4096
+#: Landmarks and fitted documents of all languages together, as far as one landmark and LEAST_DOCS of each
+#: allow. However many languages there are, each of them is learnt.
+MOST_LANDMARKS, MOST_FIT_DOCS, LEAST_DOCS = 256, 4096, 16
 #: Characters of a text that are hashed at a time, which bounds memory; all of them are.
 CHUNK = 1 << 20
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Sorted slots of the n-grams of a whole text, lower-cased, runs of non-letters as one blank."""
+    """Sorted slots of the n-grams of a whole text, lower-cased, runs of non-letters as one blank.
+
+    A chunk carries on the last two characters that were kept of the chunks before it, so a
+    text has the same n-grams however it is cut.
+    """
     if not text:
         return np.zeros(0, np.int64)
-    text, held = f" {text} ", np.zeros(SLOTS, bool)
+    text, held, some = f" {text.lower()} ", np.zeros(SLOTS, bool), False
+    carried, after_letter = np.zeros(0, np.uint32), True
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - 2) : at + CHUNK].lower()
+        part = text[at : at + CHUNK]
         c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
         letter = _letters(c, part)
-        c = np.where(letter, c, 32)
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        keep[0] = True
-        c = c[keep].astype(np.uint32)
-        if not letter.any():
-            continue
+        keep = letter | np.r_[after_letter, letter[:-1]]
+        some, after_letter = some or bool(letter.any()), bool(letter[-1])
+        c = np.concatenate([carried, np.where(letter, c, 32)[keep].astype(np.uint32)])
+        carried = c[-2:]
         one = c * np.uint32(2654435761)
         two = (one[:-1] ^ (c[1:] * np.uint32(2246822519))) * np.uint32(3266489917)
         three = (two[:-1] ^ (c[2:] * np.uint32(668265263))) * np.uint32(374761393)
         for g in (one * np.uint32(2246822519), two, three):
             held[g >> np.uint32(16)] = True
-    return np.flatnonzero(held)
+    return np.flatnonzero(held) if some else np.zeros(0, np.int64)
 
 
 def _letters(c: np.ndarray, part: str) -> np.ndarray:
@@ -67,7 +71,7 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """Languages and, for each, what a text's n-grams add to its score."""
+    """Languages and, for each, what a text's n-grams add to its score (a quarter of a MB a language)."""
 
     languages: list[str]
     weights: np.ndarray
@@ -87,17 +91,20 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """A model of (slots, language) rows, of which the first of each language are the landmarks."""
+    """A model of (slots, language) rows.
+
+    The first row of each language is a landmark, further ones are taken from the languages in
+    turn, up to `landmarks` of each and MOST_LANDMARKS of all.
+    """
     rows = [r for r in rows if len(r[0])]
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
-    each = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
-    picked, taken = [], dict.fromkeys(languages, 0)
+    turn, taken = [], dict.fromkeys(languages, 0)
     for i, (_, lang) in enumerate(rows):
-        if taken[lang] < each:
-            taken[lang] += 1
-            picked.append(i)
+        turn.append((taken[lang], i))
+        taken[lang] += 1
+    picked = [i for nth, i in sorted(turn)[: max(MOST_LANDMARKS, len(languages))] if nth < landmarks]
     norm = np.sqrt([len(g) for g, _ in rows])
     mark = np.zeros((SLOTS, len(picked)), np.float32)
     for k, i in enumerate(picked):
@@ -107,7 +114,8 @@ def fit(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: f
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = np.column_stack([k_rows @ root, np.ones(len(rows))])
-    place = np.array([languages.index(lang) for _, lang in rows])
+    number = {lang: k for k, lang in enumerate(languages)}
+    place = np.array([number[lang] for _, lang in rows])
     y = np.where(place[:, None] == np.arange(len(languages)), 1.0, -1.0)
     w = 1 / np.bincount(place)[place]
     w *= len(rows) / w.sum()
@@ -141,27 +149,33 @@ def predicted(docs: DataFrame, model: Model | None, others: tuple[str, ...] = ()
 
 
 def sample(docs: DataFrame, each_language: int = FIT_DOCS) -> list[tuple[np.ndarray, str]]:
-    """Slots and language of up to `each_language` documents a language, by hash of id.
+    """Slots and language of up to `each_language` different documents a language, by hash of id and text.
 
-    Languages beyond the MAX_LANGUAGES commonest aren't learnt.
+    Of all languages together, about MOST_FIT_DOCS, but LEAST_DOCS of each.
     """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [grams(t).astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["g", "lang", "h"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.binary()), *batch.columns[1:]], names=["g", "lang", "h"]
+            )
 
-    known = docs.where("text is not null and lang is not null and lang <> 'und'")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"), F.col("text"))
+    known = docs.where("text is not null and lang is not null").select("text", "lang", hashed.alias("h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    languages = sizes.agg(F.count("*")).first()[0]
+    if not languages:
         return []
-    each_language = min(each_language, MOST_FIT_DOCS // len(sizes))
+    each_language = min(each_language, max(LEAST_DOCS, MOST_FIT_DOCS // languages))
+    # what a language's rows must hash below, so that a few more than each_language do; identical rows count once
     steps = 1 << 30
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], int(steps * min(1.0, 1.2 * each_language / r[1])))))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(steps)).alias("h")
-    picked = known.select("text", "lang", h).where(F.col("h") < F.element_at(share, F.col("lang")))
+    share = F.least(F.lit(1.0), 1.2 * (each_language + 20) / F.col("n")) * steps
+    below = common.stored(sizes.select(F.col("lang").alias("of"), share.cast("long").alias("below")))
+    near = known.join(below, (F.col("lang") == F.col("of")) & (F.pmod("h", F.lit(steps)) < F.col("below")))
+    picked = near.select("text", "lang", "h").dropDuplicates(["lang", "h"])
     got = common.mapped(picked, slots, "g binary, lang string, h long").collect()
-    rows, taken = [], dict.fromkeys((r[0] for r in sizes), 0)
+    rows, taken = [], Counter()
     for r in sorted(got, key=lambda r: (r.lang, r.h, r.g)):
         taken[r.lang] += 1
         if taken[r.lang] <= each_language:
@@ -173,8 +187,9 @@ def language_of(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of docs.
 
     Learns from text and lang of the rows that aren't held out (crc32(doc_id as text) mod 5
-    is 0), where both are known. A text that is null or has no letter, or any text if nothing
-    could be learnt, is `und` with score 0. Rows with equal ids are predicted one by one;
+    is 0), where both are known, all values of lang alike. A text that is null or has no
+    letter, or any text if nothing could be learnt, is `und` with score 0; very long texts
+    count whole. Rows with equal ids are predicted one by one; an empty table gives no rows;
     other columns of docs aren't read.
     """
     rows = docs.withColumn("held_out", common.fold("doc_id", 5) == 0)

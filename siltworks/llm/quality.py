@@ -14,8 +14,8 @@ from siltworks.llm import common
 
 #: Random Fourier features; width of the Gaussian kernel in standard deviations; ridge penalty.
 FEATURES, WIDTH, RIDGE, SEED, FOLDS = 192, 4.0, 1.0, 7, 4
-#: Partitions that sums are taken over, so what meets in a task or the driver is bounded.
-PARTS = 128
+#: The least number of tasks that a sum may take, and the groups in which the tasks' sums are added.
+PARTS, GROUPS = 128, (64, 8)
 #: Score bins of the calibration, which bound what the driver gets.
 BINS = 2000
 STATISTICS = (
@@ -94,25 +94,41 @@ def lifted(x: np.ndarray, waves: np.ndarray, phases: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, make, columns: int) -> np.ndarray:
-    """The sum of make(batch)'s arrays over all rows, by partition and then in a few groups.
+    """The sum of make(batch)'s arrays over all rows: by partition, then in GROUPS[0] and GROUPS[1] tasks.
 
-    At most PARTS partitions send an array each, so a group has a bounded number of them.
+    Each sum reads one array at a time, and the driver gets GROUPS[1] of them. With more
+    partitions than PARTS and four for each core, a task takes several.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = np.zeros(columns)
         for batch in batches:
             if batch.num_rows:
                 total += make(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield _sums(TaskContext.get().partitionId(), total)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(columns), 0
+        for batch in batches:
+            for number, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total += np.frombuffer(sums.as_buffer())
+                part = number
+        yield _sums(part, total)
 
-    def added(frame):
-        import pandas as pd
+    schema = "part long, sums binary"
+    most = max(PARTS, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = rows.coalesce(most).mapInArrow(parts, schema)
+    for groups in GROUPS:
+        found = found.withColumn("part", F.col("part") % groups).groupBy("part").applyInArrow(added, schema)
+    return sum((np.frombuffer(r.sums) for r in found.collect()), np.zeros(columns))
 
-        return pd.DataFrame({"sums": [sum(np.frombuffer(x) for x in frame["sums"]).tobytes()]})
 
-    grouped = rows.coalesce(PARTS).mapInArrow(parts, "sums binary").groupBy(F.spark_partition_id() % 8)
-    return sum((np.frombuffer(r.sums) for r in grouped.applyInPandas(added, "sums binary").collect()), np.zeros(columns))
+def _sums(part: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"]
+    )
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -215,8 +231,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None =
 
     Learns labels.quality from the rows that aren't held out (crc32(doc_id as text) mod 5 is
     0 by default) and reads nothing but texts for a score. Null and empty texts have zero
-    statistics; repeated rows and ids are scored one by one and, if labelled, count as often;
-    without any label each score is 0.5. Other columns of docs aren't read.
+    statistics, very long ones count whole; repeated rows and ids are scored one by one and,
+    if labelled, count as often; without any label each score is 0.5. An empty table gives no
+    rows. Other columns of docs aren't read.
     """
     out = common.fold("doc_id", 5) == 0 if held_out is None else held_out
     rows = common.stored(described(docs)).withColumn("held_out", out)

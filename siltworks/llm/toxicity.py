@@ -7,7 +7,6 @@ scores then say where a document offends.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +28,6 @@ _TABLE = bytes(
     10 if x in b".!?\n" else x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 or x == 39 else 32
     for x in range(256)
 )
-_SENTENCE = re.compile(rb"[^.!?\n]+")
 
 
 def sentences(text: bytes | None) -> list[list[bytes]]:
@@ -38,6 +36,16 @@ def sentences(text: bytes | None) -> list[list[bytes]]:
     return [x for x in found if x]
 
 
+def places(text: bytes | None) -> list[tuple[int, int]]:
+    """Where in the bytes of a text each of sentences() lies."""
+    out, at = [], 0
+    for part in (text or b"").translate(_TABLE).split(b"\n"):
+        if part.strip():
+            out.append((at, at + len(part)))
+        at += len(part) + 1
+    return out
+
+
 def features(word: bytes) -> list[bytes]:
     """The word itself and its beginnings, so that unseen endings of a learnt stem count."""
     return [word + b"$", *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
@@ -88,22 +96,26 @@ class Model:
 
     def score(self, text: bytes | None) -> float:
         """Noisy-or over the sentences; a text without words has none, so 0."""
-        p = self.sentence_scores(sentences(text))
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return noisy_or(self.sentence_scores(sentences(text)))
 
-    def offending(self, text: bytes | None, cut: float = 0.5) -> list[tuple[int, int, float]]:
-        """Start, end (code points) and score of each sentence that scores cut or more."""
-        places = [m.span() for m in _SENTENCE.finditer(text or b"")]
-        words = [text[s:e].translate(_TABLE).split() for s, e in places]
-        scores = self.sentence_scores(words).tolist()
+    def judged(self, text: bytes | None, cut: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+        """The text's score, and start, end (code points) and score of each sentence that scores cut or more."""
+        p = self.sentence_scores(sentences(text))
+        if not len(p) or p.max() < cut:
+            return noisy_or(p), []
         out, seen, chars = [], 0, 0
-        for (s, e), w, p in zip(places, words, scores, strict=True):
-            if w and p >= cut:
+        for (s, e), one in zip(places(text), p.tolist(), strict=True):
+            if one >= cut:
                 chars += len(text[seen:s].decode())
                 length = len(text[s:e].decode())
-                out.append((chars, chars + length, p))
+                out.append((chars, chars + length, one))
                 seen, chars = e, chars + length
-        return out
+        return noisy_or(p), out
+
+
+def noisy_or(p: np.ndarray) -> float:
+    """The chance that any of independent events of chances p happens."""
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
 def _word_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +167,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(1)], names=["bags", "y"])
 
     bagged = common.stored(common.mapped(rows, bags, "bags array<array<binary>>, y double"))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[bytes, list[float]] = {}
         for batch in batches:
@@ -164,7 +177,9 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
                     s[0] += 1
                     s[1] += y
         n, y = [s[0] for s in sums.values()], [s[1] for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.binary()), pa.array(n, pa.int64()), pa.array(y, pa.float64())], names=["w", "n", "y"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sums, pa.binary()), pa.array(n, pa.int64()), pa.array(y, pa.float64())], names=["w", "n", "y"]
+        )
 
     parts = bagged.mapInArrow(counted, "w binary, n long, y double")
     found = parts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n >= 3").collect()
@@ -201,11 +216,15 @@ def scored(docs: DataFrame, model: Model, others: tuple[str, ...] = (), spans: b
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
+        names = ("start", "stop", "score")
         for batch in batches:
             texts = common.texts_of(batch.column(0))
-            more = [pa.array([model.score(t) for t in texts], pa.float64())]
             if spans:
-                more.append(pa.array([[dict(zip(("start", "stop", "score"), x, strict=True)) for x in model.offending(t)] for t in texts], kind))
+                found = [model.judged(t) for t in texts]
+                told = [[dict(zip(names, x, strict=True)) for x in places] for _, places in found]
+                more = [pa.array([score for score, _ in found], pa.float64()), pa.array(told, kind)]
+            else:
+                more = [pa.array([model.score(t) for t in texts], pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], *more], names=[*batch.schema.names[1:], "score", *["spans"] * spans]
             )
@@ -220,24 +239,35 @@ def learnt(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, a
     """The model of labels.toxic on documents that aren't held out (crc32 of id mod 4 is 2 by default).
 
     About at_most labelled documents count, chosen by hash of id, so their ids can be sent to
-    every task.
+    every task. Where ids repeat, about at_most of their rows do, by hash of id and text, and
+    rows alike in both count once.
     """
     out = common.fold("doc_id", 4) == 2 if held_out is None else held_out
     known = quality.labelled(labels, "toxic").where(~out)
     n = known.count()
     if n > at_most:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int((1 << 20) * at_most / n))
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return fit(mine.join(F.broadcast(common.stored(known)), "doc_id"))
+        known = known.where(_hashed_below(F.xxhash64("doc_id", F.lit("toxicity")), at_most / n))
+    known = F.broadcast(common.stored(known))
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    rows = mine.count()
+    h = F.xxhash64("doc_id", F.lit("row"), "text").alias("h")
+    if rows > 1.1 * at_most:
+        mine = mine.where(_hashed_below(h, at_most / rows))
+    return fit(mine.select("text", "y", h).dropDuplicates(["h"]))
+
+
+def _hashed_below(h: Column, share: float) -> Column:
+    """A condition that a share of the values of h meets."""
+    return F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, spans: bool = False) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs, and spans if asked for.
 
     Learns labels.toxic from the rows that aren't held out (crc32(doc_id as text) mod 4 is 2)
-    and reads nothing but texts for a score. Null and empty texts score 0; rows that repeat an
-    id are scored one by one; without labels each score is next to 0. Other columns of docs
-    aren't read.
+    and reads nothing but texts for a score. Null and empty texts score 0, very long ones
+    count whole; rows that repeat an id are scored one by one; without labels each score is
+    next to 0. An empty table gives no rows. Other columns of docs aren't read.
     """
     model = learnt(docs, labels)
     rows = docs.withColumn("held_out", common.fold("doc_id", 4) == 2)
@@ -246,7 +276,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, spans: bool =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """docs' rows that score below cut, with the columns they had."""
+    """docs' rows that score below cut, with the columns they had.
+
+    So null and empty texts stay, and very long ones are judged whole. Repeated rows go or stay
+    together; an empty table stays empty.
+    """
     model = learnt(docs, labels)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
