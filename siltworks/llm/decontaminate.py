@@ -4,6 +4,9 @@ The index is split by document: a segment holds every token of some consecutive
 as postings, for each term the sorted positions at which it stands. Documents of a segment
 are laid out on one axis with a gap between them, so no phrase crosses a border. A segment
 is one row of a stored table and answers any query by itself; nothing is gathered by term.
+
+Test windows are filed under their rarest word. A segment looks up its own terms there, so
+only windows whose rarest word it holds are looked at, and only those with all words searched.
 """
 
 from __future__ import annotations
@@ -18,13 +21,19 @@ from pyspark.sql import functions as F
 from siltworks.llm import common
 
 WINDOW = 10
+#: A window matches by proximity if its words stand, in any order, within SLACK times as many words as it has.
+SLACK = 2
 #: Tokens at which a segment ends; a longer document is a segment of its own.
 SEGMENT = 1 << 18
 #: Bytes of test texts that are sent to every task at once; more are searched in as many passes as needed.
 BLOCK_BYTES = 8 << 20
+#: Windows that are looked up in a segment at a time.
+LOOKED_UP = 1 << 16
 #: Capitals become small, other characters that no word has become blanks.
-_TABLE = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
-INDEX = "segment long, row_ids array<long>, lengths array<int>, terms binary, counts binary, gaps binary"
+_TABLE = bytes(
+    x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256)
+)
+INDEX = "segment long, row_ids array<{}>, lengths array<int>, terms binary, counts binary, gaps binary"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -32,7 +41,7 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def _segment(number: int, ids: list, found: list[list[bytes]]) -> pa.RecordBatch:
+def _segment(number: int, ids: list, found: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
     lengths = np.array([len(f) for f in found], np.int64)
     codes = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
     code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -45,14 +54,23 @@ def _segment(number: int, ids: list, found: list[list[bytes]]) -> pa.RecordBatch
     starts = (np.cumsum(counts) - counts).astype(np.int64)
     gaps[starts] = place[starts]
     columns = [
-        pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int32())),
-        pa.array([b" ".join(terms)], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([gaps.astype(np.int32).tobytes()], pa.binary()),
-    ]
+        pa.array([number], pa.int64()),
+        pa.array([ids], pa.list_(kind)),
+        pa.array([lengths.tolist()], pa.list_(pa.int32())),
+        pa.array([b" ".join(terms)], pa.binary()),
+        pa.array([counts.tobytes()], pa.binary()),
+        pa.array([gaps.astype(np.int32).tobytes()], pa.binary()),
+    ]
     return pa.RecordBatch.from_arrays(columns, names=["segment", "row_ids", "lengths", "terms", "counts", "gaps"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """A stored table of segments, INDEX, with the postings of all tokens of all rows of docs."""
+    """A stored table of segments, INDEX, with the postings of all tokens of all rows of docs.
+
+    Ids are numbers or, where id_col is binary, keys. Null texts have no tokens but are rows.
+    """
+    keys = docs.schema[id_col].dataType.simpleString() == "binary"
+    kind, name = (pa.binary(), "binary") if keys else (pa.int64(), "bigint")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -62,23 +80,23 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for doc_id, text in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1)), strict=True):
                 mine = words(text)
                 if ids and n + len(mine) > segment:
-                    yield _segment(number, ids, found)
+                    yield _segment(number, ids, found, kind)
                     number, ids, found, n = number + 1, [], [], 0
                 ids.append(doc_id)
                 found.append(mine)
                 n += len(mine)
         if ids:
-            yield _segment(number, ids, found)
+            yield _segment(number, ids, found, kind)
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.stored(common.mapped(chosen, each, INDEX))
+    chosen = docs.select(F.col(id_col).cast(name).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return common.stored(common.mapped(chosen, each, INDEX.format(name)))
 
 
 class Segment:
     """A segment's postings, opened."""
 
     def __init__(self, lengths: list[int], terms: bytes, counts: bytes, gaps: bytes) -> None:
-        self.place = {w: i for i, w in enumerate(terms.split(b" "))} if terms else {}
+        self.terms = terms.split(b" ") if terms else []
         self.counts = np.frombuffer(counts, np.int32)
         self.ends = np.cumsum(self.counts, dtype=np.int64)
         self.gaps = np.frombuffer(gaps, np.int32)
@@ -93,84 +111,152 @@ class Segment:
             self.opened[code] = np.cumsum(self.gaps[end - self.counts[code] : end], dtype=np.int64)
         return self.opened[code]
 
-    def phrase(self, codes: list[int]) -> np.ndarray:
-        """Where the phrase begins: offset-adjusted lists, intersected from the rarest term on."""
-        order = sorted(range(len(codes)), key=lambda k: self.counts[codes[k]])
-        at = self.positions(codes[order[0]]) - order[0]
-        for k in order[1:]:
-            mine = self.positions(codes[k])
-            spot = np.minimum(np.searchsorted(mine, at + k), len(mine) - 1)
-            at = at[mine[spot] == at + k]
-            if not len(at):
-                break
-        return at
+    def matches(self, codes: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the phrase of these terms begins, and the documents that have all of them within `span` words.
 
-    def near(self, codes: list[int], within: int) -> np.ndarray:
-        """Positions of the rarest term with every other term of its document at most `within` words away."""
-        order = sorted(set(codes), key=lambda c: self.counts[c])
+        From the rarest term on, positions stay that have each other term less than `span`
+        words away; these are then tested for the phrase, by offset, and for the span.
+        """
+        order = sorted(dict.fromkeys(codes), key=lambda c: self.counts[c])
         at = self.positions(order[0])
         for code in order[1:]:
             mine = self.positions(code)
             spot = np.searchsorted(mine, at)
             before, after = mine[np.maximum(spot - 1, 0)], mine[np.minimum(spot, len(mine) - 1)]
-            doc = self.doc_of(at)
-            close = [(np.abs(x - at) <= within) & (self.doc_of(x) == doc) for x in (before, after)]
-            at = at[close[0] | close[1]]
-        return at
+            at = at[(np.abs(before - at) < span) | (np.abs(after - at) < span)]
+            if not len(at):
+                return at, at
+        starts = at - codes.index(order[0])
+        for k, code in enumerate(codes):
+            mine = self.positions(code)
+            spot = np.minimum(np.searchsorted(mine, starts + k), len(mine) - 1)
+            starts = starts[mine[spot] == starts + k]
+        return starts, np.unique(self.doc_of(at[self._within(order, at, span)]))
+
+    def _within(self, codes: list[int], at: np.ndarray, span: int) -> np.ndarray:
+        """Of each position, whether `span` words of its document that it is among hold all the terms."""
+        doc = self.doc_of(at)
+        first = np.maximum(at[:, None] - np.arange(span), self.starts[doc][:, None])
+        last = np.minimum(first + span, (self.starts + self.lengths)[doc][:, None])
+        held = np.ones(first.shape, bool)
+        for code in codes:
+            mine = self.positions(code)
+            spot = np.searchsorted(mine, first)
+            held &= (spot < len(mine)) & (mine[np.minimum(spot, len(mine) - 1)] < last)
+        return held.any(1)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def windows_of(text: bytes | None, window: int = WINDOW) -> list[list[bytes]]:
-    """An item's windows: all runs of `window` words, or the whole of a shorter item with any."""
-    mine = words(text)
-    return [mine[i : i + window] for i in range(max(1, len(mine) - window + 1))] if mine else []
-
-
-HITS = "doc_id long, segment long, row int, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
-
-
-def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDOW) -> DataFrame:
-    """HITS of a bounded list of (item_id, text): of each indexed row, the word ranges that occurrences
-    cover, merged, and the items with an occurrence."""
-    asked: dict[tuple[bytes, ...], set[int]] = {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            asked.setdefault(tuple(w), set()).add(item)
-    wanted = [(list(w), sorted(ids)) for w, ids in asked.items()]
-    sent = index.sparkSession.sparkContext.broadcast(wanted)
+class Asked:
+    """The windows of a bounded list of (item_id, text): all runs of `window` words of an item, or the whole
+    of a shorter one with any words. Words are sent once, windows as ranges of numbers."""
+
+    def __init__(self, items: list[tuple[int, bytes]], window: int) -> None:
+        found = [words(text) for _, text in items]
+        sizes = np.array([len(f) for f in found], np.int64)
+        flat = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
+        self.words = b" ".join(flat.dictionary.to_pylist())
+        self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.ids = np.array([item for item, _ in items], np.int64)
+        many = np.where(sizes > 0, np.maximum(sizes - window + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(items)), many).astype(np.int32)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.start = (np.repeat(np.cumsum(sizes) - sizes, many) + nth).astype(np.int64)
+        self.size = np.minimum(sizes, window)[self.item].astype(np.int32)
+        self.width = window
+        # the rarest word of each window among the test texts, and the windows in order of it
+        count = np.bincount(self.codes, minlength=1)
+        rarest = np.zeros(len(self.start), np.int32)
+        for at in range(0, len(rarest), LOOKED_UP):
+            mine = self.of(np.arange(at, min(at + LOOKED_UP, len(rarest))))
+            rarest[at : at + len(mine)] = mine[np.arange(len(mine)), count[mine].argmin(1)]
+        self.order = np.argsort(rarest, kind="stable").astype(np.int32)
+        self.ends = np.cumsum(np.bincount(rarest, minlength=len(flat.dictionary)))
+        self._number: dict[bytes, int] | None = None
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        """The words of windows, a row each; the last word of a short one is repeated."""
+        step = np.minimum(np.arange(self.width), self.size[windows][:, None] - 1)
+        return self.codes[self.start[windows][:, None] + step]
+
+    def held_by(self, terms: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """The windows all of whose words are terms, each with the terms' numbers in its order."""
+        if self._number is None:
+            self._number = {w: i for i, w in enumerate(self.words.split(b" "))} if self.words else {}
+        here = np.full(max(1, len(self._number)), -1, np.int32)
+        number = self._number.get
+        for i, term in enumerate(terms):
+            k = number(term)
+            if k is not None:
+                here[k] = i
+        known = np.flatnonzero(here >= 0)
+        if not len(known) or not len(self.start):
+            return
+        ends = self.ends[known]
+        many = ends - np.where(known > 0, self.ends[known - 1], 0)
+        places = np.repeat(ends - np.cumsum(many), many) + np.arange(many.sum())
+        windows = np.sort(self.order[places])
+        for at in range(0, len(windows), LOOKED_UP):
+            part = windows[at : at + LOOKED_UP]
+            mine = here[self.of(part)]
+            for k in np.flatnonzero((mine >= 0).all(1)).tolist():
+                w = part[k]
+                yield int(w), mine[k, : self.size[w]].tolist()
+
+
+HITS = (
+    "doc_id {}, segment long, row int, n_words long, spans array<struct<start:long,stop:long>>, "
+    "items array<long>, near array<long>"
+)
+
+
+def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """HITS of a bounded list of (item_id, text).
+
+    Of each indexed row, the word ranges that occurrences of windows cover, merged; the items
+    with an occurrence; and in `near` those with a window whose words all stand, in any order,
+    within `slack` times as many words of the row as it has (so those of `items` as well).
+    """
+    sent = index.sparkSession.sparkContext.broadcast(Asked(items, window))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _hits(row, wanted)
+            for k in range(batch.num_rows):
+                yield _hits(batch.slice(k, 1), sent.value, slack)
 
-    return index.mapInArrow(each, HITS)
+    kind = index.schema["row_ids"].dataType.elementType.simpleString()
+    return index.mapInArrow(each, HITS.format(kind))
 
 
-def _hits(row: dict, wanted: list) -> pa.RecordBatch:
+def _hits(batch: pa.RecordBatch, asked: Asked, slack: int) -> pa.RecordBatch:
+    row = batch.to_pylist()[0]
     seg = Segment(row["lengths"], row["terms"], row["counts"], row["gaps"])
-    held = seg.place
     n = len(seg.lengths)
     covers: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[int]] = [set() for _ in range(n)]
-    for phrase, ids in wanted:
-        codes = [held[w] for w in phrase if w in held]
-        if len(codes) < len(phrase):
-            continue
-        at = seg.phrase(codes)
+    near: list[set[int]] = [set() for _ in range(n)]
+    for window, codes in asked.held_by(seg.terms):
+        at, close = seg.matches(codes, slack * len(codes))
+        item = int(asked.ids[asked.item[window]])
+        for d in close.tolist():
+            near[d].add(item)
         for d, p in zip(seg.doc_of(at).tolist(), at.tolist(), strict=True):
             start = p - int(seg.starts[d])
-            covers[d].append((start, start + len(phrase)))
-            items[d].update(ids)
+            covers[d].append((start, start + len(codes)))
+            items[d].add(item)
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     arrays = [
-        pa.array(row["row_ids"], pa.int64()), pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(seg.lengths),
-        pa.array([[{"start": s, "stop": e} for s, e in merged(c)] for c in covers], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+        pa.array(row["row_ids"], batch.schema.field("row_ids").type.value_type),
+        pa.array([row["segment"]] * n, pa.int64()),
+        pa.array(range(n), pa.int32()),
+        pa.array(seg.lengths),
+        pa.array([[{"start": s, "stop": e} for s, e in merged(c)] for c in covers], pa.list_(span)),
         pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "segment", "row", "n_words", "spans", "items"])
+        pa.array([sorted(x) for x in near], pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "segment", "row", "n_words", "spans", "items", "near"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -185,13 +271,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, segment: int = SEGMENT, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    segment: int = SEGMENT,
+    block_bytes: int = BLOCK_BYTES,
+    slack: int = SLACK,
 ) -> DataFrame:
     """HITS of all of benchmark's items, one row for each row of docs, with n_hit.
 
-    Null texts have no words. Items without an id aren't searched; items that repeat an id
-    count once. The items are searched in blocks of block_bytes of text, each against the
-    whole index; what several blocks find in a row is put together.
+    Null and empty texts have no words; very long ones are searched whole; rows that repeat an
+    id are searched one by one. Items without an id aren't searched; items that repeat an id
+    count once. Without items nothing is hit; an empty table gives no rows. The items are
+    searched in blocks of block_bytes of text, each against the whole index; what several
+    blocks find in a row is put together. Other columns aren't read.
     """
     index = build_index(docs, segment=segment)
     asked = benchmark.where("item_id is not null and text is not null").select(
@@ -201,17 +294,23 @@ def contaminated(
     blocks = max(1, -(-2 * size // block_bytes))
     found = []
     for b in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        found.append(search(index, [(r.item_id, bytes(r.text)) for r in mine.collect()], window))
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        found.append(search(index, [(r.item_id, bytes(r.text)) for r in mine.distinct().collect()], window, slack))
     hits = found[0]
     if blocks > 1:
         for f in found[1:]:
             hits = hits.union(f)
+
+        def both(name: str):
+            return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+
         one = hits.groupBy("segment", "row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.first("doc_id").alias("doc_id"),
+            F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+            both("items"),
+            both("near"),
+        )
         hits = one.withColumn("spans", _merged_column())
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return hits.withColumn("n_hit", n_hit)
@@ -220,27 +319,35 @@ def contaminated(
 def _merged_column():
     """The sorted column spans with overlaps merged."""
     return F.expr(
-        "aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (o, s) -> if(size(o) > 0 and s.start <= "
-        "try_element_at(o, -1).stop, concat(slice(o, 1, greatest(size(o) - 1, 0)), array(named_struct('start', try_element_at(o, -1).start, "
+        "aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (o, s) -> "
+        "if(size(o) > 0 and s.start <= try_element_at(o, -1).stop, "
+        "concat(slice(o, 1, greatest(size(o) - 1, 0)), array(named_struct('start', try_element_at(o, -1).start, "
         "'stop', greatest(try_element_at(o, -1).stop, s.stop)))), concat(o, array(s))))"
     )
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The contract's columns of contaminated()."""
+    """The contract's columns of contaminated(), and n_near, the items that match by proximity."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-    )
+        F.size("near").cast("long").alias("n_near"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs' rows that no item's window occurs in, with the columns they had.
 
-    Rows are told apart by a 64-bit hash of id and text, so repeated or missing ids do no harm.
+    Rows are told apart by 16 bytes of id and text, in which nulls count, so repeated or missing
+    ids do no harm. Null and empty texts stay, very long ones are searched whole; rows alike in
+    id and text go or stay together; an empty table stays empty.
     """
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    key = common.row_key("doc_id", "text")
     found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
     bad = common.stored(found.where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct())
     kept = common.packed(docs, key.alias("_key")).join(bad, F.col("_key") == F.col("_bad"), "left_anti")

@@ -59,7 +59,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys, ids, sizes, low, high, bands = [], [], [], [], [], []
-    for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts_of(batch.column(2)), strict=True):
+    rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts_of(batch.column(2))
+    for key, doc_id, text in zip(*rows, strict=True):
         found = shingles(text)
         if not len(found):
             continue
@@ -70,8 +71,10 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes.append(len(found))
         low.append(int(bits[0]))
         high.append(int(bits[1]))
-        bands.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
-    arrays = [pa.array(x, pa.int64()) for x in (keys, ids, sizes, low, high)] + [pa.array(bands, pa.list_(pa.int64()))]
+        runs = (least[k * ROWS : (k + 1) * ROWS].tobytes() for k in range(BANDS))
+        bands.append([xxhash.xxh64_intdigest(run, k) - (1 << 63) for k, run in enumerate(runs)])
+    arrays = [pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in (ids, sizes, low, high))]
+    arrays.append(pa.array(bands, pa.list_(pa.int64())))
     return pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "n", "low", "high", "bands"])
 
 
@@ -95,7 +98,7 @@ def _linked(frame):
             a += [key[x]] * len(found)
             b += key[found].tolist()
             waiting += found.tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
 
 def _sets(asked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -106,7 +109,8 @@ def _sets(asked: DataFrame, texts: DataFrame) -> DataFrame:
             sets = [shingles(t).tobytes() for t in common.texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "s"])
 
-    return common.stored(common.mapped(texts.join(asked, "key", "left_semi").select("key", "text").dropDuplicates(["key"]), hashed, "key long, s binary"))
+    mine = texts.join(asked, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    return common.stored(common.mapped(mine, hashed, "key binary, s binary"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -123,19 +127,21 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = _sets(asked, texts)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return common.stored(common.mapped(both, compared, "a long, b long"))
+    return common.stored(common.mapped(both, compared, "a binary, b binary"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """docs without all but one of each group that similar texts link: the smallest id's row stays.
 
-    Of a group's rows with the same id the one whose id and text hash lowest stays. Texts
-    without words stay; rows alike in id and text go or stay together.
+    Of a group's rows with the same id the one with the lowest key of id and text stays. Texts
+    that are null or without words stay, very long ones count whole; rows alike in id and text
+    go or stay together; an empty table stays empty.
     """
-    whole = common.packed(docs, simhash.row_key(id_col, text_col).alias("key"))
-    texts = docs.select(simhash.row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.select(simhash.row_key(id_col, text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = common.stored(common.mapped(rows, lambda batches: map(_signed, batches), "key long, doc_id long, n long, low long, high long, bands array<long>"))
+    key, text = common.row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")
+    whole, texts = common.packed(docs, key), docs.select(key, text)
+    rows = docs.select(key, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), text)
+    schema = "key binary, doc_id long, n long, low long, high long, bands array<long>"
+    signed = common.stored(common.mapped(rows, lambda batches: map(_signed, batches), schema))
 
     place = F.struct("doc_id", "key", "n", "low", "high")
     dealt = signed.select("key", "doc_id", "n", "low", "high", F.explode("bands").alias("band"))
@@ -148,13 +154,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     left = met.drop("c").join(gone, "key", "left_anti")
     half = max(1, tile // 2)
-    tiles = left.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band", F.ceil(F.col("m") / half).cast("int").alias("tiles"))
+    tiles = left.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    tiles = tiles.select("band", F.ceil(F.col("m") / half).cast("int").alias("tiles"))
     left = common.stored(left.join(tiles, "band"))
     dealt = left.withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("band", "key", "n", "low", "high", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
+    pair = F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2")
+    dealt = dealt.select("band", "key", "n", "low", "high", *pair)
     dealt = dealt.join(_sets(left.select("key").distinct(), texts), "key")
-    more = common.stored(dealt.groupBy("band", "t1", "t2").applyInPandas(_linked, "a long, b long"))
+    more = common.stored(dealt.groupBy("band", "t1", "t2").applyInPandas(_linked, "a binary, b binary"))
     group = common.components(more).join(signed.select("key", "doc_id"), F.col("node") == F.col("key"))
     group = common.stored(group.select("root", "key", "doc_id").distinct())
     kept = group.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.key").alias("key"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm import common
@@ -63,7 +63,10 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, key, fp): a hash of id and text, and the fingerprint as a signed long. Null text counts as empty."""
+    """Rows (doc_id, key, fp): 16 bytes that tell id and text, and the fingerprint as a signed long.
+
+    A null text counts as empty in the fingerprint, not in the key; a very long one counts whole.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +75,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], names=["doc_id", "key", "fp"])
 
     text = F.col(text_col).cast("string").alias("text")
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), text)
-    return common.mapped(chosen, each, "doc_id long, key long, fp long")
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit hash that tells rows apart by id and text."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    key = common.row_key(id_col, text_col).alias("key")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), key, text)
+    return common.mapped(chosen, each, "doc_id long, key binary, fp long")
 
 
 class Golay:
@@ -302,8 +301,8 @@ def near_duplicates(
     """Rows (doc_id, fp, component_id, root, key), one for each row of docs.
 
     component_id is the smallest id reachable by links of up to `bits` differing bits, root
-    the component's smallest fingerprint, key a hash of id and text. Null and empty texts have fingerprint 0 and link
-    like any other. A null id stays null and is no component's id unless the component has
+    the component's smallest fingerprint, key 16 bytes that tell id and text. Null and empty
+    texts have fingerprint 0 and link like any other. A null id stays null and is no component's id unless the component has
     no other; rows that repeat an id keep a row each. An empty table gives no rows. Other
     columns of docs aren't read.
     """
@@ -327,15 +326,17 @@ def one_of_each(
 ) -> DataFrame:
     """docs with one row of each component: the smallest id's, all columns as they were.
 
-    Of rows that repeat this id, the one whose id and text hash lowest stays, and of rows alike
-    in both the one with the smallest other columns; a component without ids keeps one row.
+    Of rows that repeat this id, the one with the lowest key of id and text stays, and of rows
+    alike in both the one whose columns hash lowest; a component without ids keeps one row.
+    Null and empty texts are copies of each other, very long ones count whole; an empty table
+    stays empty.
     """
     marked = common.stored(fingerprints(docs, id_col, text_col))
     near = _grouped(marked, bits, tile)
     last = F.lit((1 << 63) - 1)
     kept = near.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last), "key")).alias("k"))
     kept = common.stored(kept.select(F.col("k.key").alias("_kept")))
-    rows = common.packed(docs, row_key(id_col, text_col).alias("_key"))
+    rows = common.packed(docs, common.row_key(id_col, text_col).alias("_key"))
     mine = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
     if marked.join(kept, F.col("key") == F.col("_kept"), "left_semi").groupBy("key").count().where("count > 1").take(1):
         mine = mine.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
