@@ -2,10 +2,12 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltworks.llm import chat, common, decontaminate, mixing, nearcopies, pii, sharding, simhash
 
@@ -138,8 +140,53 @@ def test_mixing(make, spread):
     assert mixing.mixture(make(rows)).count() == sum(r.copies for r in got)
 
 
-def test_mixing_ranks_large_classes_in_cells(make, monkeypatch):
-    monkeypatch.setattr(mixing, "RANKED", 8)
+def test_mixing_balances_by_document(spark, make):
+    """The rates are min(3, exp(l size)) with the l that a bisection of plain sums finds, and minimise relative entropy."""
+    rng = np.random.default_rng(6)
+    sizes_of = {s: rng.integers(0, 60, 80) for s in "abc"}
+    rows = [(k * 100 + j, "w " * int(n), "en", s) for k, s in enumerate(sizes_of) for j, n in enumerate(sizes_of[s])]
+    sized = mixing.sized(make(rows))
+    histogram = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    for ratio in (0.05, 0.6, 1.0, 1.7, 2.9, 3.0):
+        goals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+        goals = goals.withColumn("target", F.col("source_size") * ratio)
+        for r in mixing.balanced(histogram, goals).collect():
+            z = sizes_of[r.source][sizes_of[r.source] > 0]
+            low, high = -50.0, 50.0
+            for _ in range(200):
+                middle = (low + high) / 2
+                if (z * np.minimum(3, np.exp(np.minimum(middle * z, 9)))).sum() < r.target * (1 - 1e-13):
+                    low = middle
+                else:
+                    high = middle
+            w = np.minimum(3, np.exp(np.minimum(high * z, 9)))
+            mine = np.minimum(3, np.exp(np.minimum(r.l / r.unit * z, 9)))
+            assert np.abs(mine - w).max() < 1e-6 and (z * mine).sum() == pytest.approx(r.target, rel=1e-7)
+            if 0.05 < ratio < 3:
+                for _ in range(20):  # moves that keep the tokens and the bounds don't lower the divergence
+                    move = rng.standard_normal(len(z)) * (w < 3)
+                    free = z * (w < 3)
+                    move -= free * (move @ z) / max(1, free @ z)
+                    v = w + 1e-3 * move
+                    if (v > 0).all() and (v <= 3).all():
+                        assert (v * np.log(v) - v).sum() >= (w * np.log(w) - w).sum() - 1e-9
+    got = {(r.source, r.size): (r.base, r.extra, r.n) for r in mixing.diffused(histogram, mixing.balanced(histogram, goals)).collect()}
+    assert all(base == 3 and not extra for (_, size), (base, extra, _) in got.items() if size)
+
+
+def test_mixture_shares_copies_of_rows_alike_the_same_way_on_reruns(spark):
+    rows = [(1, "a b c", "s", f"x{k % 5}") for k in range(40)] + [(2, "d e f", "t", "y")] * 9 + [(k, "g " * 40, "u", "z") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more string")
+    got, wanted = mixing.mixed(docs).collect(), Counter()
+    for r in got:
+        wanted[r.doc_id] += r.copies
+    seen = [Counter(map(tuple, mixing.mixture(d).collect())) for d in (docs, docs.repartition(5), docs.repartition(3, "more"))]
+    assert seen[0] == seen[1] == seen[2]
+    assert all(sum(n for r, n in seen[0].items() if r[0] == k) == wanted[k] for k in (1, 2))
+    assert len(got) == len(rows)
+
+
+def test_mixing_ranks_large_classes_in_cells(make):
     rows = [(k, "five words of one size", "en", "abc"[k % 3]) for k in range(300)]
     got = mixing.mixed(make(rows)).collect()
     taken = Counter()
@@ -150,7 +197,7 @@ def test_mixing_ranks_large_classes_in_cells(make, monkeypatch):
 
 def test_mixing_of_odd_rows(odd):
     got = mixing.mixed(odd).collect()
-    assert len(got) == odd.count() and {r.size for r in got if r.doc_id in (3, 4, 6)} == {0}
+    assert len(got) == odd.count() and {(r.size, r.copies) for r in got if r.doc_id in (3, 4, 6)} == {(0, 1)}
     assert mixing.mixed(odd.limit(0)).count() == 0
     out = mixing.mixture(odd)
     assert out.columns == odd.columns and out.where("_h <> 'clash'").count() == 0
