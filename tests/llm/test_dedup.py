@@ -142,6 +142,34 @@ def test_embeddings(spark, tile):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(8)
+    rows = [(k, (base * f).tolist(), 0) for k, f in enumerate((1e200, 1e-200, 1.0, 3e300, 1e-300))]
+    rows += [(10 + k, ((base + rng.standard_normal(8) * 0.1) * f).tolist(), 0) for k, f in enumerate((1e200, 1e-200, 1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    unit = [(i, (np.array(x) / np.abs(x).max()).tolist(), label) for i, x, label in rows]
+    assert got == brute_vectors(unit) and got[0][0] >= 4
+
+
+@pytest.mark.parametrize("tile", [embeddings.TILE, 16])
+def test_pairs_near_the_threshold_are_recomputed(spark, tile):
+    """Every pair about the threshold, half of them links: the integers can tell few of them."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(60):
+        base = rng.standard_normal(12)
+        turn = np.linalg.qr(np.column_stack([base, rng.standard_normal(12)]))[0][:, 1] * np.linalg.norm(base)
+        rows.append((2 * k, base.tolist(), 0))
+        cosine = 0.98 + rng.uniform(-0.004, 0.004)
+        rows.append((2 * k + 1, (base * cosine + turn * np.sqrt(1 - cosine**2)).tolist(), 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, tile=tile).collect()}
+    want = brute_vectors(rows)
+    assert got == want and 20 < sum(n for n, _, _ in want.values()) < 100
+
+
 def test_embeddings_repeated_and_missing_ids(spark):
     x = [1.0, 2.0]
     df = spark.createDataFrame([(1, x, 0), (1, x, 0), (None, x, 0), (None, [5.0, -1.0], 0)], "vec_id long, embedding array<float>, label int")
