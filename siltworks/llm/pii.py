@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,10 +69,16 @@ _LOOK = "асԁеһіјӏоррԛѕѵԝхуАВСЕНІЈКМОРЅТХУΑΒΕ
 _LIKE = "acdehijloppqsvwxyABCEHIJKMOPSTXYABEZHIKMNOPTYXaiovp"
 # Words of the digits in the languages covered, top-level names that a spelled-out address may end in.
 _DIGITS = {
-    "zero": "0", "oh": "0", "null": "0", "cero": "0", "one": "1", "eins": "1", "uno": "1", "two": "2", "zwei": "2", "deux": "2", "dos": "2",
-    "three": "3", "drei": "3", "trois": "3", "tres": "3", "four": "4", "vier": "4", "quatre": "4", "cuatro": "4", "five": "5", "cinq": "5",
-    "cinco": "5", "six": "6", "sechs": "6", "seis": "6", "seven": "7", "sieben": "7", "sept": "7", "siete": "7", "eight": "8", "acht": "8",
-    "huit": "8", "ocho": "8", "nine": "9", "neun": "9", "neuf": "9", "nueve": "9",
+    "zero": "0", "oh": "0", "null": "0", "cero": "0",
+    "one": "1", "eins": "1", "uno": "1",
+    "two": "2", "zwei": "2", "deux": "2", "dos": "2",
+    "three": "3", "drei": "3", "trois": "3", "tres": "3",
+    "four": "4", "vier": "4", "quatre": "4", "cuatro": "4",
+    "five": "5", "cinq": "5", "cinco": "5",
+    "six": "6", "sechs": "6", "seis": "6",
+    "seven": "7", "sieben": "7", "sept": "7", "siete": "7",
+    "eight": "8", "acht": "8", "huit": "8", "ocho": "8",
+    "nine": "9", "neun": "9", "neuf": "9", "nueve": "9",
 }
 _TOP = "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|co|me|dev|app|uk|de|fr|es|it|nl|eu|us|ca|at|ch|be|mx|br|jp|cn|ru|in|au"
 _INVISIBLE = "­​‌‍⁠﻿"
@@ -96,21 +103,40 @@ def _characters() -> dict[int, str | None]:
 CHARACTERS = _characters()
 _ODD = frozenset(map(chr, CHARACTERS))
 _ODD_LATIN = re.compile("[" + "".join(c for c in sorted(_ODD) if c <= "\xff") + "]")
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+# Patterns below take runs of blanks whole and begin none within a run, so that their time is linear in the text.
+_OPEN, _CLOSE = r"(?<!\s)\s*+[\[({<]\s*+", r"\s*+[\])}>]\s*+"
 _NAME = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_ADDRESS_END = rf"[A-Za-z0-9-]+(?:[\s_]+(?:dot|punkt|punto|point)[\s_]+[A-Za-z0-9-]+)*[\s_]+(?:dot|punkt|punto|point)[\s_]+(?:{_TOP})\b"
+_AT, _DOT = "at|arroba|arobase", "dot|punkt|punto|point"
+# what may stand between two labels of a spelled-out address, and one that ends in a known name
+_BETWEEN = rf"(?:\.|\s++\.\s++|[\s_]++(?:{_DOT})[\s_]++|\s*+[\[({{<]\s*+(?:{_DOT}|\.)\s*+[\])}}>]\s*+)"
+_ADDRESS = re.compile(rf"[A-Za-z0-9-]++(?:{_BETWEEN}[A-Za-z0-9-]++)*?{_BETWEEN}(?:{_TOP})\b(?:\.(?:{_TOP})\b)?", re.IGNORECASE)
+_BETWEEN_LABELS = re.compile(_BETWEEN, re.IGNORECASE)
+# Words that come before "at" and an address of the web, not of a person.
+_NOT_NAMES = frozenset(
+    "a an and are at available be been by can contact details find found from go hosted in info information is it learn "
+    "live located look me more now of on online or order out page people posted read see shop site sold support team that "
+    "the them this us visit was we website were with you".split()
+)
 _DISGUISE = re.compile(
-    rf"(?P<at>&#64;|&#x40;|&commat;|{_OPEN}(?:at|arroba|arobase){_CLOSE}|(?<=[A-Za-z0-9])[\s_]+(?:at|arroba|arobase)[\s_]+(?={_ADDRESS_END}))"
-    rf"|(?P<dot>&#46;|&#x2e;|&period;|{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|(?<=[A-Za-z0-9])[\s_]+(?:dot|punkt|punto|point)[\s_]+(?=[A-Za-z0-9]))"
-    rf"|(?P<plus>\bplus[ -]+(?=[0-9]|(?:{_NAME})\b))"
-    rf"|(?P<digits>\b(?:{_NAME})(?:[ ,-]+(?:{_NAME}))*\b)",
+    rf"(?P<at>&#64;|&#x40;|&commat;|{_OPEN}(?:{_AT}){_CLOSE})"
+    rf"|(?P<spelled>(?<=[A-Za-z0-9])(?:[\s_]++(?:{_AT})[\s_]++|\s++@\s*+|@\s*+)(?=[A-Za-z0-9]))"
+    rf"|(?P<dot>&#46;|&#x2e;|&period;|{_OPEN}(?:{_DOT}|\.){_CLOSE}"
+    rf"|(?<=[A-Za-z0-9])[\s_]++(?:{_DOT})[\s_]++(?=[A-Za-z0-9]))"
+    rf"|(?P<plus>\bplus[ -]++(?=[0-9]|(?:{_NAME})\b))"
+    rf"|(?P<digits>\b(?:{_NAME})(?:[ ,-]++(?:{_NAME}))*\b)",
     re.IGNORECASE,
 )
-#: What every disguise but an odd character has: one of these words, or a mark and a word in it.
-_HINTS = frozenset(w.encode() for w in ("dot", "punkt", "punto", "point", "plus", *_DIGITS))
-_MARKED = re.compile(r"&(?:#64|#x40|commat|#46|#x2e|period);|[\[({<]\s*(?:at|arroba|arobase|dot|punkt|punto|point|\.)\s*[\])}>]", re.IGNORECASE)
+#: What every disguise but an odd character has: one of these words, a mark and a word in it, or a blank beside
+#: an at sign or after a dot that "at" and a name came before.
+_HINTS = frozenset(w.encode() for w in (*_DOT.split("|"), "plus", *_DIGITS))
+_MARKED = re.compile(
+    rf"&(?:#64|#x40|commat|#46|#x2e|period);|[\[({{<]\s*+(?:{_AT}|{_DOT}|\.)\s*+[\])}}>]|\s@|@\s|@[A-Za-z0-9.-]++\s", re.IGNORECASE
+)
+_AT_NAME = re.compile(rb"(?:at|arroba|arobase)[\s_]++[a-z0-9-]++\s*+\.\s*+[a-z0-9]")
+_AT_WORDS = frozenset(w.encode() for w in _AT.split("|"))
 _ASCII_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or 48 <= x <= 57 else 32 for x in range(256))
 _WORD = re.compile("[A-Za-z]+")
+_LAST_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 
 
 class Written:
@@ -128,25 +154,48 @@ class Written:
 
     def words(self) -> None:
         """Spelled digits, at, dot and plus become characters; each stands for its whole source range."""
-        parts, start, stop, last = [], [], [], 0
-        for m in _DISGUISE.finditer(self.text):
+        text, parts, start, stop, last, at = self.text, [], [], [], 0, 0
+
+        def put(written: str, s: int, e: int) -> None:
+            parts.append(written)
+            start.append(self.start[s])
+            stop.append(self.stop[e - 1])
+
+        def keep(until: int) -> None:
+            parts.append(text[last:until])
+            start.extend(self.start[last:until])
+            stop.extend(self.stop[last:until])
+
+        while m := _DISGUISE.search(text, at):
             s, e = m.span()
-            parts.append(self.text[last:s])
-            start += self.start[last:s]
-            stop += self.stop[last:s]
-            last = e
+            address = _ADDRESS.match(text, e) if m["at"] or m["spelled"] else None
+            if m["spelled"] and not (address and self._names(s, m["spelled"])):
+                at = e
+                continue
+            keep(s)
             if m["digits"]:
                 for w in _WORD.finditer(m[0]):
-                    parts.append(_DIGITS[w[0].lower()])
-                    start.append(self.start[s + w.start()])
-                    stop.append(self.stop[s + w.end() - 1])
+                    put(_DIGITS[w[0].lower()], s + w.start(), s + w.end())
             else:
-                parts.append("@" if m["at"] else "." if m["dot"] else "+")
-                start.append(self.start[s])
-                stop.append(self.stop[e - 1])
-        self.text = "".join(parts) + self.text[last:]
+                put("@" if m["at"] or m["spelled"] else "." if m["dot"] else "+", s, e)
+            last = at = e
+            if address:  # its labels stay, what is between them becomes dots
+                for dot in _BETWEEN_LABELS.finditer(text, e, address.end()):
+                    keep(dot.start())
+                    put(".", *dot.span())
+                    last = dot.end()
+                keep(address.end())
+                last = at = address.end()
+        self.text = "".join(parts) + text[last:]
         self.start, self.stop = start + list(self.start[last:]), stop + list(self.stop[last:])
 
+    def _names(self, at: int, spelled: str) -> bool:
+        """Whether what comes before a spelled "at" may be a person's name."""
+        if "@" in spelled:
+            return True
+        before = _LAST_WORD.search(self.text, max(0, at - 64), at)
+        return bool(before) and before[0].lower() not in _NOT_NAMES
+
 
 def has_odd(text: str) -> bool:
     """Whether a text has a character that the transducer rewrites."""
@@ -161,8 +210,11 @@ def has_odd(text: str) -> bool:
 
 def has_hint(text: str) -> bool:
     """Whether a text may have a disguise made of words; without, the transducer would write it as it is."""
-    words = text.encode("utf-8", "replace").translate(_ASCII_WORDS).split()
-    return not _HINTS.isdisjoint(words) or bool(_MARKED.search(text))
+    plain_bytes = text.encode("utf-8", "replace")
+    words = frozenset(plain_bytes.translate(_ASCII_WORDS).split())
+    if not _HINTS.isdisjoint(words) or _MARKED.search(text):
+        return True
+    return not _AT_WORDS.isdisjoint(words) and bool(_AT_NAME.search(plain_bytes.lower()))
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -179,11 +231,15 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if odd:
         w.characters()
     w.words()
+    taken = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
     added = []
     for s, kind, e in plain(w.text):
         start, stop = w.start[s], w.stop[e - 1]
-        if w.text[s:e] != text[start:stop] and not any(k == kind and start < b and a < stop for a, k, b in base):
-            added.append((start, kind, stop))
+        if w.text[s:e] != text[start:stop]:
+            # of the plain spans of a kind, which don't overlap, only the last that begins before `stop` may
+            before = bisect_left(taken[kind], (stop, 0)) - 1
+            if before < 0 or taken[kind][before][1] <= start:
+                added.append((start, kind, stop))
     return base, added
 
 
@@ -195,7 +251,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (doc_id, n_<kind>, base_sha256, spans, n_added), one for each row of docs.
 
     n_email to n_phone count the plain spans, n_added those that the transducer adds. Null
-    texts count as empty; rows that repeat an id are searched one by one; other columns aren't read.
+    texts count as empty, for which there is no span; very long ones are searched whole, in
+    time linear in their length; rows that repeat an id are searched one by one; an empty table
+    gives no rows; other columns aren't read.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
