@@ -22,7 +22,12 @@ class Template:
     guard: str = "<|"
     trained: tuple[str, ...] = ("assistant",)
     follows: dict[str, tuple[str, ...]] = field(
-        default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+        default_factory=lambda: {
+            "": ("system", "user"),
+            "system": ("user",),
+            "user": ("assistant",),
+            "assistant": ("user",),
+        }
     )
     last: tuple[str, ...] = ("assistant",)
 
@@ -41,7 +46,11 @@ def unescaped(text: Column, template: Template = DEFAULT) -> Column:
     """What escaped() was given. Doubled backslashes are set aside first, then the others mean something."""
     b = template.guard[1]
     parts = F.split(text, r"\\\\", -1)
-    plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\" + b), F.lit(b)), F.lit("\\/"), F.lit("\n")))
+
+    def one(p: Column) -> Column:
+        return F.replace(F.replace(p, F.lit("\\" + b), F.lit(b)), F.lit("\\/"), F.lit("\n"))
+
+    plain = F.transform(parts, one)
     return F.array_join(plain, "\\")
 
 
@@ -66,9 +75,8 @@ def formatted(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
         head = F.concat(F.lit(template.start), escaped(t["role"], template, line=True), F.lit("\n"))
         trained = t["role"].isin(*template.trained)
-        return F.array(
-            segment(head, F.lit(False)), segment(escaped(t["text"], template), trained), segment(F.lit(template.end), F.lit(False))
-        )
+        said = segment(escaped(t["text"], template), trained)
+        return F.array(segment(head, F.lit(False)), said, segment(F.lit(template.end), F.lit(False)))
 
     moves = F.array(*(F.lit(f"{a}\n{b}") for a, ends in template.follows.items() for b in ends))
 
@@ -82,9 +90,12 @@ def formatted(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
     seen = talks.select("conv_id", F.flatten(F.transform("turns", written)).alias("segments"), state.alias("state"))
     ended = F.col("state.bad").isNull() & F.col("state.role").isin(*template.last)
     return seen.select(
-        "conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        ended.alias("valid"), F.when(ended, None).otherwise(F.coalesce("state.bad", "state.n")).alias("bad_turn"),
-    )
+        "conv_id",
+        "segments",
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
+        ended.alias("valid"),
+        F.when(ended, None).otherwise(F.coalesce("state.bad", "state.n")).alias("bad_turn"),
+    )
 
 
 def turns_of(text: Column, template: Template = DEFAULT) -> Column:
@@ -95,18 +106,26 @@ def turns_of(text: Column, template: Template = DEFAULT) -> Column:
     def turn(part: Column) -> Column:
         at = F.instr(part, "\n")
         body = F.substr(part, at + 1, F.length(part) - at - len(end))
-        return F.struct(unescaped(F.substr(part, F.lit(1), at - 1), template).alias("role"), unescaped(body, template).alias("text"))
+        role = unescaped(F.substr(part, F.lit(1), at - 1), template)
+        return F.struct(role.alias("role"), unescaped(body, template).alias("text"))
 
     return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), turn)
 
 
 def digest(talks: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """What the output of formatted() says, read back: the turns from the text, the loss from the flags."""
+    """What the output of formatted() says, read back: the turns from the text, the loss from the flags,
+    and what the state machine made of the roles."""
     trained = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], template))
-    read = talks.select("conv_id", "formatted", turns_of(F.col("formatted"), template).alias("turns"), F.array_join(trained, "").alias("loss"))
+    turns = turns_of(F.col("formatted"), template).alias("turns")
+    read = talks.select("conv_id", "formatted", turns, F.array_join(trained, "").alias("loss"), "valid", "bad_turn")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+        "valid",
+        "bad_turn",
+    )
