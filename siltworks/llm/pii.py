@@ -109,7 +109,9 @@ _NAME = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase", "dot|punkt|punto|point"
 # what may stand between two labels of a spelled-out address, and one that ends in a known name
 _BETWEEN = rf"(?:\.|\s++\.\s++|[\s_]++(?:{_DOT})[\s_]++|\s*+[\[({{<]\s*+(?:{_DOT}|\.)\s*+[\])}}>]\s*+)"
-_ADDRESS = re.compile(rf"[A-Za-z0-9-]++(?:{_BETWEEN}[A-Za-z0-9-]++)*?{_BETWEEN}(?:{_TOP})\b(?:\.(?:{_TOP})\b)?", re.IGNORECASE)
+_ADDRESS = re.compile(
+    rf"[A-Za-z0-9-]++(?:{_BETWEEN}[A-Za-z0-9-]++)*?{_BETWEEN}(?:{_TOP})\b(?:\.(?:{_TOP})\b)?", re.IGNORECASE
+)
 _BETWEEN_LABELS = re.compile(_BETWEEN, re.IGNORECASE)
 # Words that come before "at" and an address of the web, not of a person.
 _NOT_NAMES = frozenset(
@@ -126,13 +128,16 @@ _DISGUISE = re.compile(
     rf"|(?P<digits>\b(?:{_NAME})(?:[ ,-]++(?:{_NAME}))*\b)",
     re.IGNORECASE,
 )
-#: What every disguise but an odd character has: one of these words, a mark and a word in it, or a blank beside
-#: an at sign or after a dot that "at" and a name came before.
+#: What every disguise but an odd character has: one of these words; a mark or a word in one; a blank beside an
+#: at sign or around a dot after it; or "at" and an address.
 _HINTS = frozenset(w.encode() for w in (*_DOT.split("|"), "plus", *_DIGITS))
 _MARKED = re.compile(
-    rf"&(?:#64|#x40|commat|#46|#x2e|period);|[\[({{<]\s*+(?:{_AT}|{_DOT}|\.)\s*+[\])}}>]|\s@|@\s|@[A-Za-z0-9.-]++\s", re.IGNORECASE
+    rf"&(?:#64|#x40|commat|#46|#x2e|period);|[\[({{<]\s*+(?:{_AT}|{_DOT}|\.)\s*+[\])}}>]", re.IGNORECASE
+)
+_AT_SIGN = re.compile(r"\s@|@\s|@[A-Za-z0-9.-]++\s++\.\s")
+_AT_NAME = re.compile(
+    rf"(?:{_AT})[\s_]++[a-z0-9-]++(?:(?:\.|\s++\.\s++)[a-z0-9-]++)*?(?:\.|\s++\.\s++)(?:{_TOP})\b", re.IGNORECASE
 )
-_AT_NAME = re.compile(rb"(?:at|arroba|arobase)[\s_]++[a-z0-9-]++\s*+\.\s*+[a-z0-9]")
 _AT_WORDS = frozenset(w.encode() for w in _AT.split("|"))
 _ASCII_WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or 48 <= x <= 57 else 32 for x in range(256))
 _WORD = re.compile("[A-Za-z]+")
@@ -210,11 +215,12 @@ def has_odd(text: str) -> bool:
 
 def has_hint(text: str) -> bool:
     """Whether a text may have a disguise made of words; without, the transducer would write it as it is."""
-    plain_bytes = text.encode("utf-8", "replace")
-    words = frozenset(plain_bytes.translate(_ASCII_WORDS).split())
-    if not _HINTS.isdisjoint(words) or _MARKED.search(text):
+    words = frozenset(text.encode("utf-8", "replace").translate(_ASCII_WORDS).split())
+    if not _HINTS.isdisjoint(words) or any(c in text for c in "&[({<") and _MARKED.search(text):
+        return True
+    if "@" in text and _AT_SIGN.search(text):
         return True
-    return not _AT_WORDS.isdisjoint(words) and bool(_AT_NAME.search(plain_bytes.lower()))
+    return not _AT_WORDS.isdisjoint(words) and bool(_AT_NAME.search(text))
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
