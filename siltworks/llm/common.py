@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import threading
 import uuid
@@ -50,7 +51,8 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored within are deleted at its end, but for those given to the function that it yields.
 
-    Those belong to the scratch around it, if any. What is returned from within must read kept tables only.
+    That function also takes a table that is yet to be computed and keeps all that it reads. What
+    is kept belongs to the scratch around it, if any.
     """
     scopes = _scopes.setdefault(threading.get_ident(), [])
     kept: set[str] = set()
@@ -70,6 +72,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 scopes[-1].append(path)
 
 
+def tidy(operator):
+    """operator(rows, ...) without the tables that it stored on the way: only those that its result reads stay."""
+
+    @functools.wraps(operator)
+    def run(rows: DataFrame, *args, **options) -> DataFrame:
+        with scratch(rows.sparkSession) as keep:
+            return keep(operator(rows, *args, **options))
+
+    return run
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siltworks/{spark.sparkContext.applicationId}"
 

@@ -270,6 +270,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@common.tidy
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -340,6 +341,7 @@ def digest(hits: DataFrame) -> DataFrame:
     )
 
 
+@common.tidy
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs' rows that no item's window occurs in, with the columns they had.
 

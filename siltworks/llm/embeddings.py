@@ -148,6 +148,7 @@ def _coded(classes: DataFrame) -> DataFrame:
     return common.mapped(chosen, each, f"{schema}, q binary, step double, left double, kept double")
 
 
+@common.tidy
 def near_duplicates(
     rows: DataFrame,
     id_col: str = "vec_id",

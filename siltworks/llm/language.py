@@ -183,6 +183,7 @@ def sample(docs: DataFrame, each_language: int = FIT_DOCS) -> list[tuple[np.ndar
     return rows
 
 
+@common.tidy
 def language_of(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of docs.
 

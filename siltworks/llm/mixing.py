@@ -241,6 +241,7 @@ def _shared_out(kinds: DataFrame, *more: str) -> DataFrame:
     return kinds.join(found, F.struct(*place).eqNullSafe(F.col("_at"))).drop("_at")
 
 
+@common.tidy
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, copies, taken), one for each row of docs.
 
@@ -263,6 +264,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     return sure.select("doc_id", "source", "size", "source_size", "target", "copies", taken)
 
 
+@common.tidy
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs' rows, each as often as mixed() takes it, with the columns they had.
 

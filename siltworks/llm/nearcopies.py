@@ -130,6 +130,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.stored(common.mapped(both, compared, "a binary, b binary"))
 
 
+@common.tidy
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """docs without all but one of each group that similar texts link: the smallest id's row stays.
 

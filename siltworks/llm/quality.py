@@ -226,6 +226,7 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(column).alias("y"))
 
 
+@common.tidy
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cut: float = 0.3) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs.
 

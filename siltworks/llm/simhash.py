@@ -295,6 +295,7 @@ def _tiled(over: DataFrame, bits: int, tile: int) -> DataFrame:
     return paired.groupBy("key", "t1", "t2").applyInPandas(span, "a long, b long")
 
 
+@common.tidy
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, tile: int = TILE
 ) -> DataFrame:
@@ -321,6 +322,7 @@ def _grouped(marked: DataFrame, bits: int, tile: int) -> DataFrame:
     return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id", "root", "key")
 
 
+@common.tidy
 def one_of_each(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, tile: int = TILE
 ) -> DataFrame:

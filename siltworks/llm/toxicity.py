@@ -261,6 +261,7 @@ def _hashed_below(h: Column, share: float) -> Column:
     return F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * share)
 
 
+@common.tidy
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, spans: bool = False) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs, and spans if asked for.
 
@@ -275,6 +276,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, spans: bool =
     return found.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
+@common.tidy
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
     """docs' rows that score below cut, with the columns they had.
 

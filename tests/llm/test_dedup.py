@@ -111,6 +111,21 @@ def test_stored_tables_can_be_swept(spark):
         spark.read.parquet(held.inputFiles()[0].rsplit("/", 1)[0]).count()
 
 
+def test_scratch_keeps_only_what_is_read(spark):
+    import os
+
+    at = common._own_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    with common.scratch(spark) as keep:
+        gone = common.stored(spark.range(2).toDF("a"))
+        read = common.stored(spark.range(3).toDF("a"))
+        with common.scratch(spark) as inner:
+            deep = inner(common.stored(spark.range(1).toDF("a")).join(read, "a"))
+            common.stored(gone)
+        result = keep(deep.where("a >= 0"))
+    assert result.count() == 1 and len(set(os.listdir(at)) - before) == 2
+
+
 def brute_vectors(rows, cosine=0.98):
     good = {}
     for i, x, label in rows:
