@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again before the next."""
+    """All stages over documents; each is written as Parquet and read again before the next.
+
+    What a stage stored on the way goes when its result is written, and that when the next one's is.
+    """
     docs = _table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with common.scratch(spark) as keep:
+            after = keep(common.stored(stage(spark, docs, sf_dir)))
+        if number:
+            common.drop_stored(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
