@@ -99,59 +99,6 @@ def _(t):
     return t("repositories").select("repo_id", e["field"].alias("field"))
 
 
-@query("rule_detections", "O28 O50 O51 O52 O53 O54 O55 O56 O57 O58 O59 O60 O66")
-def _(t):
-    found = rules.analysed(context(t), F.lit(AS_OF).cast("timestamp"))
-    return found.select("repo_id", "rule_id", "severity", F.round("confidence", 6).alias("confidence"), "risk_contribution", "file", "line_number")
-
-
-@query("rule_low_reputation", "O54", """
-select repo_id, case when stars <= 2 and new then 12e0 else 8e0 end as risk_contribution from (
-  select r.repo_id, r.stars, coalesce(epoch(timestamp '2024-01-10' - r.created_at) / 86400, 999) <= 30 as new,
-    lower(concat_ws(' ', r.full_name, r.description, d.text)) as t, [lower(b.brand_name)] || string_split(b.aliases, ',') as names
-  from {repositories} r join {brands} b on b.brand_id = r.brand_id left join {documents} d on d.doc_id = r.repo_id) x
-where len([a for a in names if contains(t, a)]) > 0 and (stars <= 2 or new)""")
-def _(t):
-    found = rules.analysed(context(t), F.lit(AS_OF).cast("timestamp"), excluded=tuple(r for r in rules.RULES if r != "low-reputation-new-repo"))
-    return found.select("repo_id", "risk_contribution")
-
-
-@query("rule_deployment", "O60", "select r.repo_id, case r.repo_id % 9 when 0 then 'vercel.json' else 'Procfile' end as evidence from {repositories} r join {brands} b on b.brand_id = r.brand_id where r.repo_id % 9 < 2")
-def _(t):
-    return only(t, "deployment-signal").select("repo_id", "evidence")
-
-
-def only(t: Tables, identity: str):
-    return rules.analysed(context(t), F.lit(AS_OF).cast("timestamp"), excluded=tuple(r for r in rules.RULES if r != identity))
-
-
-@query("rule_obfuscated", "O57", "select repo_id, 'a.sh' as file, 2 as line_number from {repositories} where repo_id % 10 = 0")
-def _(t):
-    return only(t, "obfuscated-commands").select("repo_id", "file", "line_number")
-
-
-@query("rule_destination", "O59", "select repo_id, 'https://evil.example/a' as matched_text from {repositories} where repo_id % 10 = 0")
-def _(t):
-    return only(t, "suspicious-destination").select("repo_id", "matched_text")
-
-
-@query("rule_fake_apk", "O52", """
-select r.repo_id, 'critical' as severity, 32e0 as risk_contribution from {repositories} r join {brands} b on b.brand_id = r.brand_id left join {documents} d on d.doc_id = r.repo_id
-where r.repo_id % 9 = 0 and len([a for a in [lower(b.brand_name)] || string_split(b.aliases, ',') if contains(lower(concat_ws(' ', r.full_name, r.description, d.text)), a)]) > 0""")
-def _(t):
-    return only(t, "fake-apk").select("repo_id", "severity", "risk_contribution")
-
-
-@query("ruleset_version", "O66", f"select substr(sha256('1:{','.join(sorted(rules.RULES))}'), 1, 16) as version")
-def _(t):
-    return t.spark.range(1).select(rules.ruleset_version().alias("version"))
-
-
-@query("internal_audit_rules", "O28")
-def _(t):
-    return rules.analysed(context(t), F.lit(AS_OF).cast("timestamp"), internal_audit=True).groupBy("rule_id").agg(F.count("*").alias("n"))
-
-
 @query("credential_reuse", "O62", """
 select o_custkey as repo_id, o_orderkey as line_number from {orders} where o_orderkey % 100 in (select p_partkey from {part} where p_partkey < 40 and p_partkey % 3 = 0) and o_custkey % 2 = 0""")
 def _(t):

