@@ -62,6 +62,8 @@ CONTACTS = (
     ("crypto_wallet", r"(?i)\b0x[a-f0-9]{40}\b", 0),
     ("crypto_wallet", r"\b(?:bc1[a-z0-9]{25,39}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b", 0),
 )
+#: Of each contact pattern, what every match has in small letters, so that others need not be searched; none of the last.
+CONTACT_ANCHORS = (("@",), (".me/",), ("wa.me/", "whatsapp.com/"), ("discord",), ("0x",), ())
 PLACEHOLDER_EMAILS = (
     "noreply@github.com", "support@github.com", "you@example.com", "your-email@example.com", "email@example.com", "name@example.com",
     "user@example.com", "admin@example.com", "test@example.com", "me@example.com", "hello@example.com",
@@ -91,10 +93,12 @@ ASSIGNED = r"(?i)((?:api[_-]?key|token|secret|password)\s*)[:=]\s*"
 
 # Words that say nothing, and boilerplate.
 STOPWORDS = (
-    "that this with from your have will would could should their there these those about into when where which while what were been being does "
-    "each more most other some such only than then them they here over under again once both because before after above below between through "
-    "during please thank thanks welcome click continue"
-).split()
+    "that", "this", "with", "from", "your", "have", "will", "would", "could", "should", "their", "there", "these",
+    "those", "about", "into", "when", "where", "which", "while", "what", "were", "been", "being", "does", "each",
+    "more", "most", "other", "some", "such", "only", "than", "then", "them", "they", "here", "over", "under",
+    "again", "once", "both", "because", "before", "after", "above", "below", "between", "through", "during",
+    "please", "thank", "thanks", "welcome", "click", "continue",
+)
 BOILERPLATE = (
     "all rights reserved", "terms and conditions", "terms of service", "privacy policy", "please try again later", "invalid email or password",
     "sign in to continue", "forgot your password", "something went wrong", "page not found", "loading please wait", "you have been logged out",
@@ -126,7 +130,7 @@ PROSE_PATH = r"\.(md|mdx|txt)$"
 LURE_SUFFIXES = ("login", "apk", "otp", "verify", "support", "app", "official", "wallet")
 SPLIT_LANGUAGES = ("JavaScript", "TypeScript", "Python", "Java", "Go", "PHP", "Ruby", "Shell")
 EARLIEST_DATE, LATEST_DATE, LARGEST_FILE = "2008-01-01", "2099-12-31", 100_000_000
-DEFAULT_KEYWORDS = (
+FALLBACK_KEYWORDS = (
     ("login", "phishing", 5), ("verification", "phishing", 5), ("wallet", "phishing", 5), ("payment", "phishing", 5), ("otp", "phishing", 5),
     ("apk", "malware", 5), ("mod", "malware", 5), ("stealer", "malware", 5),
 )
@@ -134,3 +138,19 @@ SECRET_FILE_QUERIES = (
     "filename:.env AKIA", "filename:.env ghp_", "filename:credentials.json", "filename:firebase.json", "filename:google-services.json",
     "filename:serviceAccount.json", "filename:id_rsa", "extension:pem BEGIN PRIVATE", "sk_live_ filename:.env",
 )
+
+# Keywords (with category and priority) and brands (with aliases and keywords) that a new workspace has.
+SEEDED_KEYWORDS = (
+    ("paypal", "brand", 8), ("google", "brand", 8), ("amazon", "brand", 8), ("login", "phishing", 7), ("credential", "phishing", 9),
+    ("otp", "phishing", 8), ("bank", "phishing", 7), ("wallet", "phishing", 7), ("crypto", "malware", 6), ("verification", "phishing", 7),
+    ("payment", "phishing", 7), ("aws", "secret", 9), ("firebase", "secret", 9), ("secret", "secret", 9), ("apikey", "secret", 9),
+    ("token", "secret", 8), ("kyc", "phishing", 7), ("trading", "phishing", 6), ("support", "phishing", 6), ("apk", "malware", 8),
+    ("mod", "malware", 5), ("cracked", "malware", 6), ("phishing", "phishing", 9), ("clone", "phishing", 7), ("bypass", "phishing", 8),
+    ("free money", "phishing", 6), ("gift card", "phishing", 6), ("2fa bypass", "phishing", 9),
+)
+SEEDED_BRANDS = (
+    ("FYND", ("fynd",), ("fynd",)),
+    ("Zerodha", ("zerodha", "kite"), ("zerodha", "kite trading")),
+    ("Angel One", ("angelone", "angel broking"), ("angel one", "angelone")),
+    ("INDmoney", ("indmoney", "ind money"), ("indmoney",)),
+)

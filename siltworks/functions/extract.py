@@ -23,16 +23,21 @@ def _named(kind: str):
 
 
 def contacts(text: Column) -> Column:
-    """Array of structs (kind, value): who a text can be traced to, each once, wallets in their own spelling."""
-    found = []
-    for kind, pattern, group in K.CONTACTS:
+    """Array of structs (kind, value): who a text can be traced to, each once, wallets in their own spelling.
+
+    A pattern is only searched in texts that have what each of its matches has.
+    """
+    found, low = [], F.lower(text)
+    for (kind, pattern, group), anchors in zip(K.CONTACTS, K.CONTACT_ANCHORS, strict=True):
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        if anchors:
+            hits = F.when(T.any_of(low, anchors), hits).otherwise(F.array().cast("array<string>"))
         if kind != "crypto_wallet":
             hits = F.transform(hits, lambda v: F.lower(v))
         if kind == "email":
             hits = F.filter(hits, lambda v: ~is_placeholder_email(v))
         found.append(F.transform(hits, _named(kind)))
-    return F.array_distinct(F.concat(*found))
+    return F.when(text.isNotNull(), F.array_distinct(F.concat(*found)))
 
 
 def host(url: Column) -> Column:

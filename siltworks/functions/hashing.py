@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-GRAM, WINDOW, SHORT_HASH = 25, 4, 16
-TOKEN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
+GRAM, WINDOW = 25, 4
 SEPARATOR = "\u0001"
-
-
-def code_tokens(text: Column) -> Column:
-    """Names and numbers as wholes, other visible characters one by one."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+_TOKEN = re.compile(
+    r"[A-Za-z0-9_]+|[^\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeffA-Za-z0-9_]"
+)
 
 
 def normalised(text: Column) -> Column:
@@ -20,33 +23,54 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]+(?=\n|\z)", "")
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once a row, however often expressions above refer to it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def content_hash(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _short(text: Column) -> Column:
-    return F.substring(F.sha2(text, 256), 1, SHORT_HASH)
-
-
-def gram_hashes(words: Column, gram: int = GRAM) -> Column:
-    """Hashes of all runs of `gram` tokens; of a shorter text its one hash; of none nothing."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - gram + 1))
-    grams = F.transform(starts, lambda s: _short(F.array_join(F.slice(words, s, gram), SEPARATOR)))
-    return F.when(n > 0, grams).otherwise(F.array().cast("array<string>"))
-
-
-def winnowed(hashes: Column, window: int = WINDOW) -> Column:
-    """The least hash of each window, without repeats; all hashes where there is no full window."""
-    n = F.size(hashes)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - window + 1))
-    least = F.transform(starts, lambda s: F.array_min(F.slice(hashes, s, window)))
-    return F.array_distinct(F.when(n <= window, hashes).otherwise(least))
+def code_tokens(text: str) -> list[str]:
+    """Names and numbers as wholes, other visible characters one by one."""
+    return _TOKEN.findall(text)
+
+
+def gram_hashes(words: list[str], gram: int = GRAM) -> np.ndarray:
+    """The first 64 bits of the SHA-256 of each run of `gram` tokens; of a shorter text its one hash; of none nothing.
+
+    Runs are slices of the joined tokens, between the tokens' offsets.
+    """
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = [w.encode("utf-8", "surrogatepass") for w in words]
+    joined = SEPARATOR.encode().join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    if len(parts) > gram:
+        starts, ends = starts[: len(parts) - gram + 1], ends[gram - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    hashed = hashlib.sha256
+    first = b"".join([hashed(joined[s:e]).digest()[:8] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(first, ">u8").astype(np.uint64)
+
+
+def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The least hash of each window, without repeats, in order; all hashes where there is no full window."""
+    if len(hashes) > window:
+        least = hashes[: len(hashes) - window + 1]
+        for k in range(1, window):
+            least = np.minimum(least, hashes[k : len(hashes) - window + 1 + k])
+        hashes = least
+    _, first = np.unique(hashes, return_index=True)
+    return hashes[np.sort(first)]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def fingerprints(text: pd.Series) -> pd.Series:
+    """The winnowed fingerprints of each text, as 16 hexadecimal digits each, in one pass; null for null."""
+
+    def one(t: str | None) -> list[str] | None:
+        return None if t is None else [f"{h:016x}" for h in winnowed(gram_hashes(code_tokens(t))).tolist()]
+
+    return text.map(one)
 
 
 def finding_key(identity: Column, rule_ids: Column, branch: Column | None = None) -> Column:

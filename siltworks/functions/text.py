@@ -28,6 +28,14 @@ def terms_in(text: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
+def any_of(text: Column, terms: tuple[str, ...]) -> Column:
+    """Whether a text contains any of the terms."""
+    out = F.contains(text, F.lit(terms[0]))
+    for t in terms[1:]:
+        out = out | F.contains(text, F.lit(t))
+    return out
+
+
 def quoted(term: str) -> str:
     return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", term)
 
@@ -37,7 +45,9 @@ def has_term(text: Column, term: str | Column) -> Column:
     if isinstance(term, str):
         return text.rlike(f"(?:^|[^a-z0-9]){quoted(term.lower())}(?:$|[^a-z0-9])")
     safe = F.regexp_replace(F.lower(term), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.regexp(text, F.concat(F.lit("(?:^|[^a-z0-9])"), safe, F.lit("(?:$|[^a-z0-9])")))
+    pattern = F.concat(F.lit("(?:^|[^a-z0-9])"), safe, F.lit("(?:$|[^a-z0-9])"))
+    # a pattern from a column is compiled for each value, so only where the bare term is there
+    return F.when(F.contains(text, F.lower(term)), F.regexp(text, pattern)).when(text.isNotNull(), F.lit(False))
 
 
 def whole_terms_in(text: Column, terms: tuple[str, ...]) -> Column:
@@ -52,9 +62,13 @@ def word_pattern(term: Column) -> Column:
 
 
 def word_index(text: Column, term: Column) -> Column:
-    """Where (from 0) the term first stands as a word of the text, -1 if nowhere or if the term is empty."""
+    """Where (from 0) the term first stands as a word of the text, -1 if nowhere or if the term is empty.
+
+    The pattern, compiled for each value, is tried only on texts that have the bare term.
+    """
     at = F.regexp_instr(text, word_pattern(term)) - 1
-    return F.when(F.length(term) > 0, F.coalesce(at, F.lit(-1))).otherwise(F.lit(-1))
+    there = (F.length(term) > 0) & F.contains(F.lower(text), F.lower(term))
+    return F.when(there, F.coalesce(at, F.lit(-1))).otherwise(F.lit(-1))
 
 
 def first_alias(text: Column, aliases: Column) -> Column:
@@ -105,18 +119,50 @@ def similarity(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """similarity() of each pair; equal pairs of a batch are compared once."""
+    known: dict[tuple, float | None] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else similarity(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
+
+
+def most_alike(a: Column, b: Column) -> Column:
+    """A bound on similarity(a, b) from above: as if all characters that both have matched in their order.
+
+    Of m matches without swaps Jaro's value is (m / |a| + m / |b| + 1) / 3, which grows with m,
+    and m is at most the number of characters that both have, with repeats; the prefix is that
+    of the texts. So a pair whose bound is below a threshold can be left out unseen.
+    """
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    chars = F.filter(F.array_distinct(F.split(a, "")), lambda c: F.length(c) > 0)
+    m = F.aggregate(chars, F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    jaro = F.when(m > 0, (m / F.length(a) + m / F.length(b) + 1) / 3).otherwise(F.lit(0.0))
+    prefix = F.lit(0)
+    for k in range(4, 0, -1):
+        alike = (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k))
+        prefix = F.when(alike & (prefix == 0), k).otherwise(prefix)
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def resembling(pairs: DataFrame, a: str, b: str, least: float = FUZZY) -> DataFrame:
+    """pairs with `similarity`, those of `least` or more: what the bound leaves is compared in Python."""
+    near = pairs.where(most_alike(F.col(a), F.col(b)) >= least - 1e-9)
+    return near.withColumn("similarity", jaro_winkler(a, b)).where(F.col("similarity") >= least)
 
 
 def fuzzy_pairs(words: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rows (token, alias, similarity) of words(token) and aliases(alias) that resemble each other.
 
-    Distinct words meet only aliases of a length at most two apart: a join on the length.
+    Distinct words meet only aliases of a length at most two apart, by an equi-join on the
+    length, and of these only pairs that share enough characters are compared.
     """
     near = F.explode(F.sequence(F.length("alias") - LENGTHS_APART, F.length("alias") + LENGTHS_APART))
     by_length = aliases.select("alias").distinct().select("alias", near.alias("_n"))
     pairs = words.select("token").distinct().withColumn("_n", F.length("token")).join(by_length, "_n").drop("_n")
-    return pairs.withColumn("similarity", jaro_winkler("token", "alias")).where(F.col("similarity") >= FUZZY)
+    return resembling(pairs, "token", "alias")
 
 
 def first_spellings(rows: DataFrame, keyword: str, order: str) -> DataFrame:

@@ -24,10 +24,12 @@ def evidence(units_rows: DataFrame, repos: DataFrame, brands: DataFrame, exact_o
     A trusted owner comes first; then the first unit, in order of location, entry and line,
     that has an alias as a word; where there is none, the first with a word that resembles an
     alias. grep_hits(repo_id, path, line_number, term, line, ord) come before other contents.
-    Brands(brand_id, brand_name, aliases, trusted_owners) are a dimension and are broadcast.
+    Brands(brand_id, brand_name, aliases, trusted_owners) are a list kept by analysts; whether it
+    is broadcast is left to the planner, which knows its size.
     """
-    known = F.broadcast(brands.select("brand_id", _aliases().alias("names"), F.transform("trusted_owners", lambda o: F.lower(o)).alias("owners")))
-    owned = repos.select("repo_id", "owner").join(known, F.expr("array_contains(owners, lower(owner))"))
+    known = brands.select("brand_id", _aliases().alias("names"))
+    owners = brands.select("brand_id", F.explode(F.array_distinct(F.transform("trusted_owners", lambda o: F.lower(o)))).alias("_o"))
+    owned = repos.select("repo_id", "owner").join(owners, F.lower("owner") == F.col("_o"))
     owned = owned.select("repo_id", "brand_id", F.lit("trusted_owner").alias("type"), F.struct(
         F.lit(-1).alias("rank"), F.lit(0).alias("entry"), F.lit(0).alias("line_number"), F.lit(0).alias("word"), F.lower("owner").alias("alias"),
         F.col("owner").alias("matched"), F.lit(None).cast("string").alias("path")).alias("proof"))
@@ -67,7 +69,7 @@ def _fuzzy(units_rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFra
     words = units_rows.select(*place, F.posexplode(T.tokens(F.col("text"))).alias("word", "token"))
     names = known.select("brand_id", F.posexplode("names").alias("alias_ord", "alias"))
     alike = T.fuzzy_pairs(words, names).select("token", "alias")
-    hits = words.join(alike, "token").join(F.broadcast(names), "alias").join(found, ["repo_id", "brand_id"], "left_anti")
+    hits = words.join(alike, "token").join(names, "alias").join(found, ["repo_id", "brand_id"], "left_anti")
     first = hits.groupBy("repo_id", "brand_id").agg(F.min(F.struct(*place[1:], "word", "alias_ord", "alias", "token")).alias("f"))
     first = first.select("repo_id", "brand_id", "f.*").join(units_rows, place)
     at = F.position(F.col("token"), F.lower("text")) - 1
@@ -79,7 +81,7 @@ def best_brand(proofs: DataFrame, brands: DataFrame) -> DataFrame:
     """The brand of each repository whose proof is strongest by place, then by kind; ties keep the earlier brand."""
     strong = (F.col("rank") <= units.LOCATIONS.index("file_path")).cast("int")
     order = Window.partitionBy("repo_id").orderBy(F.desc(strong), F.desc(_strength()), "brand_id")
-    return proofs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn").join(F.broadcast(brands.select("brand_id", "brand_name")), "brand_id")
+    return proofs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn").join(brands.select("brand_id", "brand_name"), "brand_id")
 
 
 def keyword_matches(units_rows: DataFrame, repos: DataFrame, keywords: DataFrame, most: int = KEYWORDS_SHOWN) -> DataFrame:
@@ -93,17 +95,38 @@ def keyword_matches(units_rows: DataFrame, repos: DataFrame, keywords: DataFrame
     return proofs.withColumn("turn", turn).where(F.col("turn") <= most)
 
 
+#: Letters at an alias's beginning by which texts that may contain it are found; apart in length that a likeness may be.
+HEAD, SHALLOW_APART = 3, 12
+
+
+def _heads(text: Column, most: int = HEAD) -> Column:
+    """All runs of `most` characters of a text, and its shorter ones."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), _run(text, k)) for k in range(1, most + 1)]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _run(text: Column, size: int):
+    return lambda at: F.substr(text, at, F.lit(size))
+
+
 def shallow_brand(repos: DataFrame, brands: DataFrame) -> DataFrame:
-    """repos with brand_id: that of a trusted owner, else the first whose alias the name, description or topics contain or resemble."""
+    """repos with brand_id: that of a trusted owner, else the first whose alias the name, description or topics contain or resemble.
+
+    All joins are on keys: owners, the first letters of an alias, the length of a text.
+    """
     text = F.lower(F.concat_ws(" ", "full_name", F.coalesce("description", F.lit("")), F.array_join("topics", " ")))
-    known = F.broadcast(brands.select("brand_id", _aliases().alias("names"), F.transform("trusted_owners", lambda o: F.lower(o)).alias("owners")))
     rows = repos.select("repo_id", F.lower("owner").alias("o"), text.alias("t"))
-    trusted = F.expr("array_contains(owners, o)")
-    contained = F.exists("names", lambda a: F.contains(F.col("t"), a))
-    both = rows.join(known, trusted | contained).select("repo_id", F.struct((~trusted).alias("late"), "brand_id").alias("k"))
-    pairs = rows.join(known.select("brand_id", F.explode("names").alias("a")), F.abs(F.length("t") - F.length("a")) <= 12)
-    alike = pairs.where(T.jaro_winkler("t", "a") >= T.FUZZY).select("repo_id", F.struct(F.lit(True).alias("late"), "brand_id").alias("k"))
-    found = both.unionByName(alike).groupBy("repo_id").agg(F.min("k").alias("k"))
+    names = brands.select("brand_id", F.explode(_aliases()).alias("a"))
+    owners = brands.select("brand_id", F.explode(F.transform("trusted_owners", lambda o: F.lower(o))).alias("o"))
+    late = lambda v: F.struct(F.lit(v).alias("late"), "brand_id").alias("k")
+    trusted = rows.join(owners, "o").select("repo_id", late(False))
+    by_head = names.withColumn("h", F.substring("a", 1, HEAD))
+    contained = rows.select("repo_id", "t", F.explode(_heads(F.col("t"))).alias("h")).join(by_head, "h")
+    contained = contained.where(F.contains("t", F.col("a"))).select("repo_id", late(True))
+    near = F.explode(F.sequence(F.length("a") - SHALLOW_APART, F.length("a") + SHALLOW_APART)).alias("n")
+    pairs = rows.select("repo_id", "t", F.length("t").alias("n")).join(names.select("brand_id", "a", near), "n")
+    alike = T.resembling(pairs, "t", "a").select("repo_id", late(True))
+    found = trusted.unionByName(contained).unionByName(alike).groupBy("repo_id").agg(F.min("k").alias("k"))
     return repos.join(found, "repo_id", "left").withColumn("brand_id", F.col("k.brand_id")).drop("k")
 
 

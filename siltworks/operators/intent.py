@@ -62,7 +62,7 @@ def checked(answers: DataFrame, references: str = "references", valid: str = "va
 def contexts(repos: DataFrame, detections: DataFrame, brands: DataFrame) -> DataFrame:
     """Rows (repo_id, context): a nested record of a repository, its brand and its detections."""
     items = detections.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rule_id", "category", "severity"))).alias("detections"))
-    rows = repos.join(items, "repo_id", "left").join(F.broadcast(brands.select("brand_id", "brand_name")), "brand_id", "left")
+    rows = repos.join(items, "repo_id", "left").join(brands.select("brand_id", "brand_name"), "brand_id", "left")
     return rows.select("repo_id", F.struct(
         F.struct("full_name", "owner", "stars", "forks").alias("repository"), F.col("brand_name").alias("brand"), F.col("detections").alias("detections")
     ).alias("context"))

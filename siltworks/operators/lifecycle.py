@@ -85,7 +85,7 @@ def promoted_keywords(texts: DataFrame, seeds: DataFrame, present: DataFrame, mo
     seeds(ord, keyword) is a short list and is broadcast.
     """
     new = seeds.join(present.select(F.lower("keyword").alias("_k")), F.lower("keyword") == F.col("_k"), "left_anti")
-    rows = texts.join(F.broadcast(new), F.contains(F.lower("text"), F.lower("keyword")))
+    rows = texts.join(new, F.contains(F.lower("text"), F.lower("keyword")))
     turn = F.row_number().over(Window.partitionBy("finding_id").orderBy("ord"))
     return rows.withColumn("turn", turn).where(F.col("turn") <= most).select("finding_id", "keyword", "turn")
 

@@ -220,27 +220,57 @@ def _deployment(as_of: Column) -> Column:
     return one(F.col("brand.name").isNotNull() & (F.size(found) > 0), detection("deployment-signal", "suspicious_destination", "low", 0.5, 8, F.array_join(found, ", ")))
 
 
-#: Shapes of secrets: id, pattern, severity. A family of its own, which reads like the redaction's.
+#: Shapes of secrets: id, small letters that every match has one of, pattern, severity. A family of its own, which
+#: reads like the redaction's.
 SECRET_SHAPES = (
-    ("aws-access-key", r"AKIA[0-9A-Z]{16}", "critical"), ("code-host-token", r"ghp_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}", "critical"),
-    ("private-key", r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----", "critical"), ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "medium"),
-    ("cloud-api-key", r"AIza[0-9A-Za-z_-]{35}", "high"), ("payment-live-key", r"sk_live_[A-Za-z0-9]{20,}", "critical"), ("chat-token", r"xox[baprs]-[A-Za-z0-9-]{10,}", "high"),
-    ("model-api-key", r"sk-ant-[A-Za-z0-9_-]{20,}", "high"), ("mail-api-key", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "high"),
-    ("database-address", r"""(?i)(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[^\s"'<>:@]+:[^\s"'<>@]+@[^\s"'<>]+""", "critical"),
-)
+    ("aws-access-key", ("akia",), r"AKIA[0-9A-Z]{16}", "critical"),
+    ("code-host-token", ("ghp_", "github_pat_"), r"ghp_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}", "critical"),
+    ("private-key", ("private key",), r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----", "critical"),
+    ("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "medium"),
+    ("cloud-api-key", ("aiza",), r"AIza[0-9A-Za-z_-]{35}", "high"),
+    ("payment-live-key", ("sk_live_",), r"sk_live_[A-Za-z0-9]{20,}", "critical"),
+    ("chat-token", ("xox",), r"xox[baprs]-[A-Za-z0-9-]{10,}", "high"),
+    ("model-api-key", ("sk-ant-",), r"sk-ant-[A-Za-z0-9_-]{20,}", "high"),
+    ("mail-api-key", ("sg.",), r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "high"),
+    (
+        "database-address",
+        ("://",),
+        r"""(?i)(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[^\s"'<>:@]+:[^\s"'<>@]+@[^\s"'<>]+""",
+        "critical",
+    ),
+)
+GENERIC_ANCHORS = ("api", "token", "secret", "password")
 GENERIC_SECRET = r"""(?i)(?:api[_-]?key|token|secret|password)\s*[:=]\s*['"]?([^\s'"]{8,})['"]?"""
 
 
+def secret_anchored(line: Column) -> Column:
+    """Whether a line may have a secret: one of the anchors, which are far cheaper to find than the patterns."""
+    anchors = {a for _, some, _, _ in SECRET_SHAPES for a in some} | set(GENERIC_ANCHORS)
+    return T.any_of(F.lower(line), tuple(sorted(anchors)))
+
+
 def secret_matches(line: Column) -> Column:
-    """Structs (pattern_id, severity, value) of the secrets of a line; placeholders and references to code don't count."""
+    """Structs (pattern_id, severity, value) of a line's secrets; placeholders and references to code don't count."""
+    low, none = F.lower(line), F.array().cast("array<string>")
+
+    def hits(anchors: tuple[str, ...], pattern: str, group: int) -> Column:
+        return F.when(T.any_of(low, anchors), F.regexp_extract_all(line, F.lit(pattern), F.lit(group))).otherwise(none)
+
     def match(identity: str, severity: str):
-        return lambda v: F.struct(F.lit(identity).alias("pattern_id"), F.lit(severity).alias("severity"), v.alias("value"))
+        return lambda v: F.struct(
+            F.lit(identity).alias("pattern_id"), F.lit(severity).alias("severity"), v.alias("value")
+        )
 
-    found = [F.transform(F.regexp_extract_all(line, F.lit(p), F.lit(0)), match(i, s)) for i, p, s in SECRET_SHAPES]
+    found = [F.transform(hits(some, p, 0), match(i, s)) for i, some, p, s in SECRET_SHAPES]
     shaped = F.filter(F.concat(*found), lambda m: ~secrets.is_placeholder(m["value"]))
     values = F.transform(shaped, lambda m: m["value"])
-    loose = F.filter(F.regexp_extract_all(line, F.lit(GENERIC_SECRET), F.lit(1)), lambda v: secrets.is_high_entropy(v, 16, 3.0) & ~F.exists(values, lambda s: F.contains(s, v) | F.contains(v, s)))
-    return F.concat(shaped, F.transform(loose, match("generic-assignment", "medium")))
+
+    def loose(v: Column) -> Column:
+        known = F.exists(values, lambda s: F.contains(s, v) | F.contains(v, s))
+        return secrets.is_high_entropy(v, 16, 3.0) & ~known
+
+    generic = F.filter(hits(GENERIC_ANCHORS, GENERIC_SECRET, 1), loose)
+    return F.concat(shaped, F.transform(generic, match("generic-assignment", "medium")))
 
 
 def analysed(context: DataFrame, as_of: Column, excluded: tuple[str, ...] = (), internal_audit: bool = False) -> DataFrame:
@@ -275,7 +305,7 @@ def phrase_reuse(lines: DataFrame, phrases: DataFrame, most: int = 10) -> DataFr
     whole = asked.where("size(parts) > 2").withColumn("key", longest["w"])
     rows = lines.select("repo_id", "path", "line_number", "line", F.explode(F.array_distinct(words)).alias("key"))
     found = rows.join(whole, "key").where(F.contains(F.lower("line"), F.col("low")))
-    short = F.broadcast(asked.where("size(parts) <= 2"))
+    short = asked.where("size(parts) <= 2")
     found = found.select("repo_id", "path", "line_number", "phrase_id").unionByName(
         lines.join(short, F.contains(F.lower("line"), F.col("low"))).select("repo_id", "path", "line_number", "phrase_id")
     )

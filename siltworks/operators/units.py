@@ -69,7 +69,7 @@ def grep(files: DataFrame, terms: DataFrame, boundary: bool = True) -> DataFrame
     hit = F.contains(F.lower("line"), F.lower("term"))
     if boundary:
         hit = hit & (T.word_index(F.col("line"), F.lower("term")) >= 0)
-    found = rows.join(F.broadcast(wanted), hit).withColumn("line", F.trim(F.substring("line", 1, LONGEST_LINE)))
+    found = rows.join(wanted, hit).withColumn("line", F.trim(F.substring("line", 1, LONGEST_LINE)))
     key = ["repo_id", "path", "line_number"] + ([] if boundary else ["term"])
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
     return found.withColumn("_turn", turn).where("_turn = 1").select("repo_id", "path", "line_number", "term", "line")

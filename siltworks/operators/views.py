@@ -107,7 +107,7 @@ def linked_identities(identities: DataFrame, by: list[str] | None = None) -> Dat
     """Rows (repo_id, kind, value, other_repo, other_owner) of repositories that share an identity.
 
     For a common value this has as many rows as pairs, as such a view must; counts alone are
-    better got from linked_owner_counts, which joins values to their sizes.
+    better got from linked_owner_counts, which makes no pairs of an owner's largest group.
     """
     by = by or ["workspace_id", "kind", "value"]
     other = identities.select(*by, F.col("repo_id").alias("other_repo"), F.col("owner").alias("other_owner"))
@@ -115,16 +115,37 @@ def linked_identities(identities: DataFrame, by: list[str] | None = None) -> Dat
 
 
 def linked_owner_counts(identities: DataFrame, findings: DataFrame) -> DataFrame:
-    """Rows (workspace_id, owner, linked_owners): other owners with an equal identity whose repositories have a finding that isn't false."""
+    """Rows (workspace_id, owner, linked_owners): other owners with an equal identity whose repositories have a finding that isn't false.
+
+    Of an owner's identities the commonest is only counted: its group's size, less the owner.
+    Owners of the other identities are paired, and those who are in the commonest's group as
+    well don't count again. So a value that many owners have makes no pairs unless they have
+    a still commoner one.
+    """
+    by = ["workspace_id", "kind", "value"]
     real = findings.where(is_not(F.col("status"), "false_positive")).select("repo_id").distinct()
-    others = identities.join(real, "repo_id", "left_semi").select("workspace_id", "kind", "value", F.col("owner").alias("other")).distinct()
-    mine = identities.select("workspace_id", "kind", "value", "owner").distinct()
-    pairs = mine.join(others, ["workspace_id", "kind", "value"]).where("owner <> other")
-    return pairs.groupBy("workspace_id", "owner").agg(F.countDistinct("other").alias("linked_owners"))
+    members = identities.join(real, "repo_id", "left_semi").where("owner is not null").select(*by, F.col("owner").alias("other")).distinct()
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n"))
+    mine = identities.where("owner is not null").select(*by, "owner").distinct().join(sizes, by)
+    top = F.max(F.struct("n", "kind", "value")).alias("top")
+    top = mine.groupBy("workspace_id", "owner").agg(top).select("workspace_id", "owner", "top.n", F.col("top.kind").alias("_k"), F.col("top.value").alias("_v"))
+    inside = members.select("workspace_id", F.col("kind").alias("_k"), F.col("value").alias("_v"), F.col("other").alias("owner"), F.lit(1).alias("_in"))
+    base = top.join(inside, ["workspace_id", "_k", "_v", "owner"], "left")
+    base = base.select("workspace_id", "owner", (F.col("n") - F.coalesce("_in", F.lit(0))).alias("linked"))
+    rest = mine.drop("n").join(top.drop("n"), ["workspace_id", "owner"]).where("kind <> _k or value <> _v")
+    rest = rest.join(members, by).where("owner <> other").select("workspace_id", "owner", "other", "_k", "_v").distinct()
+    rest = rest.join(inside.select("workspace_id", "_k", "_v", F.col("owner").alias("other")), ["workspace_id", "_k", "_v", "other"], "left_anti")
+    rest = rest.groupBy("workspace_id", "owner").agg(F.count("*").alias("more"))
+    both = base.join(rest, ["workspace_id", "owner"], "left").withColumn("linked_owners", F.col("linked") + F.coalesce("more", F.lit(0)))
+    return both.where("linked_owners > 0").select("workspace_id", "owner", "linked_owners")
 
 
 def shared_contributors(contributors: DataFrame, repos: DataFrame) -> DataFrame:
-    """contributors with the other repositories of each login, sorted; none is an empty array."""
+    """contributors with the other repositories of each login, sorted; none is an empty array.
+
+    The lists are what the view shows, so a login's lists grow with the square of its
+    repositories; contributor_overlap counts without them.
+    """
     named = contributors.join(repos.select("repo_id", "full_name"), "repo_id").groupBy("login").agg(F.array_sort(F.collect_set(F.struct("repo_id", "full_name"))).alias("_all"))
     rows = contributors.join(named, "login", "left")
     others = F.filter(F.coalesce("_all", F.array().cast("array<struct<repo_id:bigint,full_name:string>>")), lambda r: r["repo_id"] != F.col("repo_id"))
@@ -151,7 +172,7 @@ def repeat_operators(repos: DataFrame, findings: DataFrame) -> DataFrame:
 def match_info(repos: DataFrame, findings: DataFrame, brands: DataFrame) -> DataFrame:
     """repos with the riskiest finding, and the brand of it or else that of the discovery."""
     top = top_per_repository(findings).select("repo_id", "finding_id", "risk_score", F.col("brand_name").alias("_found"))
-    rows = repos.join(top, "repo_id", "left").join(F.broadcast(brands.select("brand_id", F.col("brand_name").alias("_brand"))), "brand_id", "left")
+    rows = repos.join(top, "repo_id", "left").join(brands.select("brand_id", F.col("brand_name").alias("_brand")), "brand_id", "left")
     name = F.coalesce(F.when(F.length("_found") > 0, F.col("_found")), "_brand", F.lit("unknown"))
     return rows.select("repo_id", "finding_id", "risk_score", name.alias("matched_brand"), F.col("finding_id").isNotNull().alias("confirmed"))
 

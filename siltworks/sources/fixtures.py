@@ -99,6 +99,24 @@ select o_orderkey as assessment_id, o_custkey as repo_id, case when o_orderkey %
   case o_orderkey % 4 when 0 then 'malicious' when 1 then 'benign' when 2 then 'inconclusive' else 'suspicious' end as intent,
   cast(o_orderkey % 100 as double) / 100.0 as confidence, o_orderdate as created_at
 from {orders}""",
+    # paths of many shapes, of which rules about folders, names and endings each hold for some
+    "tree": """
+select p_partkey as ord, case p_partkey % 9 when 0 then '' when 1 then 'src/' when 2 then 'config/' when 3 then 'node_modules/x/'
+    when 4 then 'docs/' when 5 then 'templates/' when 6 then '.github/workflows/' when 7 then 'locales/de/' else 'a/Build/build/' end ||
+  case p_size % 12 when 0 then 'README' when 1 then '.env' when 2 then 'credentials' when 3 then 'server' when 4 then 'id_rsa'
+    when 5 then 'package' when 6 then 'Dockerfile' when 7 then 'machinery_api' when 8 then 'LICENSE' when 9 then 'terms'
+    when 10 then 'config' else replace(p_name, ' ', '_') end ||
+  case p_partkey % 11 when 0 then '' when 1 then '.json' when 2 then '.md' when 3 then '.pem' when 4 then '.tfvars' when 5 then '.py'
+    when 6 then '.yml' when 7 then '.local' when 8 then '.TXT' when 9 then '.hbs' else '.png' end as path
+from {part}""",
+    # answers of a model: plain, fenced, within a sentence and without JSON, in and out of bounds
+    "answers": """
+select p_partkey as answer_id, p_name, p_size, case p_partkey % 4 when 0 then json when 1 then 'Sure:' || chr(10) || '```json' || chr(10) || json || chr(10) || '```'
+  when 2 then 'so ' || json || ' ok' else p_name end as text
+from (select p_partkey, p_name, p_size, chr(123) || '"intent": "' || case p_size % 5 when 0 then 'malicious' when 1 then 'suspicious' when 2 then 'benign'
+    when 3 then 'inconclusive' else 'evil' end || '", "riskScore": ' || cast(p_size * 5 - 30 as string) || ', "confidence": ' ||
+  case when p_size % 3 = 0 then cast(p_size % 4 - 1 as string) else '0.' || cast(p_size % 10 as string) end || ', "reasoning": " ' ||
+  case when p_size % 7 = 0 then '' else p_name end || ' "' || chr(125) as json from {part}) x""",
     "paths": """
 select p_partkey as ord, case p_partkey % 24 when 0 then '.env' when 1 then 'conf/.env.local' when 2 then 'keys/server.pem' when 3 then 'a/id_rsa'
   when 4 then 'config/credentials.json' when 5 then 'firebase.json' when 6 then 'src/passwords.py' when 7 then '.npmrc' when 8 then 'src/machinery_client.py'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.functions import paths
+from siltworks.operators import units
 
 MOST_RESULTS, MOST_PATHS, LARGEST_FILE, MOST_COMMITS, MOST_PATCHES = 1000, 800, 200_000, 15, 30
 
@@ -34,11 +35,36 @@ def listed(files: DataFrame, root_only: bool = False) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> DataFrame:
-    """Files of a checked-out tree as (path, content, size): text of bounded size, outside folders that scans leave out."""
+    """Files of a checked-out tree as (repo_id, ord, path, content, size), paths from its root on.
+
+    Text of bounded size outside folders that scans leave out: binary files go by their first
+    bytes, before anything is decoded; bytes that are no UTF-8 become replacement characters.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "UTF-8")
-    rows = raw.where((F.col("length") <= largest) & ~paths.is_excluded(F.col("path"))).select("path", text.alias("content"), F.col("length").alias("size"))
-    return rows.where(F.position(F.lit("\0"), F.substring("content", 1, 512)) == 0)
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    inner = F.substring_index("path", F.lit(f"/{root}/"), -1)
+    rows = raw.where(F.col("length") <= largest).withColumn("path", inner)
+    head = F.substring("content", 1, 512).cast("string")
+    rows = rows.where(~paths.is_excluded(F.col("path")) & (F.position(F.lit("\0"), head) == 0))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    key = F.lit(root).alias("repo_id"), F.xxhash64("path").alias("ord")
+    return rows.select(*key, "path", text.alias("content"), F.col("length").alias("size"))
+
+
+def scanned(files: DataFrame, aliases: DataFrame, keywords: DataFrame, sample: int = MOST_PATHS) -> dict[str, DataFrame]:
+    """What a scan takes from trees' files(repo_id, ord, path, content): the README, a ranked sample, and three greps.
+
+    aliases and keywords are tables (term, ord). The greps go over all files, the sample is
+    what rules read.
+    """
+    texts = files.select("repo_id", "path", "content")
+    return {
+        "readme": readme(files),
+        "sample": paths.sampled(files, sample),
+        "brand_hits": units.grep(texts, aliases),
+        "keyword_hits": units.grep(texts, keywords, boundary=False),
+        "secret_lines": units.secret_candidates(texts),
+    }
 
 
 def readable(files: DataFrame, largest: int = LARGEST_FILE) -> DataFrame:

@@ -27,22 +27,40 @@ def distinct_stream(events: DataFrame, keys: list[str], at: str = "ts", within:
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
+def _stretches(rows: DataFrame, keys: list[str], ms: Column, gap_ms: int) -> DataFrame:
+    """rows with `_ms` and `_stretch`: rows of a key in different stretches are more than gap_ms apart.
+
+    Time is cut into pieces of gap_ms; where one is empty, a stretch ends. Only the distinct
+    pieces of a key are put in order, not its rows.
+    """
+    rows = rows.withColumn("_ms", ms).withColumn("_piece", F.floor(F.col("_ms") / gap_ms))
+    pieces = rows.select(*keys, "_piece").distinct()
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_piece"))
+    pieces = pieces.withColumn("_stretch", F.col("_piece") - turn)
+    return rows.join(pieces, [*keys, "_piece"]).drop("_piece")
+
+
 def deduplicated(searches: DataFrame, keys: list[str], at: str = "ts", within_ms: int = 180_000) -> DataFrame:
     """searches with `hit`: whether an equal one was fetched at most within_ms before. The cached answer's age counts.
 
-    Hits don't renew the answer, so each key's times are walked through; the walk holds one number.
+    Hits don't renew the answer, so times are walked through, holding one number; a key's walk
+    is cut wherever it is idle for within_ms, as the next search is fetched then in any case.
+    Rows without a time or with a null among the keys go.
     """
+
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, "event_id"])
-        ms = frame[at].astype("datetime64[us]").astype("int64").to_numpy() // 1000
+        frame = frame.sort_values(["_us", "event_id"])
         hit, last = [], None
-        for t in ms:
+        for t in frame["_ms"].tolist():
             fresh = last is not None and t - last < within_ms
             hit.append(fresh)
             last = last if fresh else t
         return pd.DataFrame({"event_id": frame["event_id"], "hit": hit})
 
-    return searches.select("event_id", at, *keys).groupBy(*keys).applyInPandas(walk, "event_id long, hit boolean")
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = searches.select("event_id", *keys, us.alias("_us"))
+    cut = _stretches(rows, keys, F.floor(F.col("_us") / 1000), within_ms)
+    return cut.groupBy(*keys, "_stretch").applyInPandas(walk, "event_id long, hit boolean")
 
 
 def daily_budget(calls: DataFrame, by: str = "workspace_id", at: str = "ts") -> DataFrame:
@@ -130,18 +148,23 @@ def paced(requests: DataFrame, interval_ms: int, by: str = "scope", at: str = "m
 
 
 def gated(requests: DataFrame, interval_ms: int, most_ms: int, by: str = "scope", at: str = "ms", order: str = "event_id") -> DataFrame:
-    """Rows (event_id, wait): a slot is only reserved if its wait is at most most_ms. A sequential rule; a scope is walked in one task, holding one number."""
+    """Rows (event_id, wait): a slot is only reserved if its wait is at most most_ms.
+
+    A sequential rule, walked holding one number. A slot is reserved at most most_ms after its
+    request, so a scope that is idle for most_ms + interval_ms starts afresh: walks are cut there.
+    """
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, order])
-        last, waits = 0, []
-        for t in frame[at].tolist():
-            slot = max(last + interval_ms, t)
+        frame = frame.sort_values(["_ms", order])
+        last, waits = None, []
+        for t in frame["_ms"].tolist():
+            slot = t if last is None else max(last + interval_ms, t)
             waits.append(slot - t)
             last = slot if slot - t <= most_ms else last
         return pd.DataFrame({order: frame[order], "wait": waits})
 
-    return requests.select(by, at, order).groupBy(by).applyInPandas(walk, f"{order} long, wait long")
+    cut = _stretches(requests.select(by, order, at), [by], F.col(at), most_ms + interval_ms)
+    return cut.groupBy(by, "_stretch").applyInPandas(walk, f"{order} long, wait long")
 
 
 def concurrency(changes: DataFrame, by: str = "workspace_id", order: str = "seq") -> DataFrame:

@@ -28,6 +28,14 @@ def test_query_equals_its_sql(spark, db, key):
     assert plain(got.select(*(f"`{n}`" for n in names)).collect()) == plain(found.fetchall())
 
 
-@pytest.mark.parametrize("key", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_runs(spark, key):
-    assert catalog.QUERIES[key](spark, AT).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+#: Queries whose result may be empty on the smallest tables.
+MAY_BE_EMPTY = {"ad_hoc_search", "recent_high_severity"}
+
+
+def test_results_have_rows(db):
+    empty = {k for k in catalog.ORACLES if not db.execute(catalog.ORACLES[k]).fetchone()}
+    assert empty <= MAY_BE_EMPTY

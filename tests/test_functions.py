@@ -41,6 +41,16 @@ def test_similarity(a, b, want):
     assert T.similarity(a, b) == pytest.approx(want, abs=1e-3)
 
 
+def test_the_bound_on_similarity_holds(spark):
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in "ab") for _ in range(3000)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("most", T.most_alike(F.col("a"), F.col("b")))
+    for r in df.collect():
+        assert r.most >= T.similarity(r.a, r.b) - 1e-9 or not r.a
+    want = sorted((a, b) for a, b in set(pairs) if a and b and T.similarity(a, b) >= 0.85)
+    assert sorted((r.a, r.b) for r in T.resembling(df.where("a <> '' and b <> ''").distinct(), "a", "b").collect()) == want
+
+
 def test_terms(spark):
     low = ["modal dialogs", "a mod apk", "zerodha_clone", "mod"]
     assert values(spark, low, lambda v: T.has_term(v, "mod")) == [False, True, False, True]
@@ -62,10 +72,11 @@ def slow_winnow(text, k=25, w=4):
 def test_winnowing(spark):
     rng = random.Random(1)
     texts = ["", "a b", *(" ".join(rng.choice("abc(){}") for _ in range(n)) for n in (24, 25, 26, 28, 29, 30, 80, 200))]
-    got = values(spark, texts, lambda v: hashing.winnowed(hashing.gram_hashes(hashing.code_tokens(v))))
+    got = values(spark, texts, lambda v: hashing.fingerprints(v))
     assert [set(x) for x in got] == [slow_winnow(t) for t in texts]
+    assert values(spark, [None], hashing.fingerprints) == [None]
     shared = " ".join(f"w{i}" for i in range(28))
-    a, b = values(spark, [f"x y {shared} q", f"{shared} z"], lambda v: hashing.winnowed(hashing.gram_hashes(hashing.code_tokens(v))))
+    a, b = values(spark, [f"x y {shared} q", f"{shared} z"], lambda v: hashing.fingerprints(v))
     assert set(a) & set(b)  # window + gram - 1 shared tokens are never missed
 
 
