@@ -65,7 +65,9 @@ def formatted(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
     aren't read; an empty table gives no rows. The output has a row for a conversation, so a
     conversation must fit into a task.
     """
-    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(
+        F.col("text").cast("string"), F.lit("")
+    )
     turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 

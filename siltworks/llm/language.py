@@ -143,7 +143,9 @@ def predicted(docs: DataFrame, model: Model | None, others: tuple[str, ...] = ()
                 names=[*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others)
+    chosen = docs.select(
+        F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others
+    )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     return common.mapped(chosen, each, f"{schema}, lang_pred string, score double")
 

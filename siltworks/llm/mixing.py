@@ -56,7 +56,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     in which they fill up. A row of each source is all that meets here.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
+    w = F.element_at(
+        F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1
+    )
     cap = (F.col("source_size") * most).cast("double")
     filling = Window.orderBy(cap / F.col("w"), "source")
     whole = Window.partitionBy()

@@ -275,5 +275,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, " + ", ".join(
+        f"n_{k} long"
+        for k in KINDS
+    ) + ", base_sha256 string, spans string, n_added long"
     return common.mapped(chosen, each, schema)

@@ -163,7 +163,10 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
         kind = pa.list_(pa.list_(pa.binary()))
         for batch in batches:
             texts = common.texts_of(batch.column(0))
-            found = [[sorted({f for w in s for f in features(w) if near[slot(f)]}) for s in sentences(t)] for t in texts]
+            found = [
+                [sorted({f for w in s for f in features(w) if near[slot(f)]}) for s in sentences(t)]
+                for t in texts
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column(1)], names=["bags", "y"])
 
     bagged = common.stored(common.mapped(rows, bags, "bags array<array<binary>>, y double"))
@@ -204,7 +207,9 @@ def fit(rows: DataFrame, steps: int = STEPS) -> Model:
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         q = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
         slope = ((q - y) / q)[doc] * p  # of the negated likelihood, for a sentence's logit
-        grad = np.r_[np.bincount(word, slope[sentence], len(words)) / len(y) + PENALTY * np.sign(w), slope.sum() / len(y)]
+        grad = np.r_[
+            np.bincount(word, slope[sentence], len(words)) / len(y) + PENALTY * np.sign(w), slope.sum() / len(y)
+        ]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -229,7 +234,9 @@ def scored(docs: DataFrame, model: Model, others: tuple[str, ...] = (), spans: b
                 [*batch.columns[1:], *more], names=[*batch.schema.names[1:], "score", *["spans"] * spans]
             )
 
-    chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others)
+    chosen = docs.select(
+        F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *others
+    )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     tail = ", spans array<struct<start:int,stop:int,score:double>>" * spans
     return common.mapped(chosen, each, f"{schema}, score double{tail}")
