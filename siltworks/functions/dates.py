@@ -28,7 +28,10 @@ def within(at: Column, start: Column | None, stop: Column | None) -> Column:
 
 def active(created: Column, pushed: Column, created_in: tuple, pushed_in: tuple, mode: str = "and") -> Column:
     """Whether a repository was created and (or) pushed within windows (start, stop) of which either end may be None."""
-    sides = [within(at, *bounds) for at, bounds in ((created, created_in), (pushed, pushed_in)) if any(b is not None for b in bounds)]
+    sides = [
+        within(at, *bounds) for at,
+        bounds in ((created, created_in), (pushed, pushed_in)) if any(b is not None for b in bounds)
+    ]
     if len(sides) < 2:
         return sides[0] if sides else F.lit(True)
     return sides[0] | sides[1] if mode == "or" else sides[0] & sides[1]
@@ -37,7 +40,9 @@ def active(created: Column, pushed: Column, created_in: tuple, pushed_in: tuple,
 def normal_date(text: Column) -> Column:
     """YYYY-MM-DD of a date or time; null if it is none."""
     plain = F.trim(text)
-    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), plain).otherwise(F.date_format(F.try_to_timestamp(plain), "yyyy-MM-dd"))
+    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), plain).otherwise(
+        F.date_format(F.try_to_timestamp(plain), "yyyy-MM-dd")
+    )
 
 
 def range_error(start: Column, stop: Column, today: str) -> Column:
@@ -50,7 +55,9 @@ def range_error(start: Column, stop: Column, today: str) -> Column:
 
 def qualifier(name: str, start: Column, stop: Column) -> Column:
     """name:start..stop, name:>=start or name:<=stop; null without either."""
-    both, one, other = F.concat(F.lit(f"{name}:"), start, F.lit(".."), stop), F.concat(F.lit(f"{name}:>="), start), F.concat(F.lit(f"{name}:<="), stop)
+    both, one, other = F.concat(F.lit(f"{name}:"), start, F.lit(".."), stop), F.concat(
+        F.lit(f"{name}:>="), start
+    ), F.concat(F.lit(f"{name}:<="), stop)
     return F.coalesce(both, one, other)
 
 
@@ -58,7 +65,9 @@ def qualifier_variants(created: Column, pushed: Column, mode: str = "and") -> Co
     """The qualifiers of one query, or of two where either may hold; none without either."""
     joined = F.concat_ws(" ", created, pushed)
     one = F.when(F.length(joined) > 0, F.array(joined)).otherwise(F.array().cast("array<string>"))
-    return F.when(created.isNotNull() & pushed.isNotNull(), F.array(created, pushed)).otherwise(one) if mode == "or" else one
+    return F.when(created.isNotNull() & pushed.isNotNull(), F.array(created, pushed)).otherwise(
+        one
+    ) if mode == "or" else one
 
 
 _CREATED, _SIZE = r"created:(\S+)\.\.(\S+)", r"size:(\d+)\.\.(\d+)"
@@ -67,7 +76,11 @@ _CREATED, _SIZE = r"created:(\S+)\.\.(\S+)", r"size:(\d+)\.\.(\d+)"
 def bounded(query: Column, field: str = "created") -> Column:
     """query with an open range of created or size closed, and with the widest range where there is none."""
     low, high = (K.EARLIEST_DATE, K.LATEST_DATE) if field == "created" else ("0", str(K.LARGEST_FILE))
-    closed, above, below = ((_CREATED, r"created:>=(\S+)", r"created:<=(\S+)") if field == "created" else (_SIZE, r"size:>=?(\d+)", r"size:<=?(\d+)"))
+    closed, above, below = (
+        (_CREATED, r"created:>=(\S+)", r"created:<=(\S+)") if field == "created" else (
+            _SIZE, r"size:>=?(\d+)", r"size:<=?(\d+)"
+        )
+    )
     first = lambda p, by: F.concat(
         F.substr(query, F.lit(1), F.regexp_instr(query, F.lit(p)) - 1), by, F.substr(query, F.regexp_instr(query, F.lit(p)) + F.length(F.regexp_substr(query, F.lit(p))))
     )
@@ -81,7 +94,9 @@ def bounded(query: Column, field: str = "created") -> Column:
 
 def _in_place(query: Column, pattern: str, by: Column) -> Column:
     at = F.regexp_instr(query, F.lit(pattern))
-    return F.concat(F.substr(query, F.lit(1), at - 1), by, F.substr(query, at + F.length(F.regexp_substr(query, F.lit(pattern)))))
+    return F.concat(
+        F.substr(query, F.lit(1), at - 1), by, F.substr(query, at + F.length(F.regexp_substr(query, F.lit(pattern))))
+    )
 
 
 def halved_created(query: Column) -> Column:
@@ -102,7 +117,9 @@ def halved_size(query: Column) -> Column:
     low, high = (F.try_to_number(F.regexp_extract(query, _SIZE, k), F.lit("999999999999")).cast("long") for k in (1, 2))
     middle = low + F.floor((high - low) / 2)
     first = _in_place(query, _SIZE, F.concat(F.lit("size:"), low.cast("string"), F.lit(".."), middle.cast("string")))
-    second = _in_place(query, _SIZE, F.concat(F.lit("size:"), (middle + 1).cast("string"), F.lit(".."), high.cast("string")))
+    second = _in_place(
+        query, _SIZE, F.concat(F.lit("size:"), (middle + 1).cast("string"), F.lit(".."), high.cast("string"))
+    )
     return F.when(query.rlike(_SIZE) & (high - low >= NARROWEST_BYTES), F.array(first, second))
 
 

@@ -53,7 +53,12 @@ def _placed(pattern: int):
     return lambda u, i: F.struct(F.lit(pattern).alias("pattern"), i.alias("place"), u.alias("url"))
 
 
-def destinations(files: DataFrame, names: Column | None = None, own_hosts: Column | None = None, most: int = MOST_DESTINATIONS) -> DataFrame:
+def destinations(
+    files: DataFrame,
+    names: Column | None = None,
+    own_hosts: Column | None = None,
+    most: int = MOST_DESTINATIONS,
+) -> DataFrame:
     """Rows (repo_id, hostname, url, source, turn) of files(repo_id, ord, path, content): where code sends data.
 
     The first `most` hosts of a repository, in the order of file, pattern and place, without
@@ -63,15 +68,31 @@ def destinations(files: DataFrame, names: Column | None = None, own_hosts: Colum
         F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), _placed(k))
         for k, p in enumerate(K.DESTINATIONS)
     ))
-    slugs = F.filter(F.transform(names if names is not None else F.array().cast("array<string>"), slug), lambda s: F.length(s) >= SHORTEST_SLUG)
+    slugs = F.filter(
+        F.transform(names if names is not None else F.array().cast("array<string>"), slug),
+        lambda s: F.length(s) >= SHORTEST_SLUG,
+    )
     own = own_hosts if own_hosts is not None else F.array().cast("array<string>")
-    rows = files.select("repo_id", "ord", F.col("path").alias("source"), slugs.alias("slugs"), own.alias("own"), F.explode(hits).alias("h"))
-    rows = rows.withColumn("hostname", host(F.col("h.url"))).where(F.col("hostname").isNotNull() & ~F.col("hostname").isin(*K.BENIGN_HOSTS))
+    rows = files.select(
+        "repo_id",
+        "ord",
+        F.col("path").alias("source"),
+        slugs.alias("slugs"),
+        own.alias("own"),
+        F.explode(hits).alias("h"),
+    )
+    rows = rows.withColumn("hostname", host(F.col("h.url"))).where(
+        F.col("hostname").isNotNull() & ~F.col("hostname").isin(*K.BENIGN_HOSTS)
+    )
     labels = F.transform(F.split("hostname", r"\."), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
     rows = rows.where(~F.array_contains("own", F.col("hostname")) & ~F.arrays_overlap(labels, "slugs"))
-    first = rows.groupBy("repo_id", "hostname").agg(F.min(F.struct("ord", "h.pattern", "h.place", "h.url", "source")).alias("f"))
+    first = rows.groupBy("repo_id", "hostname").agg(
+        F.min(F.struct("ord", "h.pattern", "h.place", "h.url", "source")).alias("f")
+    )
     turn = F.row_number().over(Window.partitionBy("repo_id").orderBy("f"))
-    return first.withColumn("turn", turn).where(F.col("turn") <= most).select("repo_id", "hostname", "f.url", "f.source", "turn")
+    return first.withColumn("turn", turn).where(F.col("turn") <= most).select(
+        "repo_id", "hostname", "f.url", "f.source", "turn"
+    )
 
 
 def deploy_configs(paths: Column) -> Column:
@@ -87,7 +108,9 @@ def is_private_ipv4(ip: Column) -> Column:
     parts = F.transform(F.split(ip, r"\.", -1), lambda p: p.try_cast("int"))
     ok = (F.size(parts) == 4) & F.forall(parts, lambda p: p.isNotNull() & (p >= 0) & (p <= 255))
     a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    private = a.isin(127, 10, 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+    private = a.isin(127, 10, 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (
+        (a == 169) & (b == 254)
+    )
     return F.coalesce(ok & private, F.lit(False))
 
 
@@ -117,7 +140,13 @@ def phrases(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(key, F.posexplode(segments(F.col(text))).alias("at", "raw"))
     rows = rows.select(key, "at", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text"))
     rows = rows.where(F.length("text").between(SHORTEST_PHRASE, LONGEST_PHRASE) & ~F.lower("text").isin(*K.BOILERPLATE))
-    rows = rows.withColumn("significant_words", significant_words(F.col("text"))).where(F.col("significant_words") >= LEAST_WORDS)
-    first = rows.groupBy(key, F.lower("text").alias("_low")).agg(F.min(F.struct("at", "text", "significant_words")).alias("f"))
+    rows = rows.withColumn("significant_words", significant_words(F.col("text"))).where(
+        F.col("significant_words") >= LEAST_WORDS
+    )
+    first = rows.groupBy(key, F.lower("text").alias("_low")).agg(
+        F.min(F.struct("at", "text", "significant_words")).alias("f")
+    )
     turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("f.significant_words"), "f.at"))
-    return first.select(key, F.col("f.text").alias("text"), F.col("f.significant_words").alias("significant_words"), turn.alias("turn"))
+    return first.select(
+        key, F.col("f.text").alias("text"), F.col("f.significant_words").alias("significant_words"), turn.alias("turn")
+    )

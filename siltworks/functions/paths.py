@@ -33,7 +33,9 @@ def is_readme(path: Column) -> Column:
 def priority(path: Column, aliases: Column | None = None) -> Column:
     """How much a path deserves to be read, 100 to 0; the first branch that holds counts."""
     p, name = F.lower(path), basename(path)
-    branded = F.lit(False) if aliases is None else is_text(p) & F.exists(aliases, lambda a: (F.length(a) > 0) & F.contains(p, F.lower(a)))
+    branded = F.lit(False) if aliases is None else is_text(p) & F.exists(
+        aliases, lambda a: (F.length(a) > 0) & F.contains(p, F.lower(a))
+    )
     branches = (
         ((name == ".env") | name.startswith(".env."), 100),
         (name.isin("credentials.json", "secrets.json", "serviceaccount.json", "service-account.json"), 93),
@@ -90,6 +92,9 @@ def safe_branch(branch: Column) -> Column:
 
 def within_budget(parts: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
     """parts with `taken`, the head of each text that a budget of characters leaves, in order; empty ones go."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum(F.length(text)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
     left = F.greatest(F.lit(0), F.lit(budget) - before)
     return parts.withColumn("taken", F.substr(text, F.lit(1), left.cast("int"))).where(F.length("taken") > 0)

@@ -46,7 +46,9 @@ def is_high_entropy(value: Column, shortest: int = 20, least: float = 3.5) -> Co
 def redacted(value: Column, head: int = 4, tail: int = 4) -> Column:
     """A secret's first and last characters; of a short one the first two only."""
     plain = F.trim(value)
-    long = F.concat(F.substring(plain, 1, head), F.lit(HIDDEN + "…"), F.substr(plain, F.length(plain) - tail + 1, F.lit(tail)))
+    long = F.concat(
+        F.substring(plain, 1, head), F.lit(HIDDEN + "…"), F.substr(plain, F.length(plain) - tail + 1, F.lit(tail))
+    )
     short = F.concat(F.substring(plain, 1, 2), F.lit(HIDDEN))
     shown = F.when(F.length(plain) <= head + tail + 3, short).otherwise(long)
     return F.when(F.length(value) > 0, shown).otherwise(F.lit("[REDACTED]"))
@@ -68,6 +70,10 @@ def redacted_text(text: Column) -> Column:
     for pattern, hidden in K.DATABASES:
         out = F.regexp_replace(out, pattern, hidden)
     char = r"""[^\s'"]"""
-    short = rf"""(?:['"]{char}{{8,9}}+['"]|['"]{char}{{8,10}}+(?!['"])|{char}{{8,10}}+['"]|{char}{{8,11}}+(?!['"]))(?!{char})"""
-    out = F.regexp_replace(out, rf"""{K.ASSIGNED}(?!{short})(?=(.{{4}}))['"]?{char}{{8,}}+['"]?(?<=(.{{4}}))""", f"$1=$2{HIDDEN}…$3")
+    short = rf"""(?:['"]{char}{{8,9}}+['"]|['"]{char}{{8,10}}+(?!['"])|{char}{{8,10}}+['"]|{char}{{8,11}}+(?!['"]))(?!{
+        char
+    })"""
+    out = F.regexp_replace(
+        out, rf"""{K.ASSIGNED}(?!{short})(?=(.{{4}}))['"]?{char}{{8,}}+['"]?(?<=(.{{4}}))""", f"$1=$2{HIDDEN}…$3"
+    )
     return F.regexp_replace(out, rf"{K.ASSIGNED}(?=(.{{2}})){short}", f"$1=$2{HIDDEN}")

@@ -18,7 +18,13 @@ def _aliases() -> Column:
     return F.filter(F.transform(names, lambda a: F.lower(a)), lambda a: F.length(a) > 0)
 
 
-def evidence(units_rows: DataFrame, repos: DataFrame, brands: DataFrame, exact_only: bool = False, grep_hits: DataFrame | None = None) -> DataFrame:
+def evidence(
+    units_rows: DataFrame,
+    repos: DataFrame,
+    brands: DataFrame,
+    exact_only: bool = False,
+    grep_hits: DataFrame | None = None,
+) -> DataFrame:
     """Rows (repo_id, brand_id, type, rank, entry, line_number, alias, matched, path): the best proof of each brand.
 
     A trusted owner comes first; then the first unit, in order of location, entry and line,
@@ -28,13 +34,17 @@ def evidence(units_rows: DataFrame, repos: DataFrame, brands: DataFrame, exact_o
     is broadcast is left to the planner, which knows its size.
     """
     known = brands.select("brand_id", _aliases().alias("names"))
-    owners = brands.select("brand_id", F.explode(F.array_distinct(F.transform("trusted_owners", lambda o: F.lower(o)))).alias("_o"))
+    owners = brands.select(
+        "brand_id", F.explode(F.array_distinct(F.transform("trusted_owners", lambda o: F.lower(o)))).alias("_o")
+    )
     owned = repos.select("repo_id", "owner").join(owners, F.lower("owner") == F.col("_o"))
     owned = owned.select("repo_id", "brand_id", F.lit("trusted_owner").alias("type"), F.struct(
         F.lit(-1).alias("rank"), F.lit(0).alias("entry"), F.lit(0).alias("line_number"), F.lit(0).alias("word"), F.lower("owner").alias("alias"),
         F.col("owner").alias("matched"), F.lit(None).cast("string").alias("path")).alias("proof"))
     hit = T.first_alias(F.col("text"), F.col("names"))
-    exact = units_rows.join(known, F.exists("names", lambda a: F.contains(F.lower("text"), a))).withColumn("hit", hit).where("hit is not null")
+    exact = units_rows.join(known, F.exists("names", lambda a: F.contains(F.lower("text"), a))).withColumn(
+        "hit", hit
+    ).where("hit is not null")
     exact = exact.select("repo_id", "brand_id", F.struct(
         "rank", "entry", "line_number", F.lit(0).alias("word"), F.col("hit.alias").alias("alias"),
         T.snippet(F.col("text"), F.col("hit.at"), F.length("hit.alias")).alias("matched"), "path").alias("proof"))
@@ -50,7 +60,17 @@ def evidence(units_rows: DataFrame, repos: DataFrame, brands: DataFrame, exact_o
         found = found.unionByName(_fuzzy(units_rows, known, found.select("repo_id", "brand_id").distinct()))
     best = Window.partitionBy("repo_id", "brand_id").orderBy(F.desc(_strength()))
     found = found.withColumn("_turn", F.row_number().over(best)).where("_turn = 1")
-    return found.select("repo_id", "brand_id", "type", "proof.rank", "proof.entry", "proof.line_number", "proof.alias", "proof.matched", "proof.path")
+    return found.select(
+        "repo_id",
+        "brand_id",
+        "type",
+        "proof.rank",
+        "proof.entry",
+        "proof.line_number",
+        "proof.alias",
+        "proof.matched",
+        "proof.path",
+    )
 
 
 def _strength() -> Column:
@@ -70,10 +90,20 @@ def _fuzzy(units_rows: DataFrame, known: DataFrame, found: DataFrame) -> DataFra
     names = known.select("brand_id", F.posexplode("names").alias("alias_ord", "alias"))
     alike = T.fuzzy_pairs(words, names).select("token", "alias")
     hits = words.join(alike, "token").join(names, "alias").join(found, ["repo_id", "brand_id"], "left_anti")
-    first = hits.groupBy("repo_id", "brand_id").agg(F.min(F.struct(*place[1:], "word", "alias_ord", "alias", "token")).alias("f"))
+    first = hits.groupBy("repo_id", "brand_id").agg(
+        F.min(F.struct(*place[1:], "word", "alias_ord", "alias", "token")).alias("f")
+    )
     first = first.select("repo_id", "brand_id", "f.*").join(units_rows, place)
     at = F.position(F.col("token"), F.lower("text")) - 1
-    proof = F.struct("rank", "entry", "line_number", "word", "alias", T.snippet(F.col("text"), at, F.length("token")).alias("matched"), "path")
+    proof = F.struct(
+        "rank",
+        "entry",
+        "line_number",
+        "word",
+        "alias",
+        T.snippet(F.col("text"), at, F.length("token")).alias("matched"),
+        "path",
+    )
     return first.select("repo_id", "brand_id", proof.alias("proof"), F.lit("fuzzy").alias("type"))
 
 
@@ -81,10 +111,17 @@ def best_brand(proofs: DataFrame, brands: DataFrame) -> DataFrame:
     """The brand of each repository whose proof is strongest by place, then by kind; ties keep the earlier brand."""
     strong = (F.col("rank") <= units.LOCATIONS.index("file_path")).cast("int")
     order = Window.partitionBy("repo_id").orderBy(F.desc(strong), F.desc(_strength()), "brand_id")
-    return proofs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn").join(brands.select("brand_id", "brand_name"), "brand_id")
+    return proofs.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn").join(
+        brands.select("brand_id", "brand_name"), "brand_id"
+    )
 
 
-def keyword_matches(units_rows: DataFrame, repos: DataFrame, keywords: DataFrame, most: int = KEYWORDS_SHOWN) -> DataFrame:
+def keyword_matches(
+    units_rows: DataFrame,
+    repos: DataFrame,
+    keywords: DataFrame,
+    most: int = KEYWORDS_SHOWN,
+) -> DataFrame:
     """The first `most` keywords(ord, keyword), in their order, that a repository has, with the first place of each."""
     as_brands = T.first_spellings(keywords, "keyword", "ord").select(
         F.col("ord").alias("brand_id"), F.col("keyword").alias("brand_name"), F.array().cast("array<string>").alias("aliases"),
@@ -101,7 +138,10 @@ HEAD, SHALLOW_APART = 3, 12
 
 def _heads(text: Column, most: int = HEAD) -> Column:
     """All runs of `most` characters of a text, and its shorter ones."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), _run(text, k)) for k in range(1, most + 1)]
+    runs = [
+        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), _run(text, k))
+        for k in range(1, most + 1)
+    ]
     return F.array_distinct(F.concat(*runs))
 
 
@@ -130,10 +170,19 @@ def shallow_brand(repos: DataFrame, brands: DataFrame) -> DataFrame:
     return repos.join(found, "repo_id", "left").withColumn("brand_id", F.col("k.brand_id")).drop("k")
 
 
-def discovery_evidence(kind: Column, path: Column, name: Column, description: Column, topics: Column, keyword: Column) -> Column:
+def discovery_evidence(
+    kind: Column,
+    path: Column,
+    name: Column,
+    description: Column,
+    topics: Column,
+    keyword: Column,
+) -> Column:
     """Struct (field, text) that tells why a search found a repository; null if nothing does."""
     low = F.lower(keyword)
     joined = F.array_join(topics, ", ")
-    found = lambda field, t: F.when(T.word_index(F.coalesce(t, F.lit("")), low) >= 0, F.struct(F.lit(field).alias("field"), t.alias("text")))
+    found = lambda field, t: F.when(
+        T.word_index(F.coalesce(t, F.lit("")), low) >= 0, F.struct(F.lit(field).alias("field"), t.alias("text"))
+    )
     code = F.when(kind == "code", F.struct(F.lit("file_content").alias("field"), path.alias("text")))
     return F.coalesce(code, found("name", name), found("description", description), found("topics", joined))

@@ -28,17 +28,28 @@ def parsed(text: Column) -> Column:
     """Struct of an answer, within bounds and with defaults; null without a JSON object."""
     a = F.from_json(json_object(text), ANSWER)
     none = F.array().cast("array<string>")
-    clamp = lambda v, low, high: F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v)))
+    clamp = lambda v, low, high: F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(
+        F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v))
+    )
     some = lambda v, n: F.slice(F.filter(F.coalesce(v, none), lambda s: s.isNotNull()), 1, n)
     reason = F.trim(a["reasoning"])
 
     def factor(f: Column) -> Column:
         way = F.when(f["direction"].isin(*DIRECTIONS), f["direction"]).otherwise("neutral")
-        return F.struct(F.substring(F.trim(f["factor"]), 1, 300).alias("factor"), way.alias("direction"), some(f["evidenceReferences"], 10).alias("references"))
+        return F.struct(
+            F.substring(F.trim(f["factor"]), 1, 300).alias("factor"),
+            way.alias("direction"),
+            some(f["evidenceReferences"], 10).alias("references"),
+        )
 
-    factors = F.filter(F.transform(F.filter(a["factors"], lambda f: f.isNotNull()), factor), lambda f: F.length(f["factor"]) > 0)
+    factors = F.filter(
+        F.transform(F.filter(a["factors"], lambda f: f.isNotNull()), factor), lambda f: F.length(f["factor"]) > 0
+    )
     empty = F.array().cast("array<struct<factor:string,direction:string,references:array<string>>>")
-    missing = F.filter(F.transform(F.coalesce(a["missingInformation"], none), lambda s: F.substring(F.trim(s), 1, 300)), lambda s: F.length(s) > 0)
+    missing = F.filter(
+        F.transform(F.coalesce(a["missingInformation"], none), lambda s: F.substring(F.trim(s), 1, 300)),
+        lambda s: F.length(s) > 0,
+    )
     made = F.struct(
         F.when(a["intent"].isin(*INTENTS), a["intent"]).otherwise("inconclusive").alias("intent"), clamp(a["riskScore"], 0, 100).alias("risk_score"),
         clamp(a["confidence"], 0, 1).alias("confidence"), F.when(F.length(reason) > 0, F.substring(reason, 1, 2000)).otherwise("No reasoning provided by model.").alias("reasoning"),
@@ -54,14 +65,21 @@ def checked(answers: DataFrame, references: str = "references", valid: str = "va
     A reference holds if it is part of something that was supplied, or has it as a part.
     """
     low = F.transform(valid, lambda v: F.lower(v))
-    kept = F.filter(references, lambda r: F.exists(low, lambda v: F.contains(v, F.lower(r)) | F.contains(F.lower(r), v)))
+    kept = F.filter(
+        references, lambda r: F.exists(low, lambda v: F.contains(v, F.lower(r)) | F.contains(F.lower(r), v))
+    )
     out = answers.withColumn("kept", kept).withColumn("stripped", F.size(references) - F.size("kept"))
-    return out.withColumn("confidence", F.when(F.col("stripped") > 0, half_up(F.col("confidence") * 0.7 * 100) / 100).otherwise(F.col("confidence")))
+    return out.withColumn(
+        "confidence",
+        F.when(F.col("stripped") > 0, half_up(F.col("confidence") * 0.7 * 100) / 100).otherwise(F.col("confidence")),
+    )
 
 
 def contexts(repos: DataFrame, detections: DataFrame, brands: DataFrame) -> DataFrame:
     """Rows (repo_id, context): a nested record of a repository, its brand and its detections."""
-    items = detections.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rule_id", "category", "severity"))).alias("detections"))
+    items = detections.groupBy("repo_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "rule_id", "category", "severity"))).alias("detections")
+    )
     rows = repos.join(items, "repo_id", "left").join(brands.select("brand_id", "brand_name"), "brand_id", "left")
     return rows.select("repo_id", F.struct(
         F.struct("full_name", "owner", "stars", "forks").alias("repository"), F.col("brand_name").alias("brand"), F.col("detections").alias("detections")

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def rescan_decision(mode: Column, force: Column, ruleset: Column, sha: Column, pushed: Column, updated: Column, old: str = "old") -> Column:
+def rescan_decision(
+    mode: Column,
+    force: Column,
+    ruleset: Column,
+    sha: Column,
+    pushed: Column,
+    updated: Column,
+    old: str = "old",
+) -> Column:
     """Struct (analyze, reason) of a repository against its record, a struct column that is null if there is none.
 
     The record has success_at, failed, ruleset, sha, pushed_at and updated_at. The first reason
@@ -55,7 +63,10 @@ def merged_findings(before: DataFrame, seen: DataFrame, as_of: Column, resolve:
         F.coalesce("s.key", "b.key").alias("key"), now.alias("status"), change.alias("last_change_type"), severity.alias("severity"),
         F.coalesce("s.score", "b.score").alias("score"), F.when(gone, as_of).alias("resolved_at"), F.when(change == "reopened", as_of).alias("reopened_at"), new.alias("seen"),
     )
-    return out.withColumn("alert", F.col("seen") & F.col("last_change_type").isin("new", "reopened") & F.col("severity").isin("critical", "high"))
+    return out.withColumn(
+        "alert",
+        F.col("seen") & F.col("last_change_type").isin("new", "reopened") & F.col("severity").isin("critical", "high"),
+    )
 
 
 def has_signal(detections: DataFrame) -> DataFrame:
@@ -64,7 +75,14 @@ def has_signal(detections: DataFrame) -> DataFrame:
     return detections.join(real, "repo_id", "left_semi")
 
 
-def budgeted_claim(candidates: DataFrame, taken: list[DataFrame], most: int, order: str, already: int = 0, key: str = "repo_id") -> DataFrame:
+def budgeted_claim(
+    candidates: DataFrame,
+    taken: list[DataFrame],
+    most: int,
+    order: str,
+    already: int = 0,
+    key: str = "repo_id",
+) -> DataFrame:
     """The first new ids, in order, that no table of `taken` has and that a budget leaves room for."""
     rows = candidates.groupBy(key).agg(F.min(order).alias(order))
     for t in taken:
@@ -94,7 +112,10 @@ def with_brand_match(repos: DataFrame, matches: DataFrame) -> DataFrame:
     """repos(repo_id, brand_id, extra: array<long>) with matches(repo_id, brand_id) of other brands appended once."""
     new = matches.groupBy("repo_id").agg(F.array_sort(F.collect_set("brand_id")).alias("_new"))
     rows = repos.join(new, "repo_id", "left")
-    fresh = F.filter(F.coalesce("_new", F.array().cast("array<bigint>")), lambda b: (b != F.col("brand_id")) & ~F.array_contains("extra", b))
+    fresh = F.filter(
+        F.coalesce("_new", F.array().cast("array<bigint>")),
+        lambda b: (b != F.col("brand_id")) & ~F.array_contains("extra", b),
+    )
     return rows.withColumn("extra", F.concat("extra", fresh)).drop("_new")
 
 
@@ -109,7 +130,9 @@ def has_more(page: Column, received: Column, total: Column, per_page: int = 100,
 
 def reusable(assessments: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(context_hash, ...) without those of which a completed assessment has the context."""
-    return wanted.join(assessments.where("status = 'completed'").select("context_hash").distinct(), "context_hash", "left_anti")
+    return wanted.join(
+        assessments.where("status = 'completed'").select("context_hash").distinct(), "context_hash", "left_anti"
+    )
 
 
 def needs_deep_review(intent: Column, confidence: Column, flagged: Column) -> Column:
@@ -118,7 +141,9 @@ def needs_deep_review(intent: Column, confidence: Column, flagged: Column) -> Co
 
 def triaged(status: Column, resolved_at: Column, as_of: Column) -> Column:
     """When a finding counts as resolved after an analyst set its status."""
-    return F.when(status.isin("resolved", "false_positive"), F.coalesce(resolved_at, as_of)).when(status.isin("open", "acknowledged"), None).otherwise(resolved_at)
+    return F.when(status.isin("resolved", "false_positive"), F.coalesce(resolved_at, as_of)).when(
+        status.isin("open", "acknowledged"), None
+    ).otherwise(resolved_at)
 
 
 def scan_outcome(cancelled: Column, processed: Column, failed: Column) -> Column:
@@ -140,4 +165,6 @@ def backfilled_origin(repos: DataFrame, scans: DataFrame) -> DataFrame:
     """repos with a missing origin set by the last scan: internal after an internal audit, else external."""
     audits = scans.where("scope = 'internal_audit'").select(F.col("scan_id").alias("_audit")).distinct()
     rows = repos.join(audits, F.col("last_scan_id") == F.col("_audit"), "left")
-    return rows.withColumn("origin", F.coalesce("origin", F.when(F.col("_audit").isNotNull(), "internal").otherwise("external"))).drop("_audit")
+    return rows.withColumn(
+        "origin", F.coalesce("origin", F.when(F.col("_audit").isNotNull(), "internal").otherwise("external"))
+    ).drop("_audit")

@@ -81,11 +81,18 @@ class Rotation:
 
     def recovered(self, now: int, grace_ms: int = 60_000) -> Rotation:
         """A rotation whose end passed without being advanced goes on."""
-        return self.advanced(now) if self.enabled and self.ends_at is not None and now > self.ends_at + grace_ms else self
+        return self.advanced(
+            now
+        ) if self.enabled and self.ends_at is not None and now > self.ends_at + grace_ms else self
 
 
 def schedule(slots: DataFrame, start_ms: Column) -> DataFrame:
     """slots(workspace_id, ord, keyword, duration_ms, paused) with when each runs in the first round: a running sum."""
     rows = slots.where("not paused")
-    before = F.coalesce(F.sum("duration_ms").over(Window.partitionBy("workspace_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("duration_ms").over(
+            Window.partitionBy("workspace_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    )
     return rows.withColumn("starts", start_ms + before).withColumn("ends", F.col("starts") + F.col("duration_ms"))

@@ -49,7 +49,17 @@ def rule(identity: str, name: str):
     return add
 
 
-def detection(identity: str, category: str, severity, confidence, points, evidence: Column, file=None, line=None, matched=None) -> Column:
+def detection(
+    identity: str,
+    category: str,
+    severity,
+    confidence,
+    points,
+    evidence: Column,
+    file=None,
+    line=None,
+    matched=None,
+) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
         F.lit(identity).alias("rule_id"), F.lit(RULES[identity].name if identity in RULES else identity).alias("rule_name"), F.lit(category).alias("category"),
@@ -64,7 +74,9 @@ def one(condition: Column, found: Column) -> Column:
 
 def whole_text() -> Column:
     contents = F.transform("files", lambda f: f["content"])
-    return T.blob(F.col("full_name"), F.col("description"), F.col("topics"), F.col("readme_text"), F.col("file_paths"), contents)
+    return T.blob(
+        F.col("full_name"), F.col("description"), F.col("topics"), F.col("readme_text"), F.col("file_paths"), contents
+    )
 
 
 def brand_named() -> Column:
@@ -83,12 +95,24 @@ def has_apk_file() -> Column:
 
 @rule("brand-impersonation", "Brand Impersonation")
 def _impersonation(as_of: Column) -> Column:
-    names = F.transform(F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>"))), lambda a: F.lower(a))
+    names = F.transform(
+        F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>"))),
+        lambda a: F.lower(a),
+    )
 
     def hits(u: Column) -> Column:
         low = F.lower(u["text"])
-        terms = F.when(F.exists(names, lambda a: T.has_term(low, a)), T.whole_terms_in(low, K.SUSPICIOUS_KEYWORDS)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.size(terms).alias("n"), (-u["rank"]).alias("r"), (-u["entry"]).alias("e"), (-u["line_number"]).alias("l"), terms.alias("terms"), u["path"].alias("path"))
+        terms = F.when(
+            F.exists(names, lambda a: T.has_term(low, a)), T.whole_terms_in(low, K.SUSPICIOUS_KEYWORDS)
+        ).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.size(terms).alias("n"),
+            (-u["rank"]).alias("r"),
+            (-u["entry"]).alias("e"),
+            (-u["line_number"]).alias("l"),
+            terms.alias("terms"),
+            u["path"].alias("path"),
+        )
 
     found = F.filter(F.transform("_units", hits), lambda h: h["n"] > 0)
     best = F.array_max(found)
@@ -119,33 +143,67 @@ def _phishing(as_of: Column) -> Column:
 @rule("fake-apk", "Fake Android / APK")
 def _apk(as_of: Column) -> Column:
     hits, file = T.terms_in(F.col("_text"), K.APK_HINTS), has_apk_file()
-    made = detection("fake-apk", "fake_apk", F.when(file, "critical").otherwise("high"), F.when(file, 0.9).otherwise(0.75), F.when(file, 32).otherwise(24), F.array_join(hits, ", "))
+    made = detection(
+        "fake-apk",
+        "fake_apk",
+        F.when(file, "critical").otherwise("high"),
+        F.when(file, 0.9).otherwise(0.75),
+        F.when(file, 32).otherwise(24),
+        F.array_join(hits, ", "),
+    )
     return one(F.col("_branded") & ((F.size(hits) > 0) | file), made)
 
 
 @rule("malware-indicators", "Malware Indicators")
 def _malware(as_of: Column) -> Column:
     hits, weak = T.terms_in(F.col("_text"), K.MALWARE_TERMS), T.terms_in(F.col("_text"), K.WEAK_MALWARE_TERMS)
-    scripted = F.exists("file_paths", lambda p: p.rlike(K.SCRIPT_FILE)) & (F.size(T.terms_in(F.col("_text"), ("crack", "bypass", "payload"))) > 0)
+    scripted = F.exists("file_paths", lambda p: p.rlike(K.SCRIPT_FILE)) & (
+        F.size(T.terms_in(F.col("_text"), ("crack", "bypass", "payload"))) > 0
+    )
     n = F.size(hits) + F.size(weak)
-    made = detection("malware-indicators", "malware", F.when((n >= 2) | scripted, "critical").otherwise("high"), 0.7, 28 + F.least(F.lit(12), n * 4), F.array_join(F.concat(hits, weak), ", "))
+    made = detection(
+        "malware-indicators",
+        "malware",
+        F.when((n >= 2) | scripted, "critical").otherwise("high"),
+        0.7,
+        28 + F.least(F.lit(12), n * 4),
+        F.array_join(F.concat(hits, weak), ", "),
+    )
     return one((F.size(hits) > 0) | scripted, made)
 
 
 @rule("low-reputation-new-repo", "Low Reputation / Newly Created")
 def _reputation(as_of: Column) -> Column:
     new, few = F.coalesce(age_days(F.col("created_at"), as_of), F.lit(999.0)) <= 30, F.col("stars") <= 2
-    made = detection("low-reputation-new-repo", "suspicious_repo", "low", 0.55, F.when(new & few, 12).otherwise(8), F.concat(F.lit("stars "), F.col("stars").cast("string")))
+    made = detection(
+        "low-reputation-new-repo",
+        "suspicious_repo",
+        "low",
+        0.55,
+        F.when(new & few, 12).otherwise(8),
+        F.concat(F.lit("stars "), F.col("stars").cast("string")),
+    )
     return one(F.col("_branded") & (new | few), made)
 
 
 @rule("suspicious-owner-account", "Newly Created / Low-Reputation Account")
 def _account(as_of: Column) -> Column:
-    known = F.coalesce(F.col("owner_created_at").cast("string"), F.col("followers").cast("string"), F.col("public_repos").cast("string")).isNotNull()
+    known = F.coalesce(
+        F.col("owner_created_at").cast("string"),
+        F.col("followers").cast("string"),
+        F.col("public_repos").cast("string"),
+    ).isNotNull()
     new = F.coalesce(age_days(F.col("owner_created_at"), as_of) <= 30, F.lit(False))
     empty = F.coalesce((F.col("followers") <= 0) & (F.col("public_repos") <= 1), F.lit(False))
     both = new & empty
-    made = detection("suspicious-owner-account", "suspicious_repo", F.when(both, "medium").otherwise("low"), F.when(both, 0.7).otherwise(0.5), F.when(both, 14).otherwise(8), F.col("owner"))
+    made = detection(
+        "suspicious-owner-account",
+        "suspicious_repo",
+        F.when(both, "medium").otherwise("low"),
+        F.when(both, 0.7).otherwise(0.5),
+        F.when(both, 14).otherwise(8),
+        F.col("owner"),
+    )
     return one(F.col("_branded") & known & (new | empty), made)
 
 
@@ -153,9 +211,20 @@ def _account(as_of: Column) -> Column:
 def _disposable(as_of: Column) -> Column:
     unused = (F.col("stars") == 0) & (F.col("forks") == 0) & ~F.coalesce(F.col("is_fork"), F.lit(False))
     new = F.coalesce(age_days(F.col("created_at"), as_of), F.lit(999.0)) <= 14
-    some = [F.size(T.terms_in(F.col("_text"), K.PHISHING_TERMS)) > 0, (F.size(T.terms_in(F.col("_text"), K.APK_HINTS)) > 0) | has_apk_file(), F.size(T.terms_in(F.col("_text"), K.SUSPICIOUS_KEYWORDS)) > 0]
+    some = [
+        F.size(T.terms_in(F.col("_text"), K.PHISHING_TERMS)) > 0,
+        (F.size(T.terms_in(F.col("_text"), K.APK_HINTS)) > 0) | has_apk_file(),
+        F.size(T.terms_in(F.col("_text"), K.SUSPICIOUS_KEYWORDS)) > 0,
+    ]
     k = some[0].cast("int") + some[1].cast("int") + some[2].cast("int")
-    made = detection("disposable-phishing-repo", "phishing", "high", F.least(F.lit(0.95), 0.75 + k * 0.07), 15, F.concat(k.cast("string"), F.lit(" intent signals")))
+    made = detection(
+        "disposable-phishing-repo",
+        "phishing",
+        "high",
+        F.least(F.lit(0.95), 0.75 + k * 0.07),
+        15,
+        F.concat(k.cast("string"), F.lit(" intent signals")),
+    )
     return one(F.col("_branded") & unused & new & (k > 0), made)
 
 
@@ -164,22 +233,48 @@ def _obfuscated(as_of: Column) -> Column:
     hit = lambda t: t.rlike("|".join(K.OBFUSCATED_COMMANDS))
     content = F.lit(units.LOCATIONS.index("file_content"))
     found = F.filter("_units", lambda u: (u["line_number"] > 0) & hit(u["text"]))
-    place = lambda u: F.struct((u["rank"] != content).alias("late"), u["entry"], u["line_number"].alias("line"), F.when(u["rank"] == content, u["path"]).otherwise("README.md").alias("path"))
+    place = lambda u: F.struct(
+        (u["rank"] != content).alias("late"),
+        u["entry"],
+        u["line_number"].alias("line"),
+        F.when(u["rank"] == content, u["path"]).otherwise("README.md").alias("path"),
+    )
     first = F.array_min(F.transform(found, place))
-    made = detection("obfuscated-commands", "malware", "high", 0.8, 22, F.concat(first["path"], F.lit(":"), first["line"].cast("string")), first["path"], first["line"], "Encoded/obfuscated command pattern")
+    made = detection(
+        "obfuscated-commands",
+        "malware",
+        "high",
+        0.8,
+        22,
+        F.concat(first["path"], F.lit(":"), first["line"].cast("string")),
+        first["path"],
+        first["line"],
+        "Encoded/obfuscated command pattern",
+    )
     return one(F.size(found) > 0, made)
 
 
 @rule("custom-keyword-match", "Custom Keyword Match")
 def _keywords(as_of: Column) -> Column:
-    own = F.transform(F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>"))), lambda a: F.lower(a))
-    asked = F.filter(F.transform(F.coalesce("brand.keywords", F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: (F.length(k) > 0) & ~F.array_contains(own, F.lower(k)))
+    own = F.transform(
+        F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>"))),
+        lambda a: F.lower(a),
+    )
+    asked = F.filter(
+        F.transform(F.coalesce("brand.keywords", F.array().cast("array<string>")), lambda k: F.trim(k)),
+        lambda k: (F.length(k) > 0) & ~F.array_contains(own, F.lower(k)),
+    )
     low = F.transform(asked, lambda k: F.lower(k))
     asked = F.filter(asked, lambda k, i: F.array_position(low, F.lower(k)) == i + 1)
 
     def place(k: Column) -> Column:
         hit = F.filter("_units", lambda u: T.word_index(u["text"], F.lower(k)) >= 0)
-        return F.struct(k.alias("keyword"), F.array_min(F.transform(hit, lambda u: F.struct(u["rank"], u["entry"], u["line_number"], u["text"], u["path"]))).alias("u"))
+        return F.struct(
+            k.alias("keyword"),
+            F.array_min(
+                F.transform(hit, lambda u: F.struct(u["rank"], u["entry"], u["line_number"], u["text"], u["path"]))
+            ).alias("u"),
+        )
 
     def made(h: Column) -> Column:
         strong, u = h["u"]["rank"] <= units.LOCATIONS.index("file_path"), h["u"]
@@ -195,29 +290,59 @@ def _keywords(as_of: Column) -> Column:
 def _destination(as_of: Column) -> Column:
     names = F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>")))
     slugs = F.filter(F.transform(names, extract.slug), lambda s: F.length(s) >= extract.SHORTEST_SLUG)
-    own = F.transform(F.concat(F.coalesce("brand.aliases", F.array().cast("array<string>")), F.coalesce("brand.keywords", F.array().cast("array<string>"))), lambda c: F.lower(F.trim(c)))
-    readme = F.array(F.struct(F.coalesce("readme_path", F.lit("README.md")).alias("path"), F.coalesce("readme_text", F.lit("")).alias("content")))
-    texts = F.concat(readme, F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content"))))
+    own = F.transform(
+        F.concat(
+            F.coalesce("brand.aliases", F.array().cast("array<string>")),
+            F.coalesce("brand.keywords", F.array().cast("array<string>")),
+        ),
+        lambda c: F.lower(F.trim(c)),
+    )
+    readme = F.array(
+        F.struct(
+            F.coalesce("readme_path", F.lit("README.md")).alias("path"),
+            F.coalesce("readme_text", F.lit("")).alias("content"),
+        )
+    )
+    texts = F.concat(
+        readme, F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content")))
+    )
 
     def urls(f: Column) -> Column:
         hits = F.concat(*(F.regexp_extract_all(f["content"], F.lit(p), F.lit(1)) for p in K.DESTINATIONS))
-        return F.transform(hits, lambda u: F.struct(extract.host(u).alias("host"), u.alias("url"), f["path"].alias("path")))
+        return F.transform(
+            hits, lambda u: F.struct(extract.host(u).alias("host"), u.alias("url"), f["path"].alias("path"))
+        )
 
     def foreign(h: Column) -> Column:
         labels = F.transform(F.split(h["host"], r"\."), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
-        return h["host"].isNotNull() & ~h["host"].isin(*K.BENIGN_HOSTS) & ~F.array_contains(own, h["host"]) & ~F.arrays_overlap(labels, slugs)
+        return h["host"].isNotNull() & ~h["host"].isin(*K.BENIGN_HOSTS) & ~F.array_contains(
+            own, h["host"]
+        ) & ~F.arrays_overlap(labels, slugs)
 
     found = F.filter(F.flatten(F.transform(texts, urls)), foreign)
     hosts = F.transform(found, lambda h: h["host"])
     found = F.slice(F.filter(found, lambda h, i: F.array_position(hosts, h["host"]) == i + 1), 1, 5)
-    made = lambda h: detection("suspicious-destination", "suspicious_destination", "high", 0.7, 25, F.concat(F.lit("sends data to "), h["host"]), h["path"], None, h["url"])
+    made = lambda h: detection(
+        "suspicious-destination",
+        "suspicious_destination",
+        "high",
+        0.7,
+        25,
+        F.concat(F.lit("sends data to "), h["host"]),
+        h["path"],
+        None,
+        h["url"],
+    )
     return F.when(F.col("brand.name").isNotNull(), F.transform(found, made))
 
 
 @rule("deployment-signal", "Deploy Configuration Present")
 def _deployment(as_of: Column) -> Column:
     found = extract.deploy_configs(F.col("file_paths"))
-    return one(F.col("brand.name").isNotNull() & (F.size(found) > 0), detection("deployment-signal", "suspicious_destination", "low", 0.5, 8, F.array_join(found, ", ")))
+    return one(
+        F.col("brand.name").isNotNull() & (F.size(found) > 0),
+        detection("deployment-signal", "suspicious_destination", "low", 0.5, 8, F.array_join(found, ", ")),
+    )
 
 
 #: Shapes of secrets: id, small letters that every match has one of, pattern, severity. A family of its own, which
@@ -273,12 +398,21 @@ def secret_matches(line: Column) -> Column:
     return F.concat(shaped, F.transform(generic, match("generic-assignment", "medium")))
 
 
-def analysed(context: DataFrame, as_of: Column, excluded: tuple[str, ...] = (), internal_audit: bool = False) -> DataFrame:
+def analysed(
+    context: DataFrame,
+    as_of: Column,
+    excluded: tuple[str, ...] = (),
+    internal_audit: bool = False,
+) -> DataFrame:
     """Rows (repo_id, ord, rule_id, ...) of all rules over a context table, as of a time."""
     skipped = set(excluded) | (set(K.IMPERSONATION_ONLY_RULES) if internal_audit else set())
-    ready = context.withColumns({"_text": whole_text(), "_units": units.unit_columns()}).withColumn("_branded", brand_named())
+    ready = context.withColumns({"_text": whole_text(), "_units": units.unit_columns()}).withColumn(
+        "_branded", brand_named()
+    )
     empty = F.array().cast(f"array<{DETECTION}>")
-    found = F.concat(*(F.coalesce(r.found(as_of).cast(f"array<{DETECTION}>"), empty) for r in RULES.values() if r.id not in skipped))
+    found = F.concat(
+        *(F.coalesce(r.found(as_of).cast(f"array<{DETECTION}>"), empty) for r in RULES.values() if r.id not in skipped)
+    )
     return ready.select("repo_id", F.posexplode(found).alias("ord", "d")).select("repo_id", "ord", "d.*")
 
 
@@ -289,7 +423,9 @@ def ruleset_version() -> Column:
 def credential_reuse(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """candidates(repo_id, brand_id, value, path, line_number) whose value's hash the brand is known to have."""
     rows = candidates.withColumn("value_hash", H.known_value(F.col("value")))
-    return rows.join(known.select("brand_id", "value_hash").distinct(), ["brand_id", "value_hash"], "left_semi").drop("value")
+    return rows.join(known.select("brand_id", "value_hash").distinct(), ["brand_id", "value_hash"], "left_semi").drop(
+        "value"
+    )
 
 
 def phrase_reuse(lines: DataFrame, phrases: DataFrame, most: int = 10) -> DataFrame:
@@ -301,7 +437,11 @@ def phrase_reuse(lines: DataFrame, phrases: DataFrame, most: int = 10) -> DataFr
     words = F.regexp_extract_all(F.lower("line"), F.lit(r"[^\s]+"), F.lit(0))
     asked = phrases.select("phrase_id", F.lower("text").alias("low")).withColumn("parts", F.split("low", " "))
     inner = F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(1)))
-    longest = F.array_max(F.transform(F.when(F.size("parts") > 2, inner).otherwise(F.col("parts")), lambda w: F.struct(F.length(w), w.alias("w"))))
+    longest = F.array_max(
+        F.transform(
+            F.when(F.size("parts") > 2, inner).otherwise(F.col("parts")), lambda w: F.struct(F.length(w), w.alias("w"))
+        )
+    )
     whole = asked.where("size(parts) > 2").withColumn("key", longest["w"])
     rows = lines.select("repo_id", "path", "line_number", "line", F.explode(F.array_distinct(words)).alias("key"))
     found = rows.join(whole, "key").where(F.contains(F.lower("line"), F.col("low")))
@@ -320,7 +460,9 @@ def file_reuse(files: DataFrame, known: DataFrame, shortest: int = 200, most: in
     """files whose normalised content is a known one, of 200 bytes or more, `most` a repository."""
     from pyspark.sql.window import Window
 
-    rows = files.where(F.octet_length("content") >= shortest).withColumn("content_hash", H.content_hash(F.col("content")))
+    rows = files.where(F.octet_length("content") >= shortest).withColumn(
+        "content_hash", H.content_hash(F.col("content"))
+    )
     found = rows.join(known.select("content_hash").distinct(), "content_hash", "left_semi")
     turn = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
     return found.select("repo_id", "path", "content_hash").withColumn("turn", turn).where(F.col("turn") <= most)
@@ -341,4 +483,12 @@ def live_destinations(destinations: DataFrame, liveness: DataFrame, detections:
     """
     real = detections.where("rule_id <> 'low-reputation-new-repo'").select("repo_id").distinct()
     rows = destinations.where(F.col("turn") <= most).join(real, "repo_id", "left_semi").join(liveness, "url")
-    return rows.where("status < 500").select("repo_id", "hostname", "url", "status", F.lit("critical").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(30.0).alias("risk_contribution"))
+    return rows.where("status < 500").select(
+        "repo_id",
+        "hostname",
+        "url",
+        "status",
+        F.lit("critical").alias("severity"),
+        F.lit(0.9).alias("confidence"),
+        F.lit(30.0).alias("risk_contribution"),
+    )

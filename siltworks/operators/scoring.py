@@ -24,8 +24,15 @@ def severity(score: Column) -> Column:
 
 def threat_classes(categories: Column) -> Column:
     """credential_exposure, malicious_intent, both, or other."""
-    has = lambda names: F.coalesce(F.arrays_overlap(categories, F.array(*map(F.lit, names))), F.lit(False))
-    some = F.array_compact(F.array(F.when(has(K.CREDENTIAL_CATEGORIES), F.lit("credential_exposure")), F.when(has(K.INTENT_CATEGORIES), F.lit("malicious_intent"))))
+    has = lambda names: F.coalesce(
+        F.arrays_overlap(categories, F.array(*map(F.lit, names))), F.lit(False)
+    )
+    some = F.array_compact(
+        F.array(
+            F.when(has(K.CREDENTIAL_CATEGORIES), F.lit("credential_exposure")),
+            F.when(has(K.INTENT_CATEGORIES), F.lit("malicious_intent")),
+        )
+    )
     return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("other")))
 
 
@@ -37,7 +44,13 @@ def points(detections: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("points", half_up(F.col("raw") * F.pow(F.lit(DECAY), F.col("rank"))).cast("long"))
 
 
-def scores(detections: DataFrame, repos: DataFrame, by: str, as_of: Column, operators: DataFrame | None = None) -> DataFrame:
+def scores(
+    detections: DataFrame,
+    repos: DataFrame,
+    by: str,
+    as_of: Column,
+    operators: DataFrame | None = None,
+) -> DataFrame:
     """Rows (by, score, severity, categories, breakdown) of detections and of one row of repos for each `by`.
 
     repos has stars, forks and created_at; operators, if given, other_brands and linked_owners.
@@ -56,7 +69,9 @@ def scores(detections: DataFrame, repos: DataFrame, by: str, as_of: Column, oper
     intent = F.arrays_overlap("categories", F.array(*map(F.lit, K.INTENT_CATEGORIES)))
     stars, forks = F.coalesce("stars", F.lit(0)), F.coalesce("forks", F.lit(0))
     organic = (stars > 0) & (forks / F.when(stars > 0, stars) >= 0.02)
-    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400_000_000
+    age = (
+        F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    ) / 86_400_000_000
     n = F.size("categories")
     added = (
         ("Multiple threat categories", F.when(n >= 3, 10).when(n == 2, 5)),
@@ -70,7 +85,15 @@ def scores(detections: DataFrame, repos: DataFrame, by: str, as_of: Column, oper
     extra = F.array_compact(F.array(*(
         F.when(p.isNotNull(), F.struct((F.lit(1 << 60) + k).cast("long").alias("ord"), F.lit(name).alias("factor"), p.cast("long").alias("points"))) for k, (name, p) in enumerate(added)
     )))
-    items = F.concat(F.transform("items", lambda i: F.struct(i["ord"].cast("long").alias("ord"), i["factor"].alias("factor"), i["points"].alias("points"))), extra)
+    items = F.concat(
+        F.transform(
+            "items",
+            lambda i: F.struct(
+                i["ord"].cast("long").alias("ord"), i["factor"].alias("factor"), i["points"].alias("points")
+            ),
+        ),
+        extra,
+    )
     total = F.aggregate(items, F.lit(0).cast("long"), lambda s, i: s + i["points"])
     score = F.greatest(F.lit(0), F.least(F.lit(100), total))
     out = rows.select(by, score.cast("long").alias("score"), "categories", items.alias("breakdown"))

@@ -21,7 +21,9 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def inserted_if_absent(old: DataFrame, new: DataFrame, key: list[str], fold_case: bool = False) -> DataFrame:
     """old and those of new's rows whose key old lacks; of new rows with one key, the first by all columns."""
     low = lambda d: [F.lower(d[k]) if fold_case else d[k] for k in key]
-    first = new.groupBy(*(e.alias(f"_k{i}") for i, e in enumerate(low(new)))).agg(F.min(F.struct(*new.columns)).alias("_r"))
+    first = new.groupBy(*(e.alias(f"_k{i}") for i, e in enumerate(low(new)))).agg(
+        F.min(F.struct(*new.columns)).alias("_r")
+    )
     known = old.select(*(e.alias(f"_k{i}") for i, e in enumerate(low(old)))).distinct()
     fresh = first.join(known, [f"_k{i}" for i in range(len(key))], "left_anti").select("_r.*")
     return old.unionByName(fresh, allowMissingColumns=True)

@@ -10,9 +10,28 @@ from siltworks.functions import paths
 from siltworks.functions import text as T
 
 LONGEST_LINE, SHORTEST_ALIAS, SHORTEST_KEYWORD, MOST_KEYWORDS = 300, 3, 2, 200
-SECRET_ANCHORS = ("AKIA", "ghp_", "github_pat_", "mongodb", "PRIVATE KEY", "AIza", "sk_live_", "xox", "sk-ant-", "SG.", "postgres", "mysql", "api_key", "token", "secret", "password")
+SECRET_ANCHORS = (
+    "AKIA",
+    "ghp_",
+    "github_pat_",
+    "mongodb",
+    "PRIVATE KEY",
+    "AIza",
+    "sk_live_",
+    "xox",
+    "sk-ant-",
+    "SG.",
+    "postgres",
+    "mysql",
+    "api_key",
+    "token",
+    "secret",
+    "password",
+)
 #: Where something was found, from the strongest evidence to the weakest.
-LOCATIONS = ("repo_name", "description", "topics", "file_path", "readme", "file_content", "commit_message", "commit_author")
+LOCATIONS = (
+    "repo_name", "description", "topics", "file_path", "readme", "file_content", "commit_message", "commit_author"
+)
 
 
 def exploded_lines(files: DataFrame, text: str = "content") -> DataFrame:
@@ -37,7 +56,10 @@ def _lines(location: str, entry: Column, text: Column, path: Column) -> Column:
 
 def unit_columns() -> Column:
     """All units of a row of the context table, in order of location, entry and line."""
-    readme = F.when(F.length("readme_text") > 0, _lines("readme", F.lit(0), F.col("readme_text"), F.coalesce("readme_path", F.lit("README.md"))))
+    readme = F.when(
+        F.length("readme_text") > 0,
+        _lines("readme", F.lit(0), F.col("readme_text"), F.coalesce("readme_path", F.lit("README.md"))),
+    )
     content = F.flatten(F.transform("files", lambda f, i: _lines("file_content", i + 1, f["content"], f["path"])))
     some = [
         _entries("repo_name", F.array("full_name")), _entries("description", F.array("description")), _entries("topics", F.col("topics")),
@@ -81,4 +103,6 @@ def secret_candidates(files: DataFrame) -> DataFrame:
     hit = F.lit(False)
     for a in SECRET_ANCHORS:
         hit = hit | F.contains(F.lower("line"), F.lit(a.lower()))
-    return rows.where(hit).select("repo_id", "path", "line_number", F.trim(F.substring("line", 1, LONGEST_LINE)).alias("line"))
+    return rows.where(hit).select(
+        "repo_id", "path", "line_number", F.trim(F.substring("line", 1, LONGEST_LINE)).alias("line")
+    )

@@ -40,7 +40,17 @@ def category_filter(categories: Column, category: str | None, threat_class: str
     return F.arrays_overlap(categories, F.array(*map(F.lit, members))) if threat_class else F.lit(True)
 
 
-def findings_filter(findings: DataFrame, *, equal: dict | None = None, category=None, threat_class=None, brand=None, search=None, start=None, stop=None) -> DataFrame:
+def findings_filter(
+    findings: DataFrame,
+    *,
+    equal: dict | None = None,
+    category=None,
+    threat_class=None,
+    brand=None,
+    search=None,
+    start=None,
+    stop=None,
+) -> DataFrame:
     """All conditions that are given; brand and search are regular expressions without regard to case."""
     ok = F.lit(True)
     for column, value in (equal or {}).items():
@@ -54,7 +64,16 @@ def findings_filter(findings: DataFrame, *, equal: dict | None = None, category=
     return findings.where(ok)
 
 
-def repositories_filter(repos: DataFrame, *, pending=None, name=None, brand_id=None, language=None, created=(None, None), pushed=(None, None)) -> DataFrame:
+def repositories_filter(
+    repos: DataFrame,
+    *,
+    pending=None,
+    name=None,
+    brand_id=None,
+    language=None,
+    created=(None, None),
+    pushed=(None, None),
+) -> DataFrame:
     """External repositories; name is a regular expression, language is compared as text without regard to case."""
     ok = F.col("origin") == "external"
     if pending is not None:
@@ -96,7 +115,9 @@ def located(repos: DataFrame, findings: DataFrame, location: str) -> DataFrame:
     """repos with a finding at a location, or without any finding and discovered there."""
     flags = findings.groupBy("repo_id").agg(F.max((F.col("match_location") == location).cast("int")).alias("_here"))
     rows = repos.join(flags, "repo_id", "left")
-    return rows.where((F.col("_here") == 1) | (F.col("_here").isNull() & (F.col("discovery_field") == location))).drop("_here")
+    return rows.where((F.col("_here") == 1) | (F.col("_here").isNull() & (F.col("discovery_field") == location))).drop(
+        "_here"
+    )
 
 
 def unseen(items: DataFrame, seen: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -111,7 +132,9 @@ def linked_identities(identities: DataFrame, by: list[str] | None = None) -> Dat
     """
     by = by or ["workspace_id", "kind", "value"]
     other = identities.select(*by, F.col("repo_id").alias("other_repo"), F.col("owner").alias("other_owner"))
-    return identities.join(other, by).where("repo_id <> other_repo").select("repo_id", "kind", "value", "other_repo", "other_owner")
+    return identities.join(other, by).where("repo_id <> other_repo").select(
+        "repo_id", "kind", "value", "other_repo", "other_owner"
+    )
 
 
 def linked_owner_counts(identities: DataFrame, findings: DataFrame) -> DataFrame:
@@ -124,19 +147,37 @@ def linked_owner_counts(identities: DataFrame, findings: DataFrame) -> DataFrame
     """
     by = ["workspace_id", "kind", "value"]
     real = findings.where(is_not(F.col("status"), "false_positive")).select("repo_id").distinct()
-    members = identities.join(real, "repo_id", "left_semi").where("owner is not null").select(*by, F.col("owner").alias("other")).distinct()
+    members = identities.join(real, "repo_id", "left_semi").where("owner is not null").select(
+        *by, F.col("owner").alias("other")
+    ).distinct()
     sizes = members.groupBy(*by).agg(F.count("*").alias("n"))
     mine = identities.where("owner is not null").select(*by, "owner").distinct().join(sizes, by)
     top = F.max(F.struct("n", "kind", "value")).alias("top")
-    top = mine.groupBy("workspace_id", "owner").agg(top).select("workspace_id", "owner", "top.n", F.col("top.kind").alias("_k"), F.col("top.value").alias("_v"))
-    inside = members.select("workspace_id", F.col("kind").alias("_k"), F.col("value").alias("_v"), F.col("other").alias("owner"), F.lit(1).alias("_in"))
+    top = mine.groupBy("workspace_id", "owner").agg(top).select(
+        "workspace_id", "owner", "top.n", F.col("top.kind").alias("_k"), F.col("top.value").alias("_v")
+    )
+    inside = members.select(
+        "workspace_id",
+        F.col("kind").alias("_k"),
+        F.col("value").alias("_v"),
+        F.col("other").alias("owner"),
+        F.lit(1).alias("_in"),
+    )
     base = top.join(inside, ["workspace_id", "_k", "_v", "owner"], "left")
     base = base.select("workspace_id", "owner", (F.col("n") - F.coalesce("_in", F.lit(0))).alias("linked"))
     rest = mine.drop("n").join(top.drop("n"), ["workspace_id", "owner"]).where("kind <> _k or value <> _v")
-    rest = rest.join(members, by).where("owner <> other").select("workspace_id", "owner", "other", "_k", "_v").distinct()
-    rest = rest.join(inside.select("workspace_id", "_k", "_v", F.col("owner").alias("other")), ["workspace_id", "_k", "_v", "other"], "left_anti")
+    rest = rest.join(members, by).where("owner <> other").select(
+        "workspace_id", "owner", "other", "_k", "_v"
+    ).distinct()
+    rest = rest.join(
+        inside.select("workspace_id", "_k", "_v", F.col("owner").alias("other")),
+        ["workspace_id", "_k", "_v", "other"],
+        "left_anti",
+    )
     rest = rest.groupBy("workspace_id", "owner").agg(F.count("*").alias("more"))
-    both = base.join(rest, ["workspace_id", "owner"], "left").withColumn("linked_owners", F.col("linked") + F.coalesce("more", F.lit(0)))
+    both = base.join(rest, ["workspace_id", "owner"], "left").withColumn(
+        "linked_owners", F.col("linked") + F.coalesce("more", F.lit(0))
+    )
     return both.where("linked_owners > 0").select("workspace_id", "owner", "linked_owners")
 
 
@@ -146,10 +187,17 @@ def shared_contributors(contributors: DataFrame, repos: DataFrame) -> DataFrame:
     The lists are what the view shows, so a login's lists grow with the square of its
     repositories; contributor_overlap counts without them.
     """
-    named = contributors.join(repos.select("repo_id", "full_name"), "repo_id").groupBy("login").agg(F.array_sort(F.collect_set(F.struct("repo_id", "full_name"))).alias("_all"))
+    named = contributors.join(repos.select("repo_id", "full_name"), "repo_id").groupBy("login").agg(
+        F.array_sort(F.collect_set(F.struct("repo_id", "full_name"))).alias("_all")
+    )
     rows = contributors.join(named, "login", "left")
-    others = F.filter(F.coalesce("_all", F.array().cast("array<struct<repo_id:bigint,full_name:string>>")), lambda r: r["repo_id"] != F.col("repo_id"))
-    return rows.select("repo_id", "login", "contributions", F.transform(others, lambda r: r["full_name"]).alias("other_repos"))
+    others = F.filter(
+        F.coalesce("_all", F.array().cast("array<struct<repo_id:bigint,full_name:string>>")),
+        lambda r: r["repo_id"] != F.col("repo_id"),
+    )
+    return rows.select(
+        "repo_id", "login", "contributions", F.transform(others, lambda r: r["full_name"]).alias("other_repos")
+    )
 
 
 def contributor_overlap(contributors: DataFrame) -> DataFrame:
@@ -162,19 +210,33 @@ def contributor_overlap(contributors: DataFrame) -> DataFrame:
 def repeat_operators(repos: DataFrame, findings: DataFrame) -> DataFrame:
     """Rows (repo_id, other_brands): brands that findings of the owner's other repositories name."""
     real = findings.where(is_not(F.col("status"), "false_positive") & (F.length("brand_name") > 0))
-    brands = repos.select("repo_id", "workspace_id", "owner").join(real.select("repo_id", "brand_name").distinct(), "repo_id")
+    brands = repos.select("repo_id", "workspace_id", "owner").join(
+        real.select("repo_id", "brand_name").distinct(), "repo_id"
+    )
     # a brand counts for a repository if another one of the owner has it: two repositories with it tell
-    seen = brands.groupBy("workspace_id", "owner", "brand_name").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"))
+    seen = brands.groupBy("workspace_id", "owner", "brand_name").agg(
+        F.min("repo_id").alias("a"), F.max("repo_id").alias("b")
+    )
     rows = repos.select("repo_id", "workspace_id", "owner").join(seen, ["workspace_id", "owner"])
     return rows.where("a <> repo_id or b <> repo_id").groupBy("repo_id").agg(F.count("*").alias("other_brands"))
 
 
 def match_info(repos: DataFrame, findings: DataFrame, brands: DataFrame) -> DataFrame:
     """repos with the riskiest finding, and the brand of it or else that of the discovery."""
-    top = top_per_repository(findings).select("repo_id", "finding_id", "risk_score", F.col("brand_name").alias("_found"))
-    rows = repos.join(top, "repo_id", "left").join(brands.select("brand_id", F.col("brand_name").alias("_brand")), "brand_id", "left")
+    top = top_per_repository(findings).select(
+        "repo_id", "finding_id", "risk_score", F.col("brand_name").alias("_found")
+    )
+    rows = repos.join(top, "repo_id", "left").join(
+        brands.select("brand_id", F.col("brand_name").alias("_brand")), "brand_id", "left"
+    )
     name = F.coalesce(F.when(F.length("_found") > 0, F.col("_found")), "_brand", F.lit("unknown"))
-    return rows.select("repo_id", "finding_id", "risk_score", name.alias("matched_brand"), F.col("finding_id").isNotNull().alias("confirmed"))
+    return rows.select(
+        "repo_id",
+        "finding_id",
+        "risk_score",
+        name.alias("matched_brand"),
+        F.col("finding_id").isNotNull().alias("confirmed"),
+    )
 
 
 def top_per_repository(findings: DataFrame) -> DataFrame:
@@ -210,12 +272,18 @@ def active_by_keyword(scans: DataFrame) -> DataFrame:
 
 def daily_histogram(rows: DataFrame, at: str, days: int = 30) -> DataFrame:
     """Counts by UTC day, the oldest days first and only."""
-    return rows.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).orderBy("day").limit(days)
+    return rows.groupBy(F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).orderBy("day").limit(
+        days
+    )
 
 
 def dashboard(findings: DataFrame, repos: DataFrame, alerts: DataFrame) -> DataFrame:
     """One row of counts."""
-    f = findings.agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    f = findings.agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("severity") == "critical").alias("critical"),
+        F.count_if(F.col("severity") == "high").alias("high"),
+    )
     r = repos.agg(F.count("*").alias("repositories"))
     a = alerts.agg(F.count_if(~F.col("read")).alias("unread"))
     return f.join(r, F.lit(True)).join(a, F.lit(True))
@@ -230,7 +298,9 @@ def top_phrases(phrases: DataFrame, each: int, whole: int = 500) -> DataFrame:
 
 def top_keywords(keywords: DataFrame, each: int = 5) -> DataFrame:
     """The first enabled keywords of each category by priority, then by name."""
-    turn = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("priority"), F.lower("keyword"), "keyword"))
+    turn = F.row_number().over(
+        Window.partitionBy("category").orderBy(F.desc("priority"), F.lower("keyword"), "keyword")
+    )
     return keywords.where("enabled").withColumn("turn", turn).where(F.col("turn") <= each)
 
 
@@ -238,7 +308,9 @@ def recent_changes(repos: DataFrame, findings: DataFrame, since, pushes: int = 8
     """Last pushes, and last new or reopened findings; those whose repository is missing go after the limit."""
     start = F.lit(since).cast("timestamp_ntz")
     pushed = repos.where(F.col("pushed_at") >= start).orderBy(F.desc("pushed_at"), "repo_id").limit(min(pushes, 200))
-    changed = findings.where((F.col("created_at") >= start) & F.col("last_change_type").isin("new", "reopened")).orderBy(F.desc("created_at"), "finding_id").limit(min(changes, 200))
+    changed = findings.where(
+        (F.col("created_at") >= start) & F.col("last_change_type").isin("new", "reopened")
+    ).orderBy(F.desc("created_at"), "finding_id").limit(min(changes, 200))
     changed = changed.join(repos.select("repo_id", "full_name"), "repo_id")
     return pushed.select(F.lit("push").alias("kind"), "repo_id", "full_name", F.col("pushed_at").alias("at")).unionByName(
         changed.select(F.col("last_change_type").alias("kind"), "repo_id", "full_name", F.col("created_at").alias("at"))
@@ -247,19 +319,27 @@ def recent_changes(repos: DataFrame, findings: DataFrame, since, pushes: int = 8
 
 def contributor_rollup(contributors: DataFrame, repos: DataFrame, least: int = 2) -> DataFrame:
     """Rows (login, repos, owners) of people in `least` repositories or more."""
-    rows = contributors.join(repos.select("repo_id", "owner"), "repo_id").groupBy("login").agg(F.countDistinct("repo_id").alias("repos"), F.countDistinct("owner").alias("owners"))
+    rows = contributors.join(repos.select("repo_id", "owner"), "repo_id").groupBy("login").agg(
+        F.countDistinct("repo_id").alias("repos"), F.countDistinct("owner").alias("owners")
+    )
     return rows.where(F.col("repos") >= least)
 
 
 def finding_detail(finding: DataFrame, repos: DataFrame, detections: DataFrame) -> DataFrame:
     """findings with their repository's name and an array of their detections in order."""
-    items = detections.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rule_id", "severity"))).alias("detections"))
-    return finding.join(repos.select("repo_id", "full_name", "owner"), "repo_id", "left").join(items, "finding_id", "left")
+    items = detections.groupBy("finding_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "rule_id", "severity"))).alias("detections")
+    )
+    return finding.join(repos.select("repo_id", "full_name", "owner"), "repo_id", "left").join(
+        items, "finding_id", "left"
+    )
 
 
 def slots_known(slots: DataFrame, brands: DataFrame) -> DataFrame:
     """slots(brand_id, keyword) with known: whether the brand has the keyword, without regard to case."""
-    rows = slots.join(brands.select("brand_id", F.transform("keywords", lambda k: F.lower(k)).alias("_k")), "brand_id", "left")
+    rows = slots.join(
+        brands.select("brand_id", F.transform("keywords", lambda k: F.lower(k)).alias("_k")), "brand_id", "left"
+    )
     return rows.withColumn("known", F.coalesce(F.array_contains("_k", F.lower("keyword")), F.lit(False))).drop("_k")
 
 
@@ -268,8 +348,20 @@ def quota_status(snapshots: DataFrame, used: DataFrame, budget: int, low: int =
     last = latest(snapshots, ["workspace_id", "resource"], ["at"]).join(used, "workspace_id", "left")
     left = F.lit(budget) - F.coalesce("used", F.lit(0))
     is_low, is_spent = F.col("remaining") <= low, left <= math.ceil(budget / 10)
-    warnings = F.array_compact(F.array(F.when(is_low, F.concat(F.lit("low quota: "), "resource")), F.when(is_spent, F.lit("daily budget nearly spent"))))
-    return last.select("workspace_id", "resource", "remaining", is_low.alias("low"), is_spent.alias("spent"), F.array_join(warnings, "; ").alias("warnings"))
+    warnings = F.array_compact(
+        F.array(
+            F.when(is_low, F.concat(F.lit("low quota: "), "resource")),
+            F.when(is_spent, F.lit("daily budget nearly spent")),
+        )
+    )
+    return last.select(
+        "workspace_id",
+        "resource",
+        "remaining",
+        is_low.alias("low"),
+        is_spent.alias("spent"),
+        F.array_join(warnings, "; ").alias("warnings"),
+    )
 
 
 def commit_search_url(base: str, login: Column) -> Column:

@@ -51,7 +51,10 @@ def read_tree(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> Da
     return rows.select(*key, "path", text.alias("content"), F.col("length").alias("size"))
 
 
-def scanned(files: DataFrame, aliases: DataFrame, keywords: DataFrame, sample: int = MOST_PATHS) -> dict[str, DataFrame]:
+def scanned(files: DataFrame, aliases: DataFrame, keywords: DataFrame, sample: int = MOST_PATHS) -> dict[
+    str,
+    DataFrame,
+]:
     """What a scan takes from trees' files(repo_id, ord, path, content): the README, a ranked sample, and three greps.
 
     aliases and keywords are tables (term, ord). The greps go over all files, the sample is
@@ -75,7 +78,9 @@ def readable(files: DataFrame, largest: int = LARGEST_FILE) -> DataFrame:
 
 def readme(files: DataFrame) -> DataFrame:
     """The first file of each tree that is a README."""
-    return files.where(paths.is_readme(F.col("path"))).groupBy("repo_id").agg(F.min_by("path", "ord").alias("readme_path"))
+    return files.where(paths.is_readme(F.col("path"))).groupBy("repo_id").agg(
+        F.min_by("path", "ord").alias("readme_path")
+    )
 
 
 def added_lines(patch: Column) -> Column:
@@ -89,8 +94,15 @@ def history_files(patches: DataFrame) -> DataFrame:
     by_repo = Window.partitionBy("repo_id").orderBy("commit_ord")
     rows = patches.withColumn("_c", F.dense_rank().over(by_repo)).where(F.col("_c") <= MOST_COMMITS)
     rows = rows.withColumn("content", added_lines(F.col("patch"))).where(F.length("content") > 0)
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("repo_id").orderBy("commit_ord", "path"))).where(F.col("turn") <= MOST_PATCHES)
-    return rows.select("repo_id", F.concat(F.lit("history/"), F.substring("sha", 1, 7), F.lit("/"), "path").alias("path"), "content", "turn")
+    rows = rows.withColumn(
+        "turn", F.row_number().over(Window.partitionBy("repo_id").orderBy("commit_ord", "path"))
+    ).where(F.col("turn") <= MOST_PATCHES)
+    return rows.select(
+        "repo_id",
+        F.concat(F.lit("history/"), F.substring("sha", 1, 7), F.lit("/"), "path").alias("path"),
+        "content",
+        "turn",
+    )
 
 
 def people(contributors: DataFrame) -> DataFrame:

@@ -66,13 +66,17 @@ def deduplicated(searches: DataFrame, keys: list[str], at: str = "ts", within_ms
 def daily_budget(calls: DataFrame, by: str = "workspace_id", at: str = "ts") -> DataFrame:
     """Calls of each group by UTC day; on a stream, days close 48 hours later."""
     rows = calls.withWatermark(at, BUDGET_LATENESS) if calls.isStreaming else calls
-    return rows.groupBy(by, F.window(at, "1 day").alias("w")).agg(F.count("*").alias("used")).select(by, F.date_format("w.start", "yyyy-MM-dd").alias("day"), "used")
+    return rows.groupBy(by, F.window(at, "1 day").alias("w")).agg(F.count("*").alias("used")).select(
+        by, F.date_format("w.start", "yyyy-MM-dd").alias("day"), "used"
+    )
 
 
 def throttled(events: DataFrame, by: str = "scan_id", at: str = "ts", ms: int = THROTTLE_MS) -> DataFrame:
     """The last event of each window of time, and every terminal one."""
     window = F.window(at, f"{ms} milliseconds")
-    last = events.groupBy(by, window).agg(F.max_by(F.struct(*events.columns), F.struct(at, "seq")).alias("e")).select("e.*")
+    last = events.groupBy(by, window).agg(F.max_by(F.struct(*events.columns), F.struct(at, "seq")).alias("e")).select(
+        "e.*"
+    )
     terminal = events.where(F.col("status").isin(*K.TERMINAL_STATUSES))
     return last.unionByName(terminal).dropDuplicates([by, "seq"])
 
@@ -92,7 +96,9 @@ def throttled_stream(events: DataFrame, ms: int = THROTTLE_MS) -> DataFrame:
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values("seq")
-            for seq, ts, status in zip(rows["seq"], rows["ts"].astype("datetime64[us]").astype("int64") // 1000, rows["status"], strict=True):
+            for seq, ts, status in zip(
+                rows["seq"], rows["ts"].astype("datetime64[us]").astype("int64") // 1000, rows["status"], strict=True
+            ):
                 if status in K.TERMINAL_STATUSES or last is None or ts - last >= ms:
                     out.append((int(seq), status))
                     last, held = int(ts), None
@@ -117,16 +123,28 @@ def merged(snapshot: DataFrame, live: DataFrame, by: str = "scan_id") -> DataFra
 def sticky_status(events: DataFrame, by: str = "scan_id") -> DataFrame:
     """Each scan's status: its first terminal one if there is any, else its last."""
     done = F.col("status").isin(*K.TERMINAL_STATUSES)
-    out = events.groupBy(by).agg(F.min_by(F.when(done, F.col("status")), F.when(done, F.col("seq"))).alias("t"), F.max_by("status", "seq").alias("l"))
+    out = events.groupBy(by).agg(
+        F.min_by(F.when(done, F.col("status")), F.when(done, F.col("seq"))).alias("t"),
+        F.max_by("status", "seq").alias("l"),
+    )
     return out.select(by, F.coalesce("t", "l").alias("status"))
 
 
-def percent(status: Column, phase: Column, queries: tuple[Column, Column], repos: tuple[Column, Column, Column]) -> Column:
+def percent(
+    status: Column,
+    phase: Column,
+    queries: tuple[Column, Column],
+    repos: tuple[Column, Column, Column],
+) -> Column:
     """0 to 100 from a scan's state, (queries in all, done) and (repositories in all, discovered, processed)."""
     total = F.when(F.coalesce(repos[0], F.lit(0)) != 0, repos[0]).otherwise(F.coalesce(repos[1], F.lit(0)))
-    share = lambda part, whole: F.when(whole > 0, F.least(F.lit(1.0), F.greatest(F.lit(0), part) / F.when(whole > 0, whole))).otherwise(F.lit(0.0))
+    share = lambda part, whole: F.when(
+        whole > 0, F.least(F.lit(1.0), F.greatest(F.lit(0), part) / F.when(whole > 0, whole))
+    ).otherwise(F.lit(0.0))
     search, analysis = share(queries[1], queries[0]), share(repos[2], total)
-    ended = F.when(repos[2] > 0, repos[2] / F.greatest(total, F.lit(1)) * 90 + 5).when(phase == "queued", 0.0).otherwise(5.0)
+    ended = F.when(repos[2] > 0, repos[2] / F.greatest(total, F.lit(1)) * 90 + 5).when(
+        phase == "queued", 0.0
+    ).otherwise(5.0)
     return (
         F.when(status.isin("completed", "partially_completed") | (phase == "completed"), 100)
         .when(status.isin("failed", "cancelled") | phase.isin("failed", "cancelled"), F.least(F.lit(99), F.greatest(F.lit(0), half_up(ended))))
@@ -135,7 +153,13 @@ def percent(status: Column, phase: Column, queries: tuple[Column, Column], repos
     ).cast("int")
 
 
-def paced(requests: DataFrame, interval_ms: int, by: str = "scope", at: str = "ms", order: str = "event_id") -> DataFrame:
+def paced(
+    requests: DataFrame,
+    interval_ms: int,
+    by: str = "scope",
+    at: str = "ms",
+    order: str = "event_id",
+) -> DataFrame:
     """requests with `slot`: each at its time or an interval after the one before, all reserved.
 
     slot_n = max(t_n, slot_(n-1) + m) is a running maximum of t - n m, plus n m.
@@ -147,7 +171,14 @@ def paced(requests: DataFrame, interval_ms: int, by: str = "scope", at: str = "m
     return rows.withColumn("slot", top + F.col("_n") * interval_ms).drop("_n")
 
 
-def gated(requests: DataFrame, interval_ms: int, most_ms: int, by: str = "scope", at: str = "ms", order: str = "event_id") -> DataFrame:
+def gated(
+    requests: DataFrame,
+    interval_ms: int,
+    most_ms: int,
+    by: str = "scope",
+    at: str = "ms",
+    order: str = "event_id",
+) -> DataFrame:
     """Rows (event_id, wait): a slot is only reserved if its wait is at most most_ms.
 
     A sequential rule, walked holding one number. A slot is reserved at most most_ms after its
