@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltworks.functions import constants as K
 from siltworks.functions import paths
 from siltworks.operators import units
 
@@ -39,16 +42,41 @@ def read_tree(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> Da
 
     Text of bounded size outside folders that scans leave out: binary files go by their first
     bytes, before anything is decoded; bytes that are no UTF-8 become replacement characters.
+    Empty files have nothing to scan and are left out. Spark's readers pass over names that
+    begin with a dot or an underscore; of a tree, which is one checkout, the driver reads those.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/").rsplit("/", 1)[-1]
-    inner = F.substring_index("path", F.lit(f"/{root}/"), -1)
-    rows = raw.where(F.col("length") <= largest).withColumn("path", inner)
+    raw = raw.select("path", F.col("length").alias("size"), "content").where(F.col("size") <= largest)
+    root = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", path).rstrip("/") + "/"
+    rows = raw.unionByName(_hidden(spark, path, largest))
+    start = F.position(F.lit(root), F.col("path")) + len(root)
+    rows = rows.withColumn("path", F.substr("path", start, F.length("path") - start + 1))
     head = F.substring("content", 1, 512).cast("string")
     rows = rows.where(~paths.is_excluded(F.col("path")) & (F.position(F.lit("\0"), head) == 0))
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    key = F.lit(root).alias("repo_id"), F.xxhash64("path").alias("ord")
-    return rows.select(*key, "path", text.alias("content"), F.col("length").alias("size"))
+    key = F.lit(root.rsplit("/", 2)[1]).alias("repo_id"), F.xxhash64("path").alias("ord")
+    return rows.select(*key, "path", text.alias("content"), "size")
+
+
+def _hidden(spark: SparkSession, path: str, largest: int) -> DataFrame:
+    """Rows (path, size, content) of a tree's files whose name, or a folder's of them, begins with a dot or underscore."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, waiting = [], [(root, False)]
+    while waiting:
+        folder, within = waiting.pop()
+        for status in fs.listStatus(folder):
+            name, size = status.getPath().getName(), status.getLen()
+            hidden = within or name.startswith((".", "_"))
+            if status.isDirectory():
+                if name not in K.EXCLUDED_DIRS:
+                    waiting.append((status.getPath(), hidden))
+            elif hidden and 0 < size <= largest:
+                stream = fs.open(status.getPath())
+                found.append((status.getPath().toString(), size, bytearray(stream.readAllBytes())))
+                stream.close()
+    return spark.createDataFrame(found, "path string, size long, content binary")
 
 
 def scanned(files: DataFrame, aliases: DataFrame, keywords: DataFrame, sample: int = MOST_PATHS) -> dict[

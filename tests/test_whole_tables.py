@@ -83,6 +83,8 @@ def test_a_tree_is_read_and_scanned(spark, tmp_path):
         "src/latin.txt": "caf\xe9 wallet".encode("latin-1"),
         "node_modules/x/index.js": b"wallet",
         ".env": b"TOKEN=abc\n",
+        ".github/workflows/ci.yml": b"run: x\n",
+        ".git/config": b"token",
         "docs/big.txt": b"wallet " * 40_000,
         "empty.txt": b"",
     }
@@ -91,13 +93,13 @@ def test_a_tree_is_read_and_scanned(spark, tmp_path):
         (root / name).write_bytes(content)
     found = repos.read_tree(spark, str(root))
     got = {r.path: r.content for r in found.collect()}
-    assert set(got) == {"README.md", "src/app.py", "src/latin.txt", ".env", "empty.txt"}
+    assert set(got) == {"README.md", "src/app.py", "src/latin.txt", ".env", ".github/workflows/ci.yml"}
     assert got["src/app.py"] == files["src/app.py"].decode() and got["src/latin.txt"] == "caf\ufffd wallet"
     aliases = spark.createDataFrame([("Machinery", 0)], "term string, ord int")
     keywords = spark.createDataFrame([("wallet", 0), ("login", 1)], "term string, ord int")
     scan = {k: v.collect() for k, v in repos.scanned(found, aliases, keywords, 3).items()}
     assert [r.readme_path for r in scan["readme"]] == ["README.md"]
-    assert [r.path for r in sorted(scan["sample"], key=lambda r: r.turn)] == [".env", "README.md", "empty.txt"]
+    assert [r.path for r in sorted(scan["sample"], key=lambda r: r.turn)] == [".env", ".github/workflows/ci.yml", "README.md"]
     assert [(r.path, r.line_number, r.term) for r in scan["brand_hits"]] == [("README.md", 1, "Machinery")]
     hits = sorted((r.path, r.line_number, r.term) for r in scan["keyword_hits"])
     assert hits == [("README.md", 1, "login"), ("src/app.py", 2, "wallet"), ("src/latin.txt", 1, "wallet")]
