@@ -20,7 +20,10 @@ def brute_hits(docs, items, window=10):
     asked = [(i, w[k : k + window]) for i, t in items for w in [words(t)] for k in range(max(1, len(w) - window + 1)) if w]
     for doc_id, text in docs:
         w, hit, found, near = words(text), set(), set(), set()
+        held = set(w)
         for i, run in asked:
+            if not held.issuperset(run):
+                continue
             span = 2 * len(run)
             if any(set(run) <= set(w[k : k + span]) for k in range(max(1, len(w) - span + 1))):
                 near.add(i)
