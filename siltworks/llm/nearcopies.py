@@ -6,6 +6,9 @@ In each bucket the smallest id is compared with all others first, which takes gr
 copies apart; what is left of the buckets is compared within tasks, so that no pairs but
 links leave them. Before shingles are compared, their number and 128 bits of the minima
 must allow it (with similarity 0.8 over 32 bits differ in 2e-7 of the pairs).
+
+Rows are numbered in the order of their ids, and what the bands deal out is a number and a
+band; sizes, bits and shingles are fetched for those that meet.
 """
 
 from __future__ import annotations
@@ -82,8 +85,7 @@ def _linked(frame):
     """Links that connect what all similar pairs of a bucket connect, fewer than its rows."""
     import pandas as pd
 
-    frame = frame.drop_duplicates("key")
-    key, n, low, high = (frame[c].to_numpy() for c in ("key", "n", "low", "high"))
+    key, n, low, high = (frame[c].to_numpy() for c in ("node", "n", "low", "high"))
     sets = [np.frombuffer(s, np.uint64) for s in frame["s"]]
     left, a, b = np.arange(len(key)), [], []
     while len(left):
@@ -98,25 +100,24 @@ def _linked(frame):
             a += [key[x]] * len(found)
             b += key[found].tolist()
             waiting += found.tolist()
-    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def _sets(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (key, s) of the keys asked for: their texts' shingles."""
+    """Rows (node, s) of the rows asked(node, key): their texts' shingles; texts has rows (key, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t).tobytes() for t in common.texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    mine = texts.join(asked, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    return common.stored(common.mapped(mine, hashed, "key binary, s binary"))
+    # stored first, so that the planner knows whether it is small enough to go where the texts are
+    mine = texts.join(common.stored(asked), "key").select("node", "text").dropDuplicates(["node"])
+    return common.stored(common.mapped(mine, hashed, "node long, s binary"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar; texts has rows (key, text)."""
-    pairs = common.stored(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of numbers whose texts are similar; known has rows (node, key, n, low, high)."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +125,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             near = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sets = _sets(asked, texts)
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return common.stored(common.mapped(both, compared, "a binary, b binary"))
+    for side in ("a", "b"):
+        mine = (F.col(c).alias(c + side) for c in ("n", "low", "high"))
+        pairs = pairs.join(known.select(F.col("node").alias(side), *mine), side)
+    low, high = F.col("lowa").bitwiseXOR(F.col("lowb")), F.col("higha").bitwiseXOR(F.col("highb"))
+    differ = F.bit_count(low) + F.bit_count(high)
+    fits = (differ <= MAX_BITS) & (5 * F.least("na", "nb") >= FIFTHS * F.greatest("na", "nb"))
+    pairs = common.stored(pairs.where(fits).select("a", "b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(asked.join(known.select("node", "key"), "node"), texts)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return common.stored(common.mapped(both, compared, "a long, b long"))
 
 
 @common.tidy
@@ -142,30 +151,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole, texts = common.packed(docs, key), docs.select(key, text)
     rows = docs.select(key, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), text)
     schema = "key binary, doc_id long, n long, low long, high long, bands array<long>"
-    signed = common.stored(common.mapped(rows, lambda batches: map(_signed, batches), schema))
-
-    place = F.struct("doc_id", "key", "n", "low", "high")
-    dealt = signed.select("key", "doc_id", "n", "low", "high", F.explode("bands").alias("band"))
-    first = dealt.groupBy("band").agg(F.min(place).alias("c"), F.count("*").alias("members")).where("members > 1").select("band", "c")
-    met = common.stored(dealt.join(first, "band").where("key <> c.key"))
-    differ = F.bit_count(F.col("low").bitwiseXOR(F.col("c.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("c.high")))
-    fits = (differ <= MAX_BITS) & (5 * F.least("n", "c.n") >= FIFTHS * F.greatest("n", "c.n"))
-    near = _verified(met.where(fits).select(F.col("c.key").alias("a"), F.col("key").alias("b")), texts)
-    gone = common.stored(near.select(F.col("b").alias("key")).distinct())
-
-    left = met.drop("c").join(gone, "key", "left_anti")
+    signed = common.mapped(rows, lambda batches: map(_signed, batches), schema).dropDuplicates(["key"])
+    # numbers given as a sorted table is written are in its order
+    signed = common.stored(signed.orderBy("doc_id", "key").withColumn("node", F.monotonically_increasing_id()))
+    known = signed.select("node", "key", "n", "low", "high")
+
+    dealt = signed.select("node", F.explode("bands").alias("band"))
+    first = dealt.groupBy("band").agg(F.min("node").alias("c"), F.count("*").alias("members")).where("members > 1")
+    met = common.stored(dealt.join(first.select("band", "c"), "band").where("node <> c"))
+    near = _verified(met.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), known, texts)
+    gone = common.stored(near.select(F.col("b").alias("node")).distinct())
+
+    left = met.select("band", "node").join(gone, "node", "left_anti")
     half = max(1, tile // 2)
     tiles = left.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     tiles = tiles.select("band", F.ceil(F.col("m") / half).cast("int").alias("tiles"))
-    left = common.stored(left.join(tiles, "band"))
-    dealt = left.withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    left = common.stored(left.join(tiles, "band").join(known, "node"))
+    dealt = left.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pair = F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2")
-    dealt = dealt.select("band", "key", "n", "low", "high", *pair)
-    dealt = dealt.join(_sets(left.select("key").distinct(), texts), "key")
-    more = common.stored(dealt.groupBy("band", "t1", "t2").applyInPandas(_linked, "a binary, b binary"))
-    group = common.components(more).join(signed.select("key", "doc_id"), F.col("node") == F.col("key"))
-    group = common.stored(group.select("root", "key", "doc_id").distinct())
-    kept = group.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.key").alias("key"))
-    gone = gone.union(group.select("key").join(kept, "key", "left_anti"))
-    return whole.join(common.stored(gone.distinct()), "key", "left_anti").select("_row.*")
+    dealt = dealt.select("band", "node", "n", "low", "high", *pair)
+    dealt = dealt.join(_sets(left.select("node", "key").distinct(), texts), "node")
+    more = common.stored(dealt.groupBy("band", "t1", "t2").applyInPandas(_linked, "a long, b long"))
+    # of a component the smallest number stays, which is the smallest id's
+    linked = common.components(more).where("node <> root").select("node")
+    keys = common.stored(gone.union(linked).distinct().join(known.select("node", "key"), "node").select("key"))
+    return whole.join(keys, "key", "left_anti").select("_row.*")
