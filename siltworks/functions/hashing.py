@@ -73,6 +73,10 @@ def fingerprints(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: As if it weren't deterministic, so that the optimizer copies it into no filter and a text is read once.
+fingerprints = fingerprints.asNondeterministic()
+
+
 def finding_key(identity: Column, rule_ids: Column, branch: Column | None = None) -> Column:
     """A finding's fingerprint, from an id, perhaps a branch, and its sorted rule ids with repeats."""
     rules = F.array_join(F.array_sort(rule_ids), ",")
