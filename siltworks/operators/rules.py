@@ -93,39 +93,47 @@ def has_apk_file() -> Column:
     return F.exists("file_paths", lambda p: F.lower(p).endswith(".apk"))
 
 
-@rule("brand-impersonation", "Brand Impersonation")
-def _impersonation(as_of: Column) -> Column:
-    names = F.transform(
-        F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>"))),
-        lambda a: F.lower(a),
-    )
+def named_lures() -> Column:
+    """Of the units that name the brand as a word and have suspicious terms as words: number, place, terms and path."""
+    every = F.concat(F.array("brand.name"), F.coalesce("brand.aliases", F.array().cast("array<string>")))
+    names = F.transform(every, lambda a: F.lower(a))
+
+    def terms_of(u: Column) -> Column:
+        return F.struct(u.alias("u"), T.whole_terms_in(F.lower(u["text"]), K.SUSPICIOUS_KEYWORDS).alias("terms"))
 
-    def hits(u: Column) -> Column:
-        low = F.lower(u["text"])
-        terms = F.when(
-            F.exists(names, lambda a: T.has_term(low, a)), T.whole_terms_in(low, K.SUSPICIOUS_KEYWORDS)
-        ).otherwise(F.array().cast("array<string>"))
+    def placed(h: Column) -> Column:
+        u = h["u"]
         return F.struct(
-            F.size(terms).alias("n"),
+            F.size(h["terms"]).alias("n"),
             (-u["rank"]).alias("r"),
             (-u["entry"]).alias("e"),
             (-u["line_number"]).alias("l"),
-            terms.alias("terms"),
+            h["terms"].alias("terms"),
             u["path"].alias("path"),
         )
 
-    found = F.filter(F.transform("_units", hits), lambda h: h["n"] > 0)
-    best = F.array_max(found)
-    terms = F.array_distinct(F.flatten(F.transform(found, lambda h: h["terms"])))
+    naming = F.filter("_units", lambda u: F.exists(names, lambda a: T.has_term(F.lower(u["text"]), a)))
+    found = F.filter(F.transform(naming, terms_of), lambda h: F.size(h["terms"]) > 0)
+    return F.transform(found, placed)
+
+
+@rule("brand-impersonation", "Brand Impersonation")
+def _impersonation(as_of: Column) -> Column:
+    best, terms = F.array_max("_lures"), F.col("_lure_terms")
     n = F.size(terms)
     weak = F.forall(terms, lambda t: t.isin(*K.WEAK_SUSPICIOUS_KEYWORDS))
     official = (F.lower("owner") == F.regexp_replace(F.lower("brand.name"), r"\s+", "")) | (F.col("stars") >= 500)
     fires = F.col("brand.name").isNotNull() & (n > 0) & ~((weak | official) & (n < 2))
     made = detection(
-        "brand-impersonation", "brand_impersonation", F.when(n >= 3, "high").otherwise("medium"), F.least(F.lit(0.9), 0.55 + n * 0.1),
-        20 + F.least(F.lit(15), n * 4), F.concat(F.col("brand.name"), F.lit(": "), F.array_join(F.slice(terms, 1, 5), ", ")), best["path"],
+        "brand-impersonation",
+        "brand_impersonation",
+        F.when(n >= 3, "high").otherwise("medium"),
+        F.least(F.lit(0.9), 0.55 + n * 0.1),
+        20 + F.least(F.lit(15), n * 4),
+        F.concat(F.col("brand.name"), F.lit(": "), F.array_join(F.slice(terms, 1, 5), ", ")),
+        best["path"],
         F.when(best["l"] < 0, -best["l"]),
-    )
+    )
     return one(fires, made)
 
 
@@ -406,9 +414,11 @@ def analysed(
 ) -> DataFrame:
     """Rows (repo_id, ord, rule_id, ...) of all rules over a context table, as of a time."""
     skipped = set(excluded) | (set(K.IMPERSONATION_ONLY_RULES) if internal_audit else set())
-    ready = context.withColumns({"_text": whole_text(), "_units": units.unit_columns()}).withColumn(
-        "_branded", brand_named()
-    )
+    ready = context.withColumns({"_text": whole_text(), "_units": units.unit_columns()})
+    # columns that several expressions of a rule read are computed once a row, in a projection of their own
+    ready = ready.withColumns({"_branded": brand_named(), "_lures": named_lures()})
+    terms = F.array_distinct(F.flatten(F.transform("_lures", lambda h: h["terms"])))
+    ready = ready.withColumn("_lure_terms", terms)
     empty = F.array().cast(f"array<{DETECTION}>")
     found = F.concat(
         *(F.coalesce(r.found(as_of).cast(f"array<{DETECTION}>"), empty) for r in RULES.values() if r.id not in skipped)
