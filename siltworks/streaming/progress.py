@@ -165,7 +165,7 @@ def paced(
     slot_n = max(t_n, slot_(n-1) + m) is a running maximum of t - n m, plus n m.
     """
     w = Window.partitionBy(by).orderBy(at, order)
-    n = F.row_number().over(w)
+    n = F.row_number().over(w).cast("long")  # n m is past an int from 35,792 requests a minute apart on
     rows = requests.withColumn("_n", n)
     top = F.max(F.col(at) - F.col("_n") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("slot", top + F.col("_n") * interval_ms).drop("_n")

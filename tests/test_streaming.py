@@ -47,6 +47,12 @@ def test_gated_pacing_skips_what_would_wait_too_long(spark):
     assert [r.slot for r in progress.paced(rows, 100).orderBy("event_id").collect()] == [1000, 1100, 1200, 1300, 1400, 1500]
 
 
+def test_paced_slots_beyond_an_int(spark):
+    rows = spark.range(5).select(F.lit("s").alias("scope"), F.col("id").alias("event_id"), F.lit(7).cast("long").alias("ms"))
+    slots = [r.slot for r in progress.paced(rows, 1_000_000_000).orderBy("event_id").collect()]
+    assert slots == [7 + k * 1_000_000_000 for k in range(5)]
+
+
 def test_pause_holds_between_its_bounds(spark):
     rows = spark.createDataFrame([("s", k, v) for k, v in enumerate([30, 5, 10, 20, 21, 10])], "scope string, event_id long, remaining long")
     assert [r.paused for r in progress.paused(rows).orderBy("event_id").collect()] == [False, True, True, True, False, False]
