@@ -147,3 +147,21 @@ def test_walks_may_be_cut_where_nothing_happens(spark):
             slots[scope] = slot
     assert {r.event_id: r.hit for r in progress.deduplicated(df, ["scope"], within_ms=3000).collect()} == hits
     assert {r.event_id: r.wait for r in progress.gated(df, 1500, 4000).collect()} == waits
+
+
+def test_shared_contributors_cut_their_own_repository_out_of_the_joined_names(spark):
+    from siltworks.operators import views
+
+    repos = [(1, "é/a"), (2, ""), (3, "o/c"), (3, "o/b"), (4, None), (5, "o/z")]
+    logins = {"u": [1, 2, 3, 5], "v": [2], "w": [1, 4, 9, None], "x": [9], None: [1, 5]}
+    people = [(r, login, 1) for login, ids in logins.items() for r in ids]
+    got = views.shared_contributors(
+        spark.createDataFrame(people, "repo_id long, login string, contributions long"),
+        spark.createDataFrame(repos, "repo_id long, full_name string"),
+    ).collect()
+    want = {
+        (r, login): ",".join(n for k, n in sorted(repos, key=str) if login and r and k in ids and k != r and n is not None)
+        for login, ids in logins.items()
+        for r in ids
+    }
+    assert {(x.repo_id, x.login): x.others for x in got} == want and len(got) == len(want)
