@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows that a function of mapped() gets at once. Spark bounds what it sends by bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so long texts come in fewer rows.
 BATCH = 1000
+#: Keys from which on sieve() builds its filter; the planner broadcasts fewer. Bits a key, at least, and bits in all, at
+#: most: beyond 8 MB the filter lets more rows through, which are joined like the others.
+FEW, BITS_A_KEY, MOST_BITS = 4096, 16, 1 << 26
 #: Of each thread, the tables that its open scratches have stored.
 _scopes: dict[int, list[list[str]]] = {}
 
@@ -121,6 +124,42 @@ def row_key(*columns: Column | str) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+def sieve(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame | None, DataFrame]:
+    """rows in two parts: those that surely have none of the keys, and those that may have one.
+
+    Only the second has to be dealt out for a join on the key. Bits by a hash of the keys, sent
+    to where the rows are, tell the two apart; of few keys, which are sent themselves, all rows
+    are in the second. A null key may be in either.
+    """
+    n = keys.count()
+    if n < FEW:
+        return None, rows
+    bits = min(MOST_BITS, 1 << (n * BITS_A_KEY - 1).bit_length())
+
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    at = keys.select(slot(key).alias("_slot"))
+    maps = at.groupBy(F.shiftright("_slot", 15).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.col("_slot").bitwiseAND(32_767)).alias("_map")
+    )
+    names = rows.columns
+    rows = rows.withColumn("_slot", slot(key)).withColumn("_bucket", F.shiftright("_slot", 15))
+    rows = rows.join(F.broadcast(stored(maps)), "_bucket", "left")
+    octet = F.substring("_map", (F.col("_slot").bitwiseAND(32_767) / 8).cast("int") + 1, F.lit(1))
+    octet = F.conv(F.hex(octet), 16, 10).cast("int")
+    bit = F.call_function("shiftright", octet, F.col("_slot").bitwiseAND(7).cast("int")).bitwiseAND(1)
+    may = F.coalesce(bit, F.lit(0)) == 1
+    return rows.where(~may).select(*names), rows.where(may).select(*names)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is none of the keys; only rows that may go are dealt out."""
+    stay, ask = sieve(rows, keys, key)
+    left = ask.join(keys, key, "left_anti")
+    return stay.union(left.select(*stay.columns)) if stay is not None else left
+
+
 def packed(df: DataFrame, *more: Column) -> DataFrame:
     """df's columns as one struct _row, beside others: no name of df's can clash with theirs."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *more)

@@ -112,7 +112,9 @@ def _sets(asked: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
 
     # stored first, so that the planner knows whether it is small enough to go where the texts are
-    mine = texts.join(common.stored(asked), "key").select("node", "text").dropDuplicates(["node"])
+    asked = common.stored(asked)
+    _, may = common.sieve(texts, asked, "key")
+    mine = may.join(asked, "key").select("node", "text").dropDuplicates(["node"])
     return common.stored(common.mapped(mine, hashed, "node long, s binary"))
 
 
@@ -176,4 +178,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of a component the smallest number stays, which is the smallest id's
     linked = common.components(more).where("node <> root").select("node")
     keys = common.stored(gone.union(linked).distinct().join(known.select("node", "key"), "node").select("key"))
-    return whole.join(keys, "key", "left_anti").select("_row.*")
+    return common.without(whole, keys, "key").select("_row.*")

@@ -337,9 +337,10 @@ def one_of_each(
     near = _grouped(marked, bits, tile)
     last = F.lit((1 << 63) - 1)
     kept = near.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last), "key")).alias("k"))
-    kept = common.stored(kept.select(F.col("k.key").alias("_kept")))
+    kept = common.stored(kept.select(F.col("k.key").alias("_key")))
+    gone = marked.select(F.col("key").alias("_key")).join(kept, "_key", "left_anti")
     rows = common.packed(docs, common.row_key(id_col, text_col).alias("_key"))
-    mine = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    if marked.join(kept, F.col("key") == F.col("_kept"), "left_semi").groupBy("key").count().where("count > 1").take(1):
+    mine = common.without(rows, common.stored(gone), "_key")
+    if marked.join(kept, F.col("key") == F.col("_key"), "left_semi").groupBy("key").count().where("count > 1").take(1):
         mine = mine.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return mine.select("_row.*")
