@@ -128,29 +128,30 @@ def sieve(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame | None,
     """rows in two parts: those that surely have none of the keys, and those that may have one.
 
     Only the second has to be dealt out for a join on the key. Bits by a hash of the keys, sent
-    to where the rows are, tell the two apart; of few keys, which are sent themselves, all rows
-    are in the second. A null key may be in either.
+    to where the rows are, tell the two apart without a join; of few keys, which are sent
+    themselves, all rows are in the second. A null key may be in either.
     """
     n = keys.count()
     if n < FEW:
         return None, rows
     bits = min(MOST_BITS, 1 << (n * BITS_A_KEY - 1).bit_length())
-
-    def slot(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(bits))
-
-    at = keys.select(slot(key).alias("_slot"))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = keys.select(slot.alias("_slot"))
     maps = at.groupBy(F.shiftright("_slot", 15).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.col("_slot").bitwiseAND(32_767)).alias("_map")
     )
-    names = rows.columns
-    rows = rows.withColumn("_slot", slot(key)).withColumn("_bucket", F.shiftright("_slot", 15))
-    rows = rows.join(F.broadcast(stored(maps)), "_bucket", "left")
-    octet = F.substring("_map", (F.col("_slot").bitwiseAND(32_767) / 8).cast("int") + 1, F.lit(1))
-    octet = F.conv(F.hex(octet), 16, 10).cast("int")
-    bit = F.call_function("shiftright", octet, F.col("_slot").bitwiseAND(7).cast("int")).bitwiseAND(1)
-    may = F.coalesce(bit, F.lit(0)) == 1
-    return rows.where(~may).select(*names), rows.where(may).select(*names)
+    whole = bytearray(max(bits, 1 << 15) >> 3)
+    for bucket, octets in maps.collect():
+        whole[bucket << 12 : (bucket + 1) << 12] = octets
+    # one value of a local table: a plain literal would be written out in every text of the plan
+    table = rows.sparkSession.createDataFrame(pa.table({"_map": pa.array([bytes(whole)], pa.binary())}))
+    # the term that may differ by partition keeps the slot a column: the planner would put it into the condition twice,
+    # and with it the hash of a text that a key is
+    rows = rows.withColumn("_slot", slot + F.lit(0) * F.spark_partition_id())
+    octet = F.substring(table.scalar(), F.shiftright("_slot", 3).cast("int") + 1, F.lit(1))
+    bit = F.col("_slot").bitwiseAND(7).cast("int")
+    bit = F.call_function("shiftright", F.conv(F.hex(octet), 16, 10).cast("int"), bit).bitwiseAND(1)
+    return rows.where(bit == 0).drop("_slot"), rows.where(bit == 1).drop("_slot")
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -32,3 +32,18 @@ def test_texts_that_stay_are_not_dealt_out(spark, monkeypatch):
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert len(got) == len(set(got)) and (None, "x y") in got and (7, None) in got
     assert max(d for d, _ in got if d is not None) < 2_900
+
+
+def test_the_sieve_makes_no_rows_and_hashes_a_key_once(spark, monkeypatch):
+    """A row's bit is looked up where the row is, not by a join; many equal keys leave most of the bits empty."""
+    monkeypatch.setattr(common, "FEW", 10)
+    rows = spark.range(5_000).select(common.row_key("id").alias("key"), "id")
+    rows = rows.union(spark.createDataFrame([(None, -1), (None, -2)], "key binary, id long"))
+    keys = common.stored(spark.range(9_000).select(common.row_key((F.col("id") * 0 + 3).cast("long")).alias("key")))
+    stay, ask = common.sieve(rows, keys, "key")
+    for part in (stay, ask):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("md5") == 1
+    assert stay.count() + ask.count() == 5_002 and ask.where("id = 3").count() == 1 and ask.count() < 100
+    want = [k for k in range(-2, 5_000) if k != 3]
+    assert sorted(r.id for r in common.without(rows, keys, "key").collect()) == want
