@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Share of the driver's heap in use from which on stored() has it collected.
+IN_USE = 0.3
 #: Rows that a function of mapped() gets at once. Spark bounds what it sends by bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so long texts come in fewer rows.
 BATCH = 1000
@@ -47,9 +51,41 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     for scope in _scopes.get(threading.get_ident(), [])[-1:]:
         scope.append(path)
+    relieve(spark)
     return spark.read.schema(df.schema).parquet(path).alias(path.rsplit("/", 1)[1])
 
 
+def relieve(spark: SparkSession, in_use: float | None = None) -> bool:
+    """Have the driver give back the memory of queries that have ended, if more than a share of its heap is in use.
+
+    An operator runs dozens of queries. Their plans, and with them the shuffles and broadcasts that executors still
+    hold, stay until the driver collects its garbage, and what compiling their code took stays with the allocator;
+    left alone, both grow up to the driver's limit. Returns whether anything was done.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    share = IN_USE if in_use is None else in_use
+    if runtime.totalMemory() - runtime.freeMemory() <= share * runtime.maxMemory():
+        return False
+    gc.collect()  # what Python holds of the plans
+    spark._jvm.java.lang.System.gc()
+    with suppress(Py4JError):  # a JVM without this command
+        _trim(spark)
+    return True
+
+
+def _trim(spark: SparkSession) -> str:
+    """The JVM's command System.trim_native_heap, called by its interface, as the bean's class is not open to Py4J."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    names = "javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"
+    for k, name in enumerate(names):
+        kinds[k] = jvm.java.lang.Class.forName(name)
+    args[0], args[1] = bean, "systemTrimNativeHeap"
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored within are deleted at its end, but for those given to the function that it yields.
