@@ -165,3 +165,17 @@ def test_shared_contributors_cut_their_own_repository_out_of_the_joined_names(sp
         for r in ids
     }
     assert {(x.repo_id, x.login): x.others for x in got} == want and len(got) == len(want)
+
+
+def test_shared_contributors_keep_the_comma_before_a_last_name_that_is_empty(spark):
+    from siltworks.operators import views
+
+    names = {1: "a", 2: "b", 3: ""}
+    people = [(r, login, 1) for login, ids in {"u": [1, 2, 3], "v": [2, 3]}.items() for r in ids]
+    got = views.shared_contributors(
+        spark.createDataFrame(people, "repo_id long, login string, contributions long"),
+        spark.createDataFrame(list(names.items()), "repo_id long, full_name string"),
+    ).collect()
+    assert {(x.login, x.repo_id): x.others for x in got} == {
+        ("u", 1): "b,", ("u", 2): "a,", ("u", 3): "a,b", ("v", 2): "", ("v", 3): "b",
+    }
